@@ -1,3 +1,3 @@
 """Import every catalog module, which registers its queries."""
 
-from feedcore.catalog import matching, sets, texts  # noqa: F401
+from feedcore.catalog import matching, reading, scans, sets, texts  # noqa: F401

@@ -165,12 +165,12 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 
 SCORED = f"{ITEMS}, scored AS (SELECT *, {trust_sql('url')} AS trust FROM items)"
 
-_FEED_ORDER = (
+FEED_ORDER = (
     f"trust DESC, date DESC, (source_type = {text(OFFICIAL)}) DESC, doc_id, pos"
 )
 
 
-@query(f"WITH {SCORED} SELECT doc_id, pos, trust, date FROM scored ORDER BY {_FEED_ORDER}")
+@query(f"WITH {SCORED} SELECT doc_id, pos, trust, date FROM scored ORDER BY {FEED_ORDER}")
 def rank_feed(spark: SparkSession, folder: str) -> DataFrame:
     return rank.rank_feed(scored(spark, folder), TRIAL).select("doc_id", "pos", "trust", "date")
 
@@ -184,7 +184,7 @@ _FLAGSHIP = f"""{ITEMS},
 
 @query(
     f"""WITH {_FLAGSHIP}
-    SELECT CAST(row_number() OVER (ORDER BY {_FEED_ORDER}) AS INTEGER) AS position,
+    SELECT CAST(row_number() OVER (ORDER BY {FEED_ORDER}) AS INTEGER) AS position,
            doc_id, pos, class, title, trust, date
     FROM firsts QUALIFY position <= 100"""
 )
