@@ -27,7 +27,7 @@ from feedcore.catalog.views import (
     trust_sql,
 )
 from feedcore.functions import dates, urls
-from feedcore.functions.text import clean_text, strip_tags
+from feedcore.functions.text import strip_tags
 from feedcore.operators import first, profile
 from feedcore.plans.ingest import ingest, request_outcomes
 from feedcore.plans.merge import run_job
@@ -123,10 +123,8 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 )
 def rss_explode(spark: SparkSession, folder: str) -> DataFrame:
     payloads = _documents(spark, folder).select("doc_id", _feed_of_lines(lambda t: t).alias("body"))
-    rows = scan.rss_entries(payloads).withColumns(
-        {"title": clean_text(F.col("raw_title")), "url": clean_text(F.col("raw_link"))}
-    )
-    return readers.has_title_and_link(rows).select(
+    rows = readers.cleaned_rss(payloads)
+    return rows.select(
         "doc_id",
         F.col("feed_pos").alias("pos"),
         "title",
@@ -383,15 +381,16 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.col("doc_id") % 13 != 1)
     )
     tried = _documents(spark, folder).withColumn("attempt_rank", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+    # The body uses the document's own source, so it is made before that name is reused.
     return conform(
-        tried.select(
+        tried.withColumn("body", body).select(
             F.concat_ws("-", payload_id(), attempt.cast("string")).alias("payload_id"),
             payload_id().alias("request_id"),
             kind.alias("source"),
             F.col("lang").alias("category"),
             "attempt_rank",
             ok.alias("status_ok"),
-            body.alias("body"),
+            "body",
         ),
         RAW,
     )

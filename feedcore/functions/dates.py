@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedcore.functions.text import SPACE, strip
+from feedcore.functions.text import SPACE_CHARACTERS, SPACES, collapse_space, let, strip
 
 _DAY_NAMES = "mon|tue|wed|thu|fri|sat|sun"
 _MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
@@ -34,30 +34,27 @@ def day_text(value: dt.date | str) -> Column:
 
 
 def _mail_date(text: Column, zone: str) -> Column:
-    """``Fri, 07 Aug 2026 23:30:00 +0900`` to ``2026-08-07``; null if it is not one."""
-    gap = f"[{SPACE}]+"
+    """``Fri, 07 Aug 2026 23:30:00 +0900`` to ``2026-08-07``; null if it is not one.
+
+    ``text`` has single spaces only.
+    """
     pattern = (
-        rf"(?i)^(?:{_DAY_NAMES}),{gap}([0-9]{{1,2}}){gap}({_MONTHS}){gap}([0-9]{{4}})"
-        rf"{gap}{_CLOCK}{gap}{zone}\z"
+        rf"(?i)^(?:{_DAY_NAMES}), [0-9]{{1,2}} (?:{_MONTHS}) [0-9]{{4}} {_CLOCK} {zone}\z"
+    )
+    month = F.instr(
+        F.lit(_MONTHS.replace("|", "")), F.lower(F.split_part(text, F.lit(" "), F.lit(3)))
     )
-    packed = F.regexp_replace(text, pattern, "$3$2$1")  # 2026Aug7
-    month = F.instr(F.lit(_MONTHS.replace("|", "")), F.lower(F.substring(packed, 5, 3)))
     written = F.concat_ws(
         "-",
-        F.substring(packed, 1, 4),
+        F.split_part(text, F.lit(" "), F.lit(4)),
         F.lpad(F.floor((month + 2) / 3).cast("string"), 2, "0"),
-        F.lpad(F.substring(packed, 8, 2), 2, "0"),
+        F.lpad(F.split_part(text, F.lit(" "), F.lit(2)), 2, "0"),
     )
-    # A text that is no mail date comes back unchanged from the replacement.
-    return F.when((packed != text) & written.try_cast("date").isNotNull(), written)
-
+    return F.when(text.rlike(pattern), F.date_format(written.try_cast("date"), "yyyy-MM-dd"))
 
-def mail_date_with_offset(text: Column) -> Column:
-    return _mail_date(text, _OFFSET)
 
-
-def mail_date_with_zone(text: Column) -> Column:
-    return _mail_date(text, f"(?:{'|'.join(_ZONE_NAMES)})")
+_ZONES = f"(?:{'|'.join(_ZONE_NAMES)})"
+_OFFSET_OR_ZONE = f"(?:{_OFFSET}|{_ZONES})"
 
 
 def numeric_date(text: Column, separators: str) -> Column:
@@ -65,41 +62,42 @@ def numeric_date(text: Column, separators: str) -> Column:
 
     There is no range check: ``2026-13-45`` stays as it is.
     """
-    pattern = f"([0-9]{{4}}){separators}([0-9]{{1,2}}){separators}([0-9]{{1,2}})"
-    year = F.regexp_extract(text, pattern, 1)
-    return F.when(
-        year != "",
-        F.concat_ws(
-            "-",
-            year,
-            F.lpad(F.regexp_extract(text, pattern, 2), 2, "0"),
-            F.lpad(F.regexp_extract(text, pattern, 3), 2, "0"),
-        ),
-    )
+    found = F.regexp_extract(text, f"[0-9]{{4}}{separators}[0-9]{{1,2}}{separators}[0-9]{{1,2}}", 0)
+
+    def padded(date: Column) -> Column:
+        year, month, day_number = (F.split_part(date, F.lit("-"), F.lit(i)) for i in (1, 2, 3))
+        return F.when(
+            date != "", F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day_number, 2, "0"))
+        )
+
+    return let(F.translate(found, "./", "--"), padded)
+
+
+def _parsed(text: Column, as_of: dt.date | str, *forms) -> Column:
+    """First form that reads the text, else ``as_of``."""
+    tidy = strip(collapse_space(F.coalesce(text, F.lit(""))))
+    return F.coalesce(let(tidy, lambda t: F.coalesce(*[form(t) for form in forms])), day_text(as_of))
 
 
 def press_release_date(text: Column, as_of: dt.date | str) -> Column:
     """Mail date with offset or zone name, else a date in the text, else ``as_of``.
 
-    The briefing feed tries the zone name first; as a text cannot be both, the
-    result is the same.
+    The briefing feed tries the zone name first; as a text cannot have both, one
+    pattern serves either order.
     """
-    t = strip(F.coalesce(text, F.lit("")))
-    return F.coalesce(
-        mail_date_with_offset(t), mail_date_with_zone(t), numeric_date(t, DASH_DOT), day_text(as_of)
+    return _parsed(
+        text, as_of, lambda t: _mail_date(t, _OFFSET_OR_ZONE), lambda t: numeric_date(t, DASH_DOT)
     )
 
 
 def search_feed_date(text: Column, as_of: dt.date | str) -> Column:
     """Mail date with zone name or offset, else ``as_of``."""
-    t = strip(F.coalesce(text, F.lit("")))
-    return F.coalesce(mail_date_with_zone(t), mail_date_with_offset(t), day_text(as_of))
+    return _parsed(text, as_of, lambda t: _mail_date(t, _OFFSET_OR_ZONE))
 
 
 def news_api_date(text: Column, as_of: dt.date | str) -> Column:
     """Mail date with offset, else ``as_of``."""
-    t = strip(F.coalesce(text, F.lit("")))
-    return F.coalesce(mail_date_with_offset(t), day_text(as_of))
+    return _parsed(text, as_of, lambda t: _mail_date(t, _OFFSET))
 
 
 def ministry_date(text: Column, as_of: dt.date | str) -> Column:
@@ -108,29 +106,26 @@ def ministry_date(text: Column, as_of: dt.date | str) -> Column:
     An ISO text has its date where the general search finds it first, so one
     expression serves both.
     """
-    t = strip(F.coalesce(text, F.lit("")))
-    return F.coalesce(mail_date_with_offset(t), numeric_date(t, DASH_DOT_SLASH), day_text(as_of))
+    return _parsed(
+        text, as_of, lambda t: _mail_date(t, _OFFSET), lambda t: numeric_date(t, DASH_DOT_SLASH)
+    )
 
 
 def board_date(row_text: Column, as_of: dt.date | str) -> Column:
     """A date somewhere in a board row, else ``as_of``."""
-    return F.coalesce(
-        numeric_date(F.coalesce(row_text, F.lit("")), DASH_DOT_SLASH), day_text(as_of)
-    )
+    return _parsed(row_text, as_of, lambda t: numeric_date(t, DASH_DOT_SLASH))
 
 
 def compact_date(text: Column) -> Column:
     """``20260630`` or ``2026. 06. 30`` to ``2026-06-30``; other text comes back squeezed."""
-    squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[.\-{SPACE}]", "")
-    return F.when(
-        squeezed.rlike(r"^[0-9]{8}\z"),
-        F.concat_ws(
-            "-",
-            F.substring(squeezed, 1, 4),
-            F.substring(squeezed, 5, 2),
-            F.substring(squeezed, 7, 2),
-        ),
-    ).otherwise(squeezed)
+    # Without a replacement, translate drops the listed characters.
+    squeezed = F.translate(F.coalesce(text, F.lit("")), ".-" + SPACE_CHARACTERS, "")
+
+    def dashed(t: Column) -> Column:
+        parts = (F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2))
+        return F.when(t.rlike(r"^[0-9]{8}\z"), F.concat_ws("-", *parts)).otherwise(t)
+
+    return let(squeezed, dashed)
 
 
 def choose_date(published: Column, effective: Column, as_of: dt.date | str) -> Column:
@@ -145,7 +140,7 @@ EFFECTIVE_WORD = "시행"
 
 def effective_date_text(title: Column, word: str = EFFECTIVE_WORD) -> Column:
     """``2027-01-01`` out of ``... 2027-01-01 <word>``; empty if there is none."""
-    return F.regexp_extract(title, rf"([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})[{SPACE}]*{word}", 1)
+    return F.regexp_extract(title, rf"([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}){SPACES}{word}", 1)
 
 
 def effective_date(title: Column, word: str = EFFECTIVE_WORD) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedcore.functions.dates import effective_date_text
-from feedcore.functions.text import short_name
+from feedcore.functions.text import let, short_name
 from feedcore.rules import RuleBook
 
 # How much of a title seeds the choice of an impact sentence.
@@ -34,11 +34,13 @@ def summary_lines(
     w = rules.wording
     title, category, source = _text(title), _text(category), _text(source)
     a, b, c, d = (F.lit(x) for x in w.official_first)
-    effective = effective_date_text(title)
     official_lines = F.array(
         F.concat(a, short_name(title), b, category, c, amendment_kind(title, rules), d),
-        F.when(effective != "", F.concat(effective, F.lit(w.official_dated))).otherwise(
-            F.lit(w.official_undated)
+        let(
+            effective_date_text(title),
+            lambda day: F.when(day != "", F.concat(day, F.lit(w.official_dated))).otherwise(
+                F.lit(w.official_undated)
+            ),
         ),
     )
     before, between, after = (F.lit(x) for x in w.other_first)
@@ -55,10 +57,12 @@ def page_summary(
     w = rules.wording
     title, category, source = _text(title), _text(category), _text(source)
     a, b, c = (F.lit(x) for x in w.page_official)
-    effective = effective_date_text(title)
-    dated = F.when(
-        effective != "", F.concat(F.lit(" "), effective, F.lit(w.page_effective))
-    ).otherwise(F.lit(""))
+    dated = let(
+        effective_date_text(title),
+        lambda day: F.when(day != "", F.concat(F.lit(" "), day, F.lit(w.page_effective))).otherwise(
+            F.lit("")
+        ),
+    )
     middle, end = (F.lit(x) for x in w.page_other)
     return F.when(
         official,

@@ -7,16 +7,17 @@ the JVM and next to the scan.
 from __future__ import annotations
 
 import html.entities
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# White space as Python's str.strip and \s see it; Java's \s is ASCII only.
-SPACE = (
-    r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-)
-_EDGE_SPACE = rf"^[{SPACE}]+|[{SPACE}]+\z"
-_RUN_OF_SPACE = rf"[{SPACE}]+"
+# White space as Python's str.strip and \s see it: Unicode White_Space and four
+# control characters.  Java's (?U)\s is the former and far faster than a class
+# that lists the characters; the control characters are replaced beforehand.
+SPACE_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_CONTROL_SPACE = "\x1c\x1d\x1e\x1f"
+SPACES = r"(?U:[\s\x1c-\x1f]*)"
 
 # An entity as the HTML standard reads it, or the text between two of them.
 _ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
@@ -28,13 +29,32 @@ _CLOSED_NAMES = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith
 _OPEN_NAMES = {k: v for k, v in html.entities.html5.items() if not k.endswith(";")}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """Fix the named columns as values, so that filters on them stay above.
+
+    Spark pushes a filter below the projection that computes its column and
+    repeats the whole expression there, once per keyword of a keyword filter.
+    A one-row ``inline`` is a step it does not push filters through.
+    """
+    carried = [c for c in df.columns if c not in names]
+    return df.select(*carried, F.inline(F.array(F.struct(*names))))
+
+
 def strip(c: Column) -> Column:
     """Drop white space at both ends, Unicode spaces included."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.btrim(c, F.lit(SPACE_CHARACTERS))
 
 
 def collapse_space(c: Column) -> Column:
-    return F.regexp_replace(c, _RUN_OF_SPACE, " ")
+    """Every run of white space becomes one space."""
+    for control in _CONTROL_SPACE:
+        c = F.replace(c, F.lit(control), F.lit(" "))
+    return F.regexp_replace(c, r"(?U)\s+", " ")
 
 
 def _character(number: Column) -> Column:
@@ -128,7 +148,7 @@ def clean_text(c: Column) -> Column:
     A no-break space that appears only on decoding therefore survives inside
     the text and is stripped at its ends.
     """
-    return strip(unescape(collapse_space(F.coalesce(c, F.lit("")))))
+    return let(collapse_space(F.coalesce(c, F.lit(""))), lambda t: strip(unescape(t)))
 
 
 def strip_tags(c: Column) -> Column:
@@ -141,7 +161,7 @@ _MARKUP = r"(?s)<!--.*?-->|<[!?/a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 
 def markup_text(c: Column, separator: str = "") -> Column:
     """Text of an HTML fragment: each text node stripped, empty ones dropped."""
-    nodes = F.transform(F.split(c, _MARKUP), lambda t: strip(unescape(t)))
+    nodes = F.transform(F.split(c, _MARKUP), lambda t: strip(unescape(t)))  # t is computed once
     return F.array_join(F.filter(nodes, lambda t: t != ""), separator)
 
 
@@ -149,7 +169,7 @@ def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in an opening tag, decoded; empty if absent."""
     pattern = rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
     groups = [F.nullif(F.regexp_extract(tag, pattern, g), F.lit("")) for g in (1, 2, 3)]
-    return unescape(F.coalesce(*groups, F.lit("")))
+    return let(F.coalesce(*groups, F.lit("")), unescape)
 
 
 def title_without_outlet(title: Column) -> Column:
@@ -166,16 +186,28 @@ def outlet_of_title(title: Column, default: str) -> Column:
     ).otherwise(F.lit(default))
 
 
-# What a title key keeps, and how many characters of it.
+# What a title key drops and keeps, and how many characters it has.
 TITLE_TAG = r"\[[^\]]*\]"
-TITLE_DROP = "[^가-힣a-zA-Z0-9]"
+TITLE_KEEP = "가-힣a-zA-Z0-9"
 TITLE_KEY_LENGTH = 24
 
+# The key is done once enough characters are kept, however long the title is.
+_KEY_SPAN = rf"^(?:[^{TITLE_KEEP}]*+[{TITLE_KEEP}]){{0,{TITLE_KEY_LENGTH}}}+"
+
 
 def title_key(title: Column) -> Column:
-    """Key under which two titles count as the same story."""
-    bare = F.regexp_replace(F.coalesce(title, F.lit("")), TITLE_TAG, "")
-    return F.substring(F.lower(F.regexp_replace(bare, TITLE_DROP, "")), 1, TITLE_KEY_LENGTH)
+    """Key under which two titles count as the same story.
+
+    Bracketed tags go, then all but Hangul syllables, letters and digits; of the
+    rest, in lower case, the first 24 characters count.
+    """
+    whole = F.coalesce(title, F.lit(""))
+    bare = F.when(
+        F.contains(whole, F.lit("[")), F.regexp_replace(whole, TITLE_TAG, "")
+    ).otherwise(whole)
+    return F.lower(
+        F.regexp_replace(F.regexp_extract(bare, _KEY_SPAN, 0), f"[^{TITLE_KEEP}]+", "")
+    )
 
 
 def short_name(title: Column) -> Column:

@@ -7,8 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedcore.functions.dates import day, days_until, effective_date, months_later
-from feedcore.functions.text import short_name
+from feedcore.functions.dates import EFFECTIVE_WORD, day, days_until, effective_date, months_later
+from feedcore.functions.text import settle, short_name
 from feedcore.operators.lookup import display_code
 from feedcore.rules import RuleBook
 
@@ -23,13 +23,19 @@ def enforcement_events(df: DataFrame, rules: RuleBook, keep: list[str] | None =
 
     A text such as 30 February is no calendar day and gives no event.
     """
-    return df.select(
-        effective_date(F.col("title")).alias("eff_date"),
+    dated = settle(
+        df.where(F.contains(F.col("title"), F.lit(EFFECTIVE_WORD))).withColumn(
+            "eff_date", effective_date(F.col("title"))
+        ),
+        "eff_date",
+    ).where(F.col("eff_date").isNotNull())
+    return dated.select(
+        "eff_date",
         short_name(F.col("title")).alias("name"),
         "category",
         display_code(F.col("category"), rules).alias("code"),
         *(keep or []),
-    ).where(F.col("eff_date").isNotNull())
+    )
 
 
 def month_days(spark: SparkSession, year: int, month: int, as_of: dt.date | str) -> DataFrame:

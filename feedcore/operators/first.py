@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedcore.functions.matching import is_official
-from feedcore.functions.text import title_key
+from feedcore.functions.text import settle, title_key
 from feedcore.rules import RuleBook
 from feedcore.schema import intake_order
 
@@ -29,7 +29,7 @@ def first_per_key(
 
 def title_dedup(df: DataFrame, order: Sequence[Column] | None = None, title: str = "title") -> DataFrame:
     """One row per title key; rows whose title has no key are dropped."""
-    keyed = df.withColumn("_key", title_key(F.col(title))).where(F.col("_key") != "")
+    keyed = settle(df.withColumn("_key", title_key(F.col(title))), "_key").where(F.col("_key") != "")
     return first_per_key(keyed, ["_key"], order or intake_order()).drop("_key")
 
 
@@ -55,8 +55,8 @@ def feed_dedup(df: DataFrame, rules: RuleBook) -> DataFrame:
             "_day",
             F.when(F.col("_official"), F.coalesce(F.col("date"), F.lit(""))).otherwise(F.lit("")),
         )
-        .where(F.col("_official") | (F.col("_key") != ""))
     )
+    keyed = settle(keyed, "_official", "_key", "_day").where(F.col("_official") | (F.col("_key") != ""))
     return first_per_key(keyed, ["_official", "_key", "_day"], intake_order()).drop(
         "_official", "_key", "_day"
     )

@@ -35,6 +35,7 @@ from feedcore.functions.matching import (
 from feedcore.functions.text import (
     clean_text,
     outlet_of_title,
+    settle,
     strip,
     strip_tags,
     title_without_outlet,
@@ -93,11 +94,14 @@ def has_title_and_link(df: DataFrame) -> DataFrame:
     return df.where((F.col("title") != "") & (F.col("url") != ""))
 
 
-def _cleaned_rss(payloads: DataFrame) -> DataFrame:
+def cleaned_rss(payloads: DataFrame) -> DataFrame:
+    """Feed entries with cleaned title and link; entries without either are dropped."""
     rows = scan.rss_entries(payloads)
-    return has_title_and_link(
-        rows.withColumns({"title": clean_text(F.col("raw_title")), "url": clean_text(F.col("raw_link"))})
+    both = F.transform(F.array("raw_title", "raw_link"), clean_text)
+    cleaned = rows.withColumn("_clean", both).withColumns(
+        {"title": F.get("_clean", 0), "url": F.get("_clean", 1)}
     )
+    return has_title_and_link(settle(cleaned, "title", "url"))
 
 
 def law_label(name: Column, kind: Column, effective: Column) -> Column:
@@ -134,7 +138,7 @@ def law_registry(payloads: DataFrame, rules: RuleBook, as_of: Day) -> DataFrame:
     asked = payloads.withColumn(
         "group_rank", law_group_rank(F.col("category"), F.col("query"), rules)
     ).where(F.col("group_rank").isNotNull())
-    found = scan.law_entries(asked).where(
+    found = settle(scan.law_entries(asked), "law_name").where(
         (F.col("law_name") != "") & law_name_matches(F.col("query"), F.col("law_name"))
     )
     dated = found.withColumns(
@@ -160,7 +164,7 @@ def law_registry(payloads: DataFrame, rules: RuleBook, as_of: Day) -> DataFrame:
 def _classified_rss(
     payloads: DataFrame, exclude: tuple[str, ...], ordered: tuple[KeywordRule, ...]
 ) -> DataFrame:
-    rows = _cleaned_rss(payloads).where(~any_contains(F.col("title"), exclude))
+    rows = cleaned_rss(payloads).where(~any_contains(F.col("title"), exclude))
     return rows.withColumn("category", classify_ordered(F.col("title"), ordered)).where(
         F.col("category").isNotNull()
     )
@@ -200,10 +204,10 @@ def _news(
 ) -> DataFrame:
     """Accept, name, score and cap the news rows of each answer."""
     title, category = F.col("title"), F.col("category")
-    rows = rows.withColumn("outlet", outlet)
+    rows = settle(rows.withColumn("outlet", outlet), "title", "url", "outlet")
     seen_outlet = F.col("outlet") if policy.check_outlet else None
     refuse = should_exclude if policy.noise else is_ad
-    kept = rows.where(~refuse(title, rules, seen_outlet))
+    kept = has_title_and_link(rows).where(~refuse(title, rules, seen_outlet))
     if policy.match == "strict":
         kept = kept.where(match_strict(title, category, rules))
     elif policy.match == "loose":
@@ -226,7 +230,7 @@ def search_news(
     payloads: DataFrame, rules: RuleBook, as_of: Day, policy: NewsPolicy = SEARCH_POLICY
 ) -> DataFrame:
     """News search feeds: ``title - outlet`` entries, one category per request."""
-    rows = _cleaned_rss(payloads).withColumn("full_title", F.col("title"))
+    rows = cleaned_rss(payloads).withColumn("full_title", F.col("title"))
     rows = rows.withColumn("title", title_without_outlet(F.col("full_title")))
     outlet = outlet_of_title(F.col("full_title"), SEARCH_OUTLET)
     return _news(
@@ -239,9 +243,7 @@ def portal_news(
 ) -> DataFrame:
     """JSON news answers: marked-up titles, one category per request."""
     rows = scan.news_entries(payloads)
-    rows = has_title_and_link(
-        rows.withColumns({"title": strip_tags(F.col("raw_title")), "url": F.col("raw_link")})
-    )
+    rows = rows.withColumns({"title": strip_tags(F.col("raw_title")), "url": F.col("raw_link")})
     outlet = (
         F.lit(PORTAL_OUTLET)
         if policy.trusted_outlet
@@ -258,7 +260,7 @@ def ministry_rss(payloads: DataFrame, rules: RuleBook, as_of: Day) -> DataFrame:
         {"title": strip(F.col("raw_title")), "url": strip(F.col("raw_link"))}
     )
     return _items(
-        rows.where(any_contains(F.col("title"), rules.ministry_keywords)),
+        settle(rows, "title").where(any_contains(F.col("title"), rules.ministry_keywords)),
         source=F.lit(MINISTRY_SOURCE),
         category=F.lit(TAX_CATEGORY),
         date=ministry_date(F.col("raw_date"), as_of),
@@ -282,7 +284,9 @@ def tax_board(payloads: DataFrame, rules: RuleBook, as_of: Day) -> DataFrame:
 
 def standards_board(payloads: DataFrame, rules: RuleBook, as_of: Day) -> DataFrame:
     """Board rows; the request's ``query`` is the board's code."""
-    rows = scan.row_link_entries(payloads).where(F.char_length("raw_title") >= MIN_BOARD_TITLE)
+    rows = settle(scan.row_link_entries(payloads), "raw_title").where(
+        F.char_length("raw_title") >= MIN_BOARD_TITLE
+    )
     href, board = F.col("raw_link"), F.col("query")
     listing = F.concat(F.lit(STANDARDS_BASE + STANDARDS_LIST), board)
     view = F.concat(F.lit(STANDARDS_BASE + STANDARDS_VIEW), board, F.lit(STANDARDS_VIEW_ID))
@@ -312,7 +316,7 @@ def mixed_rss(payloads: DataFrame, rules: RuleBook, as_of: Day) -> DataFrame:
 
 def supervisor_anchors(payloads: DataFrame, rules: RuleBook, as_of: Day) -> DataFrame:
     """Anchors of a listing page with a fitting title; the first ones per page."""
-    rows = scan.anchor_entries(payloads).withColumn("title", F.col("raw_title"))
+    rows = settle(scan.anchor_entries(payloads).withColumn("title", F.col("raw_title")), "title")
     rows = rows.where(
         (F.char_length("title") >= MIN_ANCHOR_TITLE) & ~any_contains(F.col("title"), rules.mixed_exclude)
     )
