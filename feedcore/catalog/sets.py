@@ -272,9 +272,11 @@ def store_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Merge, write the stored set, write a second run over it, read it back."""
     path = shared_folder(spark, "store")
     new, stored = halves(spark, folder)
-    store.write_store(stored, path, 0, TRIAL)
-    united = merge.merge(new, store.read_store(spark, path), TRIAL, AS_OF, run=1)
-    store.write_store(united, path, 1, TRIAL)
+    none = stored.limit(0)
+    # Everything is kept in the first run: its date is before all cut-offs.
+    store.write_store(merge.merge(stored, none, TRIAL, "2024-01-01", run=1), path, 1, TRIAL)
+    fresh, kept = merge.merge_parts(new, store.read_store(spark, path), TRIAL, AS_OF, run=2)
+    store.write_store(fresh, path, 2, TRIAL, kept)
     return store.read_store(spark, path).select(
         F.col("payload_id").cast("long").alias("doc_id"),
         F.col("feed_pos").alias("pos"),

@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedcore.functions.text import SPACE_CHARACTERS, SPACES, collapse_space, let, strip
+from feedcore.functions.text import SPACE_CHARACTERS, SPACES, let, strip
 
 _DAY_NAMES = "mon|tue|wed|thu|fri|sat|sun"
 _MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
@@ -34,23 +34,24 @@ def day_text(value: dt.date | str) -> Column:
 
 
 def _mail_date(text: Column, zone: str) -> Column:
-    """``Fri, 07 Aug 2026 23:30:00 +0900`` to ``2026-08-07``; null if it is not one.
-
-    ``text`` has single spaces only.
-    """
+    """``Fri, 07 Aug 2026 23:30:00 +0900`` to ``2026-08-07``; null if it is not one."""
     pattern = (
-        rf"(?i)^(?:{_DAY_NAMES}), [0-9]{{1,2}} (?:{_MONTHS}) [0-9]{{4}} {_CLOCK} {zone}\z"
-    )
-    month = F.instr(
-        F.lit(_MONTHS.replace("|", "")), F.lower(F.split_part(text, F.lit(" "), F.lit(3)))
+        rf"(?i)^(?:{_DAY_NAMES}),{SPACES}([0-9]{{1,2}}){SPACES}({_MONTHS}){SPACES}([0-9]{{4}})"
+        rf"{SPACES}{_CLOCK}{SPACES}{zone}\z"
     )
-    written = F.concat_ws(
-        "-",
-        F.split_part(text, F.lit(" "), F.lit(4)),
-        F.lpad(F.floor((month + 2) / 3).cast("string"), 2, "0"),
-        F.lpad(F.split_part(text, F.lit(" "), F.lit(2)), 2, "0"),
+    names = F.lit(_MONTHS.replace("|", ""))
+
+    def written(packed: Column) -> Column:  # 2026Aug7
+        month = F.floor((F.instr(names, F.lower(F.substring(packed, 5, 3))) + 2) / 3)
+        date = F.concat_ws(
+            "-", F.substring(packed, 1, 4), month.cast("string"), F.substring(packed, 8, 2)
+        )
+        return date.try_cast("date").cast("string")
+
+    # A text that is no mail date comes back from the replacement unchanged.
+    return let(
+        F.regexp_replace(text, pattern, "$3$2$1"), lambda p: F.when(p != text, written(p))
     )
-    return F.when(text.rlike(pattern), F.date_format(written.try_cast("date"), "yyyy-MM-dd"))
 
 
 _ZONES = f"(?:{'|'.join(_ZONE_NAMES)})"
@@ -75,7 +76,7 @@ def numeric_date(text: Column, separators: str) -> Column:
 
 def _parsed(text: Column, as_of: dt.date | str, *forms) -> Column:
     """First form that reads the text, else ``as_of``."""
-    tidy = strip(collapse_space(F.coalesce(text, F.lit(""))))
+    tidy = strip(F.coalesce(text, F.lit("")))
     return F.coalesce(let(tidy, lambda t: F.coalesce(*[form(t) for form in forms])), day_text(as_of))
 
 
@@ -140,7 +141,7 @@ EFFECTIVE_WORD = "시행"
 
 def effective_date_text(title: Column, word: str = EFFECTIVE_WORD) -> Column:
     """``2027-01-01`` out of ``... 2027-01-01 <word>``; empty if there is none."""
-    return F.regexp_extract(title, rf"([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}){SPACES}{word}", 1)
+    return F.regexp_extract(title, rf"([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})(?:{SPACES})?{word}", 1)
 
 
 def effective_date(title: Column, word: str = EFFECTIVE_WORD) -> Column:

@@ -12,12 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# White space as Python's str.strip and \s see it: Unicode White_Space and four
-# control characters.  Java's (?U)\s is the former and far faster than a class
-# that lists the characters; the control characters are replaced beforehand.
+# White space as Python's str.strip and \s see it: Unicode White_Space, which is
+# Java's (?U)\s, and four control characters.
 SPACE_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-_CONTROL_SPACE = "\x1c\x1d\x1e\x1f"
-SPACES = r"(?U:[\s\x1c-\x1f]*)"
+SPACES = r"(?U:[\s\x1c-\x1f]+)"
 
 # An entity as the HTML standard reads it, or the text between two of them.
 _ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
@@ -52,9 +50,7 @@ def strip(c: Column) -> Column:
 
 def collapse_space(c: Column) -> Column:
     """Every run of white space becomes one space."""
-    for control in _CONTROL_SPACE:
-        c = F.replace(c, F.lit(control), F.lit(" "))
-    return F.regexp_replace(c, r"(?U)\s+", " ")
+    return F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " ")
 
 
 def _character(number: Column) -> Column:
@@ -153,7 +149,9 @@ def clean_text(c: Column) -> Column:
 
 def strip_tags(c: Column) -> Column:
     """Remove markup, then clean."""
-    return clean_text(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", ""))
+    text = F.coalesce(c, F.lit(""))
+    bare = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, "<[^>]+>", "")).otherwise(text)
+    return clean_text(bare)
 
 
 _MARKUP = r"(?s)<!--.*?-->|<[!?/a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"

@@ -41,25 +41,30 @@ def exact_dedup(
     return first_per_key(df, exprs, order or intake_order())
 
 
-def feed_dedup(df: DataFrame, rules: RuleBook) -> DataFrame:
-    """Official rows by (title, date), all others by title key, in one shuffle.
+FEED_KEY = ["_official", "_key", "_day"]
+
+
+def with_feed_key(df: DataFrame, rules: RuleBook) -> DataFrame:
+    """Add the columns of ``FEED_KEY``; rows that have no key are dropped.
 
-    The two kinds never shadow each other: the split is part of the key.
+    Official rows are keyed by (title, date), all others by title key.  The two
+    kinds never shadow each other: the split is part of the key.
     """
-    official = is_official(F.col("source_type"), rules)
     title = F.coalesce(F.col("title"), F.lit(""))
+    official = F.col("_official")
     keyed = (
-        df.withColumn("_official", official)
-        .withColumn("_key", F.when(F.col("_official"), title).otherwise(title_key(title)))
+        df.withColumn("_official", is_official(F.col("source_type"), rules))
+        .withColumn("_key", F.when(official, title).otherwise(title_key(title)))
         .withColumn(
-            "_day",
-            F.when(F.col("_official"), F.coalesce(F.col("date"), F.lit(""))).otherwise(F.lit("")),
+            "_day", F.when(official, F.coalesce(F.col("date"), F.lit(""))).otherwise(F.lit(""))
         )
     )
-    keyed = settle(keyed, "_official", "_key", "_day").where(F.col("_official") | (F.col("_key") != ""))
-    return first_per_key(keyed, ["_official", "_key", "_day"], intake_order()).drop(
-        "_official", "_key", "_day"
-    )
+    return settle(keyed, *FEED_KEY).where(official | (F.col("_key") != ""))
+
+
+def feed_dedup(df: DataFrame, rules: RuleBook) -> DataFrame:
+    """Both kinds of row de-duplicated by their own key, in one shuffle."""
+    return first_per_key(with_feed_key(df, rules), FEED_KEY, intake_order()).drop(*FEED_KEY)
 
 
 def cap(df: DataFrame, by: Sequence[str], n: int, order: Sequence[Column] | None = None) -> DataFrame:
@@ -68,5 +73,9 @@ def cap(df: DataFrame, by: Sequence[str], n: int, order: Sequence[Column] | None
 
 
 def new_only(df: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not in the stored set."""
-    return df.join(stored.select(key), key, "left_anti")
+    """Rows whose key is not in the stored set.
+
+    Stored keys are made distinct before the shuffle, so a key stored a billion
+    times is one row per task; a key that is hot on the left is split by AQE.
+    """
+    return df.join(stored.select(key).distinct(), key, "left_anti")

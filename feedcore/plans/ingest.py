@@ -16,7 +16,7 @@ from feedcore.operators.profile import BROKEN, NO_ANSWER
 from feedcore.rules import RuleBook
 from feedcore.schema import STORED, conform
 from feedcore.sources import scan
-from feedcore.sources.payload import best_attempts, looks_ok
+from feedcore.sources.payload import accepted, best_attempts
 from feedcore.sources.readers import WIRED, Source
 
 
@@ -82,15 +82,12 @@ def request_outcomes(raw: DataFrame, sources: Sequence[Source] = WIRED) -> DataF
     parts = []
     for source in sources:
         mine = raw.where(F.col("source") == source.name)
-        accepted = F.coalesce(F.col("status_ok"), F.lit(False)) & (
-            (F.col("attempt_rank") == 0) | looks_ok(F.col("body"), source.needs_xml)
-        )
         judged = mine.select(
             "request_id",
             F.col("source"),
             "category",
             F.when(
-                accepted,
+                accepted(source.needs_xml),
                 F.struct("attempt_rank", "payload_id", _is_broken(source.content, F.col("body")).alias("broken")),
             ).alias("used"),
         )

@@ -18,12 +18,12 @@ from feedcore.functions.matching import (
 )
 from feedcore.functions.summary import impact_pick, summary_lines
 from feedcore.operators.browse import count_by_category
-from feedcore.operators.first import feed_dedup
-from feedcore.operators.lookup import migrate_allowed
+from feedcore.operators.first import FEED_KEY, feed_dedup, first_per_key, with_feed_key
+from feedcore.operators.lookup import broadcast_if_small, migrate_allowed
 from feedcore.operators.profile import failure_list, intake_report
 from feedcore.plans.ingest import fill_missing, ingest, request_outcomes
 from feedcore.rules import RuleBook
-from feedcore.schema import STORED, conform
+from feedcore.schema import STORED, conform, intake_order
 from feedcore.sources.readers import WIRED, Source
 from feedcore.sources.store import (
     latest_run,
@@ -71,34 +71,48 @@ def summarize(items: DataFrame, rules: RuleBook) -> DataFrame:
     )
 
 
+def _of_run(new: DataFrame, run: int) -> DataFrame:
+    return conform(new, STORED).withColumn("run_seq", F.lit(run).cast("long"))
+
+
+def _before_run(stored: DataFrame, run: int) -> DataFrame:
+    before = F.least(F.coalesce(F.col("run_seq"), F.lit(0)), F.lit(run - 1))
+    return conform(stored, STORED).withColumn("run_seq", before.cast("long"))
+
+
 def union_generations(new: DataFrame, stored: DataFrame, run: int) -> DataFrame:
     """New rows ahead of stored ones: the run number orders them."""
-    fresh = conform(new, STORED).withColumn("run_seq", F.lit(run).cast("long"))
-    old = conform(stored, STORED).withColumn(
-        "run_seq", F.least(F.coalesce(F.col("run_seq"), F.lit(0)), F.lit(run - 1)).cast("long")
-    )
-    return fresh.unionByName(old)
+    return _of_run(new, run).unionByName(_before_run(stored, run))
 
 
 def merge(
-    new: DataFrame,
-    stored: DataFrame,
-    rules: RuleBook,
-    as_of: dt.date | str,
-    run: int,
-    stored_is_unique: bool = False,
+    new: DataFrame, stored: DataFrame, rules: RuleBook, as_of: dt.date | str, run: int
 ) -> DataFrame:
-    """One clean set out of a run and the stored rows: one shuffle, on the dedup key.
-
-    A stored set written by ``merge`` has no duplicates, so its expired rows
-    shadow nothing; with ``stored_is_unique`` they are dropped before the shuffle.
-    """
-    if stored_is_unique:
-        stored = stored.where(retained(rules, as_of))
+    """One clean set out of a run and any stored rows: one shuffle, on the dedup key."""
     united = union_generations(new, stored, run)
     return summarize(feed_dedup(united, rules).where(retained(rules, as_of)), rules)
 
 
+def merge_parts(
+    new: DataFrame, stored: DataFrame, rules: RuleBook, as_of: dt.date | str, run: int
+) -> tuple[DataFrame, DataFrame]:
+    """``merge`` for a stored set that ``merge`` wrote: new rows and kept stored rows.
+
+    Such a set has no duplicates of its own.  So only the run is de-duplicated,
+    and a stored row goes if the run has its key.  The run's keys are broadcast
+    if they are few, and then the stored set is not shuffled at all.  Expired
+    stored rows shadow nothing and are dropped while reading.
+    """
+    fresh = first_per_key(
+        with_feed_key(_of_run(new, run), rules), FEED_KEY, intake_order()
+    )
+    old = with_feed_key(_before_run(stored.where(retained(rules, as_of)), run), rules)
+    taken = broadcast_if_small(fresh.select(*FEED_KEY))
+    kept = old.join(taken, FEED_KEY, "left_anti").drop(*FEED_KEY)
+    fresh = fresh.drop(*FEED_KEY).where(retained(rules, as_of))
+    return summarize(fresh, rules), summarize(kept, rules)
+
+
 @dataclass(frozen=True)
 class Published:
     """What a run wrote, and small reports on it."""
@@ -120,24 +134,26 @@ def run_job(
     sources: Sequence[Source] = WIRED,
     ranked: str | None = None,
 ) -> Published:
-    """Ingest, re-check, merge and store one run; reports read the stored result.
+    """Ingest, re-check, merge and store one run; reports read what was written.
 
-    Repeating a finished run is harmless: its result is returned as it is.
+    The run's own items are written below the store first: payloads are parsed
+    once, and a lost executor costs a re-read, not a re-parse.  Repeating a
+    finished run is harmless: its result is returned as it is.
     """
+    staged = f"{store}/_new/run={run}"
     if (latest_run(spark, store) or 0) < run:
-        stored = revalidate(
-            read_store(spark, store, keep_from=_keep_from(as_of, rules)), rules
-        )
-        new = ingest(raw, rules, as_of, run, sources)
-        merged = merge(new, stored, rules, as_of, run, stored_is_unique=True)
-        write_store(merged, store, run, rules)
+        ingest(raw, rules, as_of, run, sources).write.mode("overwrite").parquet(staged)
+        new = spark.read.schema(STORED).parquet(staged)
+        stored = revalidate(read_store(spark, store, _keep_from(as_of, rules)), rules)
+        fresh, kept = merge_parts(new, stored, rules, as_of, run)
+        write_store(fresh, store, run, rules, kept)
     items = read_store(spark, store)
     if ranked:
         write_ranked(items, ranked, rules)
     outcomes = request_outcomes(raw, sources)
-    rank_names = F.array(*[F.lit(s.name) for s in sources])
-    came_in = items.where(F.col("run_seq") == run).select(
-        F.get(rank_names, F.col("source_rank")).alias("source"), "category"
+    names = F.array(*[F.lit(s.name) for s in sources])
+    came_in = spark.read.schema(STORED).parquet(staged).select(
+        F.get(names, F.col("source_rank")).alias("source"), "category"
     )
     return Published(
         store=store,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedcore.functions.matching import any_contains
+from feedcore.operators.lookup import MAX_BROADCAST_ROWS
 
 # The smallest plausible body, and what an XML answer contains.
 MIN_BYTES = 100
@@ -18,22 +19,54 @@ def looks_ok(body: Column, needs_xml: bool = True) -> Column:
     return long_enough & any_contains(body, XML_MARKERS) if needs_xml else long_enough
 
 
-def best_attempts(raw: DataFrame, needs_xml: bool = True, slim: list[str] | None = None) -> DataFrame:
-    """The attempt each request uses; requests without one are left out.
+def accepted(needs_xml: bool = True) -> Column:
+    """True for an attempt that may be used.
 
-    A successful first attempt is final whatever it holds.  Later attempts count
-    only if their body looks right.  Winners are found on ids and ranks alone,
-    so bodies cross the network once at most and are never sorted or held in
-    aggregation buffers; ``payload_id`` is unique, so the join back cannot skew.
+    A successful first attempt is final whatever it holds; later attempts count
+    only if their body looks right.
+    """
+    usable = (F.col("attempt_rank") == 0) | looks_ok(F.col("body"), needs_xml)
+    return F.coalesce(F.col("status_ok"), F.lit(False)) & usable
+
+
+def _first_of_each(candidates: DataFrame) -> DataFrame:
+    """The lowest-ranked candidate of each request.
+
+    Winners are found on ids and ranks alone, so bodies are never sorted or held
+    in aggregation buffers; ``payload_id`` is unique, so the join cannot skew.
     """
-    accepted = F.col("status_ok") & (
-        (F.col("attempt_rank") == 0) | looks_ok(F.col("body"), needs_xml)
-    )
-    candidates = raw.where(accepted)
     winners = (
         candidates.groupBy("request_id")
         .agg(F.min(F.struct("attempt_rank", "payload_id")).alias("w"))
         .select(F.col("w.payload_id").alias("payload_id"))
     )
-    kept = candidates if slim is None else candidates.select(*slim)
-    return kept.join(winners, "payload_id", "left_semi")
+    return candidates.join(winners, "payload_id", "left_semi")
+
+
+def best_attempts(
+    raw: DataFrame, needs_xml: bool = True, max_broadcast: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """The attempt each request uses; requests without one are left out.
+
+    Only requests with several successful answers need a choice, and capturing
+    stops at the first good one, so they are few.  They are listed first, from the
+    narrow columns.  All other bodies pass through a filter and never cross the
+    network; if the list is too long to broadcast, all candidates are grouped.
+    """
+    candidates = raw.where(accepted(needs_xml))
+    contested = (
+        raw.where("status_ok")
+        .groupBy("request_id")
+        .agg(F.count("*").alias("n"))
+        .where("n > 1")
+        .select("request_id")
+    )
+    found = contested.limit(max_broadcast + 1).count()
+    if found == 0:
+        return candidates
+    if found > max_broadcast:
+        return _first_of_each(candidates)
+    listed = F.broadcast(contested)
+    lone = candidates.join(listed, "request_id", "left_anti")
+    chosen = _first_of_each(candidates.join(listed, "request_id", "left_semi"))
+    return lone.unionByName(chosen)

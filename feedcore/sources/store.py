@@ -48,18 +48,30 @@ def latest_run(spark: SparkSession, path: str) -> int | None:
     return None
 
 
-def write_store(df: DataFrame, path: str, run: int, rules: RuleBook) -> str:
-    """Write a full new set; files by official flag and month so expiry prunes folders."""
+def write_store(
+    df: DataFrame, path: str, run: int, rules: RuleBook, kept: DataFrame | None = None
+) -> str:
+    """Write a full new set; files by official flag and month so expiry prunes folders.
+
+    ``df`` is spread anew over its folders.  ``kept`` holds rows read from the
+    store itself, which are already grouped that way: they are written without
+    moving between executors.
+    """
     target = f"{path}/run={run}"
-    laid_out = (
+    # AQE splits a folder that holds a third of all rows and joins small ones.
+    rows = _laid_out(df, rules).hint("rebalance", *_LAYOUT)
+    if kept is not None:
+        rows = rows.unionByName(_laid_out(kept, rules))
+    rows.write.mode("errorifexists").partitionBy(*_LAYOUT).parquet(target)
+    return target
+
+
+def _laid_out(df: DataFrame, rules: RuleBook) -> DataFrame:
+    return (
         conform(df, STORED)
         .withColumn("is_official", is_official(F.col("source_type"), rules))
         .withColumn("month", F.date_format(F.col("date").try_cast("date"), "yyyy-MM"))
-        # AQE splits a folder that holds a third of all rows and joins small ones.
-        .hint("rebalance", *_LAYOUT)
     )
-    laid_out.write.mode("errorifexists").partitionBy(*_LAYOUT).parquet(target)
-    return target
 
 
 def read_store(
@@ -146,7 +158,9 @@ def snapshot_envelope(df: DataFrame, rules: RuleBook, updated: str, n: int) -> D
         ).alias("items")
     )
     return packed.select(
-        F.to_json(F.struct(F.lit(updated).alias("updated"), F.col("items"))).alias("snapshot")
+        F.to_json(
+            F.struct(F.lit(updated).alias("updated"), F.col("items")), {"ignoreNullFields": "false"}
+        ).alias("snapshot")
     )
 
 

@@ -58,9 +58,7 @@ def stream_job(
     """Merge every micro-batch into the store; a repeated batch changes nothing."""
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        run_job(
-            batch.sparkSession, batch, store, rules, as_of, first_run + batch_id, sources
-        )
+        run_job(batch.sparkSession, batch, store, rules, as_of, first_run + batch_id, sources)
 
     return (
         raw.writeStream.foreachBatch(merge_batch)
