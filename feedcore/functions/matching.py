@@ -23,7 +23,7 @@ def any_contains(text: Column, keywords: Iterable[str]) -> Column:
     Null text gives null, which every filter here drops; a bare disjunction can
     be pushed down to the file scan.
     """
-    tests: Sequence[Column] = [F.contains(text, F.lit(k)) for k in keywords]
+    tests: Sequence[Column] = [text.contains(k) for k in keywords]
     if not tests:
         return F.lit(False)
     while len(tests) > 1:  # a balanced tree: long lists must not nest deeply

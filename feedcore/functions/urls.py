@@ -81,7 +81,7 @@ def _first_trust_rule(lowered_url: Column, rules: RuleBook) -> Column:
     """
     chain = None
     for i, rule in enumerate(rules.trust):
-        test = F.contains(lowered_url, F.lit(rule.fragment))
+        test = lowered_url.contains(rule.fragment)
         chain = F.when(test, F.lit(i)) if chain is None else chain.when(test, F.lit(i))
     return F.lit(None).cast("int") if chain is None else chain
 

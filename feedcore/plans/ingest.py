@@ -16,7 +16,7 @@ from feedcore.operators.profile import BROKEN, NO_ANSWER
 from feedcore.rules import RuleBook
 from feedcore.schema import STORED, conform
 from feedcore.sources import scan
-from feedcore.sources.payload import accepted, best_attempts
+from feedcore.sources.payload import accepted, best_attempts, contested_requests
 from feedcore.sources.readers import WIRED, Source
 
 
@@ -35,8 +35,10 @@ def ingest(
     which case such rows pass through as they are.
     """
     parts = []
+    contested = contested_requests(raw.where(F.col("source").isin(*[s.name for s in sources])))
     for rank, source in enumerate(sources):
-        payloads = best_attempts(raw.where(F.col("source") == source.name), source.needs_xml)
+        mine = raw.where(F.col("source") == source.name)
+        payloads = best_attempts(mine, source.needs_xml, contested)
         parts.append(source.read(payloads, rules, as_of).withColumn("source_rank", F.lit(rank)))
     items = reduce(DataFrame.unionByName, parts).withColumn("run_seq", F.lit(run).cast("long"))
     items = items.withColumn("official", links_of(F.col("category"), rules))

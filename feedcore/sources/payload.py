@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,30 +45,45 @@ def _first_of_each(candidates: DataFrame) -> DataFrame:
     return candidates.join(winners, "payload_id", "left_semi")
 
 
-def best_attempts(
-    raw: DataFrame, needs_xml: bool = True, max_broadcast: int = MAX_BROADCAST_ROWS
-) -> DataFrame:
-    """The attempt each request uses; requests without one are left out.
+@dataclass(frozen=True)
+class Contested:
+    """Requests with several successful answers: none, a short list, or too many to list."""
 
-    Only requests with several successful answers need a choice, and capturing
-    stops at the first good one, so they are few.  They are listed first, from the
-    narrow columns.  All other bodies pass through a filter and never cross the
-    network; if the list is too long to broadcast, all candidates are grouped.
-    """
-    candidates = raw.where(accepted(needs_xml))
-    contested = (
+    requests: DataFrame
+    found: int
+    short: bool
+
+
+def contested_requests(raw: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS) -> Contested:
+    """List the requests that need a choice, from the narrow columns alone."""
+    several = (
         raw.where("status_ok")
         .groupBy("request_id")
         .agg(F.count("*").alias("n"))
         .where("n > 1")
         .select("request_id")
     )
-    found = contested.limit(max_broadcast + 1).count()
-    if found == 0:
+    found = several.limit(max_broadcast + 1).count()
+    return Contested(several, found, found <= max_broadcast)
+
+
+def best_attempts(
+    raw: DataFrame, needs_xml: bool = True, contested: Contested | None = None
+) -> DataFrame:
+    """The attempt each request uses; requests without one are left out.
+
+    Only requests with several successful answers need a choice, and capturing
+    stops at the first good one, so they are few.  The bodies of all others pass
+    through a filter and never cross the network.  If the contested ones are too
+    many to broadcast, all candidates are grouped.
+    """
+    contested = contested or contested_requests(raw)
+    candidates = raw.where(accepted(needs_xml))
+    if contested.found == 0:
         return candidates
-    if found > max_broadcast:
+    if not contested.short:
         return _first_of_each(candidates)
-    listed = F.broadcast(contested)
+    listed = F.broadcast(contested.requests)
     lone = candidates.join(listed, "request_id", "left_anti")
     chosen = _first_of_each(candidates.join(listed, "request_id", "left_semi"))
     return lone.unionByName(chosen)

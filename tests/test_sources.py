@@ -229,7 +229,7 @@ ATTEMPTS = [
 @pytest.mark.parametrize("max_broadcast", [100, 2, 0])
 def test_best_attempt(spark, max_broadcast):
     rows = raw(spark, *[("regulator_rss", None, None, body, n, ok, r) for r, n, ok, body in ATTEMPTS])
-    found = payload.best_attempts(rows, True, max_broadcast)
+    found = payload.best_attempts(rows, True, payload.contested_requests(rows, max_broadcast))
     assert sorted((r.request_id, r.attempt_rank) for r in found.collect()) == [
         ("alone", 0), ("empty", 0), ("first", 0), ("second", 1), ("third", 2),
     ]
