@@ -359,7 +359,7 @@ def html_row_links(spark: SparkSession, folder: str) -> DataFrame:
 # Raw attempts: three per document.  A third of the first attempts succeed, the
 # second ones answer with a short body, the third ones with a feed.
 
-_KIND = {"en": "regulator_rss", "fr": "search_news", "de": "portal_news", "es": "briefing_rss"}
+_KIND = {"en": "regulator_rss", "fr": "search_news", "de": "portal_news", "es": "regulator_rss"}
 
 
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
@@ -421,11 +421,16 @@ def payload_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""SELECT lpad(doc_id::VARCHAR, 12, '0') AS request_id, {_USED} AS attempt_rank FROM documents
-    WHERE {_USED} IS NOT NULL AND lang <> 'de'"""
+    WHERE {_USED} IS NOT NULL"""
 )
 def best_attempt(spark: SparkSession, folder: str) -> DataFrame:
-    raw = attempts(spark, folder).where(F.col("category") != "de")
-    return payload.best_attempts(raw).select("request_id", "attempt_rank")
+    """Feeds need an XML mark in later attempts, JSON answers only their length."""
+    raw = attempts(spark, folder)
+    contested = payload.contested_requests(raw)
+    portal = F.col("source") == "portal_news"
+    feeds = payload.best_attempts(raw.where(~portal), True, contested)
+    news = payload.best_attempts(raw.where(portal), False, contested)
+    return feeds.unionByName(news).select("request_id", "attempt_rank")
 
 
 _INGEST_TRIAL = TRIAL.replace(search_cap=4, portal_cap=3)
@@ -443,7 +448,7 @@ INGESTED = f"""{ITEMS}, used AS (
 regulated AS (
   SELECT doc_id, pos, '금융위원회' AS source, {text(OFFICIAL)} AS source_type,
     {classify_sql('clean', TRIAL.regulator_rules)} AS category, clean AS title, url, date, 100 AS trust, 0 AS source_rank
-  FROM used WHERE category = 'en' AND NOT {any_of('clean', TRIAL.regulator_exclude)}),
+  FROM used WHERE category IN ('en', 'es') AND NOT {any_of('clean', TRIAL.regulator_exclude)}),
 searched AS (
   SELECT doc_id, pos, coalesce({trust_sql('url', what='name')}, source) AS source, '뉴스' AS source_type, category,
     clean AS title, url, date, {trust_sql('url')} AS trust, 1 AS source_rank
@@ -516,8 +521,8 @@ def job_run(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {INGESTED}, kinds AS (
-      SELECT doc_id, lang AS category, CASE lang WHEN 'en' THEN 'regulator_rss' WHEN 'fr' THEN 'search_news' ELSE 'portal_news' END AS source,
-        {_USED} AS attempt FROM documents WHERE lang <> 'es'),
+      SELECT doc_id, lang AS category, CASE lang WHEN 'fr' THEN 'search_news' WHEN 'de' THEN 'portal_news' ELSE 'regulator_rss' END AS source,
+        {_USED} AS attempt FROM documents),
     asked AS (
       SELECT source, category, count(*) AS requests, count(*) FILTER (attempt IS NULL) AS no_answer,
         count(*) FILTER (attempt IS NOT NULL AND doc_id % 11 = 0) AS broken
@@ -538,8 +543,8 @@ def intake_report(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH kinds AS (
-      SELECT doc_id, CASE lang WHEN 'en' THEN 'regulator_rss' WHEN 'fr' THEN 'search_news' ELSE 'portal_news' END AS source,
-        {_USED} AS attempt FROM documents WHERE lang <> 'es')
+      SELECT doc_id, CASE lang WHEN 'fr' THEN 'search_news' WHEN 'de' THEN 'portal_news' ELSE 'regulator_rss' END AS source,
+        {_USED} AS attempt FROM documents)
     SELECT source, CASE WHEN attempt IS NULL THEN 'no answer' ELSE 'broken payload' END AS failure, count(*) AS n
     FROM kinds WHERE attempt IS NULL OR doc_id % 11 = 0 GROUP BY ALL"""
 )
