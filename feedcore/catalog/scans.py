@@ -27,7 +27,6 @@ from feedcore.catalog.views import (
     trust_sql,
 )
 from feedcore.functions import dates, urls
-from feedcore.functions.text import strip_tags
 from feedcore.operators import first, profile
 from feedcore.plans.ingest import ingest, request_outcomes
 from feedcore.plans.merge import run_job
@@ -141,10 +140,7 @@ def rss_explode(spark: SparkSession, folder: str) -> DataFrame:
 )
 def news_json_explode(spark: SparkSession, folder: str) -> DataFrame:
     payloads = _documents(spark, folder).select("doc_id", _news_of_lines().alias("body"))
-    rows = scan.news_entries(payloads).withColumns(
-        {"title": strip_tags(F.col("raw_title")), "url": F.col("raw_link")}
-    )
-    return readers.has_title_and_link(rows).select(
+    return readers.cleaned_news(payloads).select(
         "doc_id",
         F.col("feed_pos").alias("pos"),
         "title",
@@ -396,6 +392,13 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def raw_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The attempts as a capture job leaves them: files, one folder per source."""
+    path = shared_folder(spark, "raw")
+    attempts(spark, folder).write.partitionBy("source").parquet(path)
+    return spark.read.schema(RAW).parquet(path)
+
+
 # Which attempt a document's request uses: 0, 2 or none.
 _USED = "CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 13 <> 1 THEN 2 END"
 
@@ -471,7 +474,7 @@ ingested AS (
 @query(f"WITH {INGESTED} SELECT doc_id, pos, source, source_type, category, title, url, date, trust FROM ingested")
 def ingest_run(spark: SparkSession, folder: str) -> DataFrame:
     """Three sources of one run, from raw attempts to items."""
-    found = ingest(attempts(spark, folder), _INGEST_TRIAL, AS_OF, 1, _RUN_SOURCES)
+    found = ingest(raw_table(spark, folder), _INGEST_TRIAL, AS_OF, 1, _RUN_SOURCES)
     return _shown(found)
 
 
@@ -509,7 +512,7 @@ def job_run(spark: SparkSession, folder: str) -> DataFrame:
     """A whole run: ingest, merge into an empty store, write it, read it back."""
     done = run_job(
         spark,
-        attempts(spark, folder),
+        raw_table(spark, folder),
         shared_folder(spark, "job"),
         _INGEST_TRIAL,
         AS_OF,
@@ -534,7 +537,7 @@ def job_run(spark: SparkSession, folder: str) -> DataFrame:
       coalesce(broken, 0) AS broken, coalesce(rows, 0) AS rows FROM asked FULL JOIN got USING (source, category)"""
 )
 def intake_report(spark: SparkSession, folder: str) -> DataFrame:
-    raw = attempts(spark, folder)
+    raw = raw_table(spark, folder)
     found = ingest(raw, _INGEST_TRIAL, AS_OF, 1, _RUN_SOURCES)
     names = F.array(*[F.lit(s.name) for s in _RUN_SOURCES])
     rows = found.select(F.get(names, F.col("source_rank")).alias("source"), "category")

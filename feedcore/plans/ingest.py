@@ -38,16 +38,19 @@ def ingest(
     contested = contested_requests(raw.where(F.col("source").isin(*[s.name for s in sources])))
     for rank, source in enumerate(sources):
         mine = raw.where(F.col("source") == source.name)
-        payloads = best_attempts(mine, source.needs_xml, contested)
-        parts.append(source.read(payloads, rules, as_of).withColumn("source_rank", F.lit(rank)))
-    items = reduce(DataFrame.unionByName, parts).withColumn("run_seq", F.lit(run).cast("long"))
-    items = items.withColumn("official", links_of(F.col("category"), rules))
-    if strict_reference:
-        return conform(items, STORED)
-    items = items.withColumn("category", migrate_category(F.col("category"), rules)).withColumn(
-        "official", links_of(F.col("category"), rules)
-    )
-    return conform(fill_missing(items, rules), STORED)
+        items = source.read(best_attempts(mine, source.needs_xml, contested), rules, as_of)
+        fill = not (source.complete or strict_reference)
+        if fill:
+            items = items.withColumn("category", migrate_category(F.col("category"), rules))
+        items = items.withColumns(
+            {
+                "run_seq": F.lit(run).cast("long"),
+                "source_rank": F.lit(rank),
+                "official": links_of(F.col("category"), rules),
+            }
+        )
+        parts.append(conform(fill_missing(items, rules) if fill else items, STORED))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fill_missing(items: DataFrame, rules: RuleBook) -> DataFrame:

@@ -31,18 +31,13 @@ def accepted(needs_xml: bool = True) -> Column:
     return F.coalesce(F.col("status_ok"), F.lit(False)) & usable
 
 
-def _first_of_each(candidates: DataFrame) -> DataFrame:
-    """The lowest-ranked candidate of each request.
-
-    Winners are found on ids and ranks alone, so bodies are never sorted or held
-    in aggregation buffers; ``payload_id`` is unique, so the join cannot skew.
-    """
-    winners = (
+def _winners(candidates: DataFrame) -> DataFrame:
+    """Payload id of the lowest-ranked candidate per request, from ids and ranks alone."""
+    return (
         candidates.groupBy("request_id")
-        .agg(F.min(F.struct("attempt_rank", "payload_id")).alias("w"))
-        .select(F.col("w.payload_id").alias("payload_id"))
+        .agg(F.min(F.struct("attempt_rank", "payload_id")).alias("_w"))
+        .select("request_id", F.col("_w.payload_id").alias("_winner"))
     )
-    return candidates.join(winners, "payload_id", "left_semi")
 
 
 @dataclass(frozen=True)
@@ -73,17 +68,22 @@ def best_attempts(
     """The attempt each request uses; requests without one are left out.
 
     Only requests with several successful answers need a choice, and capturing
-    stops at the first good one, so they are few.  The bodies of all others pass
-    through a filter and never cross the network.  If the contested ones are too
-    many to broadcast, all candidates are grouped.
+    stops at the first good one, so they are few.  Their winners, one row each,
+    are broadcast to a scan of the candidates: bodies are neither sorted nor
+    grouped and never cross the network.  If the contested requests are too many
+    for that, winners are joined back by payload id, which is unique and so
+    cannot skew.
     """
     contested = contested or contested_requests(raw)
     candidates = raw.where(accepted(needs_xml))
     if contested.found == 0:
         return candidates
     if not contested.short:
-        return _first_of_each(candidates)
-    listed = F.broadcast(contested.requests)
-    lone = candidates.join(listed, "request_id", "left_anti")
-    chosen = _first_of_each(candidates.join(listed, "request_id", "left_semi"))
-    return lone.unionByName(chosen)
+        chosen = _winners(candidates).select(F.col("_winner").alias("payload_id"))
+        return candidates.join(chosen, "payload_id", "left_semi")
+    rivals = candidates.join(F.broadcast(contested.requests), "request_id", "left_semi")
+    return (
+        candidates.join(F.broadcast(_winners(rivals)), "request_id", "left")
+        .where(F.col("_winner").isNull() | (F.col("_winner") == F.col("payload_id")))
+        .drop("_winner")
+    )

@@ -104,6 +104,14 @@ def cleaned_rss(payloads: DataFrame) -> DataFrame:
     return has_title_and_link(settle(cleaned, "title", "url"))
 
 
+def cleaned_news(payloads: DataFrame) -> DataFrame:
+    """JSON news entries with their title freed of markup, as ``cleaned_rss``."""
+    rows = scan.news_entries(payloads).withColumns(
+        {"title": strip_tags(F.col("raw_title")), "url": F.col("raw_link")}
+    )
+    return has_title_and_link(settle(rows, "title", "url"))
+
+
 def law_label(name: Column, kind: Column, effective: Column) -> Column:
     """``name (kind) · date <effective word>``; empty parts are left out."""
     return F.concat(
@@ -204,10 +212,10 @@ def _news(
 ) -> DataFrame:
     """Accept, name, score and cap the news rows of each answer."""
     title, category = F.col("title"), F.col("category")
-    rows = settle(rows.withColumn("outlet", outlet), "title", "url", "outlet")
+    rows = settle(rows.withColumn("outlet", outlet), "title", "outlet")
     seen_outlet = F.col("outlet") if policy.check_outlet else None
     refuse = should_exclude if policy.noise else is_ad
-    kept = has_title_and_link(rows).where(~refuse(title, rules, seen_outlet))
+    kept = rows.where(~refuse(title, rules, seen_outlet))
     if policy.match == "strict":
         kept = kept.where(match_strict(title, category, rules))
     elif policy.match == "loose":
@@ -242,8 +250,7 @@ def portal_news(
     payloads: DataFrame, rules: RuleBook, as_of: Day, policy: NewsPolicy = PORTAL_POLICY
 ) -> DataFrame:
     """JSON news answers: marked-up titles, one category per request."""
-    rows = scan.news_entries(payloads)
-    rows = rows.withColumns({"title": strip_tags(F.col("raw_title")), "url": F.col("raw_link")})
+    rows = cleaned_news(payloads)
     outlet = (
         F.lit(PORTAL_OUTLET)
         if policy.trusted_outlet
@@ -340,6 +347,7 @@ class Source:
     read: Callable[..., DataFrame]
     content: str = "rss"  # rss, law, news or html: how a broken payload is told
     needs_xml: bool = True
+    complete: bool = True  # False: type and trust are open, categories may be old names
 
 
 WIRED = (
@@ -350,10 +358,10 @@ WIRED = (
 )
 
 OPTIONAL = (
-    Source("ministry_rss", ministry_rss),
-    Source("tax_board", tax_board, "html", needs_xml=False),
-    Source("standards_board", standards_board, "html", needs_xml=False),
-    Source("briefing_rss", briefing_rss),
-    Source("mixed_rss", mixed_rss),
-    Source("supervisor_anchors", supervisor_anchors, "html", needs_xml=False),
+    Source("ministry_rss", ministry_rss, complete=False),
+    Source("tax_board", tax_board, "html", needs_xml=False, complete=False),
+    Source("standards_board", standards_board, "html", needs_xml=False, complete=False),
+    Source("briefing_rss", briefing_rss, complete=False),
+    Source("mixed_rss", mixed_rss, complete=False),
+    Source("supervisor_anchors", supervisor_anchors, "html", needs_xml=False, complete=False),
 )
