@@ -28,7 +28,7 @@ _OFF = f"source_type = {text(OFFICIAL)}"
     f"""WITH {ORDER_ITEMS} SELECT o_orderkey,
       CASE WHEN {_OFF} THEN '「' || {_NAME} || '」 관련 ' || category || ' 규정이 ' || {_KIND} || '되었습니다.'
            ELSE source || '가 보도한 ' || category || ' 분야 동향입니다.' END AS line1,
-      CASE WHEN {_OFF} AND {_EFFECTIVE} <> '' THEN {_EFFECTIVE} || {text(_W.official_dated)}
+      CASE WHEN {_OFF} AND {_EFFECTIVE} <> '' THEN replace({text(_W.official_dated)}, '{{date}}', {_EFFECTIVE})
            WHEN {_OFF} THEN {text(_W.official_undated)} ELSE {text(_W.other_second)} END AS line2
     FROM order_items"""
 )
@@ -51,7 +51,7 @@ def summary_lines(spark: SparkSession, folder: str) -> DataFrame:
       CASE WHEN {_OFF} THEN '「' || {_NAME} || '」 관련 ' || category || ' 개정 사항입니다.'
           || CASE WHEN {_EFFECTIVE} <> '' THEN ' ' || {_EFFECTIVE} || '부터 시행됩니다.' ELSE '' END
           || {text(_W.page_official_end)}
-        ELSE source || '의 ' || category || {text(_W.page_other[1])} END AS summary
+        ELSE replace(replace({text(_W.page_other)}, '{{source}}', source), '{{category}}', category) END AS summary
     FROM order_items"""
 )
 def feed_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,7 +122,7 @@ _FILTERS = {"text": " tion ", "date_from": "2024-03-01", "date_to": "2024-11-30"
 @query(
     f"""WITH {SCORED} SELECT doc_id, pos, title, date,
       CASE WHEN {_OFF} THEN '「' || {_NAME} || '」 관련 ' || category || ' 개정 사항입니다.' || {text(_W.page_official_end)}
-        ELSE source || '의 ' || category || {text(_W.page_other[1])} END AS page_summary
+        ELSE replace(replace({text(_W.page_other)}, '{{source}}', source), '{{category}}', category) END AS page_summary
     FROM scored WHERE {_SEARCH} AND category = 'en' ORDER BY date DESC, {FEED_ORDER}"""
 )
 def feed_search(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import add
+from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,25 +28,38 @@ def amendment_kind(title: Column, rules: RuleBook) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")), F.lit(rules.wording.default_kind))
 
 
+def fill(template: str, **values: Column) -> Column:
+    """A sentence with columns in its ``{...}`` places."""
+    parts = []
+    for fixed, name, _, _ in Formatter().parse(template):
+        if fixed:
+            parts.append(F.lit(fixed))
+        if name:
+            parts.append(values[name])
+    return F.concat(*parts)
+
+
+def _when_dated(title: Column, dated: str, otherwise: str) -> Column:
+    """``dated`` with the title's effective date in it, or ``otherwise`` if it has none."""
+    return let(
+        effective_date_text(title),
+        lambda date: F.when(date != "", fill(dated, date=date)).otherwise(F.lit(otherwise)),
+    )
+
+
 def summary_lines(
     title: Column, category: Column, source: Column, official: Column, rules: RuleBook
 ) -> Column:
     """Two sentences: about the rule for official items, about the outlet for others."""
     w = rules.wording
     title, category, source = _text(title), _text(category), _text(source)
-    a, b, c, d = (F.lit(x) for x in w.official_first)
+    kind = amendment_kind(title, rules)
     official_lines = F.array(
-        F.concat(a, short_name(title), b, category, c, amendment_kind(title, rules), d),
-        let(
-            effective_date_text(title),
-            lambda day: F.when(day != "", F.concat(day, F.lit(w.official_dated))).otherwise(
-                F.lit(w.official_undated)
-            ),
-        ),
+        fill(w.official_first, name=short_name(title), category=category, kind=kind),
+        _when_dated(title, w.official_dated, w.official_undated),
     )
-    before, between, after = (F.lit(x) for x in w.other_first)
     other_lines = F.array(
-        F.concat(before, source, between, category, after), F.lit(w.other_second)
+        fill(w.other_first, source=source, category=category), F.lit(w.other_second)
     )
     return F.when(official, official_lines).otherwise(other_lines)
 
@@ -56,18 +70,13 @@ def page_summary(
     """The one-paragraph wording shown when browsing."""
     w = rules.wording
     title, category, source = _text(title), _text(category), _text(source)
-    a, b, c = (F.lit(x) for x in w.page_official)
-    dated = let(
-        effective_date_text(title),
-        lambda day: F.when(day != "", F.concat(F.lit(" "), day, F.lit(w.page_effective))).otherwise(
-            F.lit("")
-        ),
+    about = fill(w.page_official, name=short_name(title), category=category)
+    official_text = F.concat(
+        about, _when_dated(title, w.page_effective, ""), F.lit(w.page_official_end)
+    )
+    return F.when(official, official_text).otherwise(
+        fill(w.page_other, source=source, category=category)
     )
-    middle, end = (F.lit(x) for x in w.page_other)
-    return F.when(
-        official,
-        F.concat(a, short_name(title), b, category, c, dated, F.lit(w.page_official_end)),
-    ).otherwise(F.concat(source, middle, category, end))
 
 
 def title_seed(title: Column) -> Column:

@@ -11,6 +11,9 @@ from feedcore.schema import LINK
 #: A lookup side is broadcast up to this many rows; beyond it the join shuffles.
 MAX_BROADCAST_ROWS = 100_000
 
+#: Longest piece of a fragment that keys a trust rule in ``trust_join``.
+MAX_GRAM = 5
+
 
 def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast after counting that the side is small; else leave it to Spark."""
@@ -75,7 +78,6 @@ def trust_join(
     key: str,
     url: str = "url",
     default: int = 30,
-    gram: int | None = None,
 ) -> DataFrame:
     """Trust score and name from a rule table of any size.
 
@@ -86,9 +88,13 @@ def trust_join(
     ``key`` must be unique per row.
     """
     rules = trust.where(F.length("fragment") > 0)
-    if gram is None:
-        shortest = rules.agg(F.min(F.length("fragment"))).first()[0]
-        gram = min(shortest or 1, 5)
+    sized = rules.agg(F.count("*").alias("n"), F.min(F.length("fragment")).alias("shortest")).first()
+    gram = min(sized.shortest or 1, MAX_GRAM)
+    small = sized.n <= MAX_BROADCAST_ROWS
+
+    def joinable(side: DataFrame) -> DataFrame:
+        return F.broadcast(side) if small else side
+
     keyed_rules = rules.select(
         F.substring("fragment", 1, gram).alias("_gram"), F.col("fragment").alias("_fragment"), "prio"
     )
@@ -104,13 +110,13 @@ def trust_join(
     # Partial aggregation runs right after the join: a URL's pieces share a task,
     # so at most one row per URL reaches the shuffle.
     best = (
-        pieces.join(broadcast_if_small(keyed_rules), "_gram")
+        pieces.join(joinable(keyed_rules), "_gram")
         .where(F.contains("_url", F.col("_fragment")))
         .groupBy(key)
         .agg(F.min("prio").alias("_prio"))
     )
     names = rules.select(F.col("prio").alias("_prio"), F.col("score"), F.col("name"))
-    scored = best.join(broadcast_if_small(names), "_prio").select(
+    scored = best.join(joinable(names), "_prio").select(
         key, F.col("score").alias("_score"), F.col("name").alias("trust_name")
     )
     return (

@@ -42,19 +42,19 @@ class TrustRule:
 
 @dataclass(frozen=True)
 class Wording:
-    """Sentences of the generated summaries; ``{}`` marks where values go."""
+    """Sentences of the generated summaries; ``{...}`` marks where values go."""
 
-    official_first: tuple[str, str, str, str]
+    official_first: str
     official_dated: str
     official_undated: str
-    other_first: tuple[str, str, str]
+    other_first: str
     other_second: str
     amendment_kinds: tuple[str, ...]
     default_kind: str
-    page_official: tuple[str, str, str]
+    page_official: str
     page_effective: str
     page_official_end: str
-    page_other: tuple[str, str]
+    page_other: str
 
 
 @dataclass(frozen=True)
@@ -228,19 +228,19 @@ SHIPPED = RuleBook(
     news_type="뉴스",
     codes={TAX: "tax", STANDARDS: "ifrs", INTERNAL_CONTROL: "icfr", ESG: "esg"},
     wording=Wording(
-        official_first=("「", "」 관련 ", " 규정이 ", "되었습니다."),
-        official_dated="부터 시행되며, 시행 전 실무 반영 여부를 확인해야 합니다.",
+        official_first="「{name}」 관련 {category} 규정이 {kind}되었습니다.",
+        official_dated="{date}부터 시행되며, 시행 전 실무 반영 여부를 확인해야 합니다.",
         official_undated="공식 원문을 통해 세부 개정 내용과 적용 시점을 확인하세요.",
-        other_first=("", "가 보도한 ", " 분야 동향입니다."),
+        other_first="{source}가 보도한 {category} 분야 동향입니다.",
         other_second="관련 기관 공식 자료와 함께 실무 적용 사항을 검토할 필요가 있습니다.",
         amendment_kinds=("일부개정", "전부개정", "타법개정", "제정"),
         default_kind="개정",
-        page_official=("「", "」 관련 ", " 개정 사항입니다."),
-        page_effective="부터 시행됩니다.",
+        page_official="「{name}」 관련 {category} 개정 사항입니다.",
+        page_effective=" {date}부터 시행됩니다.",
         page_official_end=" 아래 공식 원문에서 상세 내용을 확인하세요.",
         page_other=(
-            "의 ",
-            " 관련 보도입니다. 기사 원문과 함께, 관련 기관 공식 자료를 나란히 확인할 수 있습니다.",
+            "{source}의 {category} 관련 보도입니다. "
+            "기사 원문과 함께, 관련 기관 공식 자료를 나란히 확인할 수 있습니다."
         ),
     ),
     law_groups={
