@@ -34,6 +34,8 @@ from feedcore.functions.matching import (
 )
 from feedcore.functions.text import (
     clean_text,
+    let,
+    markup_text,
     outlet_of_title,
     settle,
     strip,
@@ -41,7 +43,7 @@ from feedcore.functions.text import (
     title_without_outlet,
 )
 from feedcore.functions.urls import join_url, law_url, outlet_from_url, script_or, site_url, with_trust
-from feedcore.operators.first import cap, exact_dedup
+from feedcore.operators.first import exact_dedup
 from feedcore.rules import KeywordRule, RuleBook
 from feedcore.sources import scan
 
@@ -207,26 +209,32 @@ SEARCH_POLICY_V1 = NewsPolicy("none", False, True, False, False, SEARCH_OUTLET)
 PORTAL_POLICY_V1 = NewsPolicy("none", False, True, False, False, PORTAL_OUTLET)
 
 
-def _news(
-    rows: DataFrame, outlet: Column, date: Column, rules: RuleBook, policy: NewsPolicy, most: int
-) -> DataFrame:
-    """Accept, name, score and cap the news rows of each answer."""
-    title, category = F.col("title"), F.col("category")
-    rows = settle(rows.withColumn("outlet", outlet), "title", "outlet")
-    seen_outlet = F.col("outlet") if policy.check_outlet else None
-    refuse = should_exclude if policy.noise else is_ad
-    kept = rows.where(~refuse(title, rules, seen_outlet))
-    if policy.match == "strict":
-        kept = kept.where(match_strict(title, category, rules))
-    elif policy.match == "loose":
-        kept = kept.where(match_loose(title, category, rules))
-    kept = cap(kept, ["payload_id"], most)
+def _news_test(rules: RuleBook, policy: NewsPolicy) -> Callable[[Column], Column]:
+    """What a news entry must pass, given its title, link and outlet."""
+
+    def accept(entry: Column) -> Column:
+        title, category = entry["title"], F.col("category")
+        outlet = entry["outlet"] if policy.check_outlet else None
+        refuse = should_exclude if policy.noise else is_ad
+        test = entry["complete"] & ~refuse(title, rules, outlet)
+        if policy.match == "strict":
+            test = test & match_strict(title, category, rules)
+        elif policy.match == "loose":
+            test = test & match_loose(title, category, rules)
+        return test
+
+    return accept
+
+
+def _news_items(kept: DataFrame, date: Column, rules: RuleBook, policy: NewsPolicy) -> DataFrame:
+    """Name and score the accepted news rows."""
     names = [rule.category for rule in rules.categories]
-    ranks = F.array_position(F.array(*[F.lit(n) for n in names]), category).cast("int")
+    ranks = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("category")).cast("int")
     scored = with_trust(kept, rules, "url", "trust", "trusted_name")
+    outlet = F.col("outlet")
     return _items(
         scored,
-        source=F.coalesce(F.col("trusted_name"), F.col("outlet")) if policy.trusted_outlet else F.col("outlet"),
+        source=F.coalesce(F.col("trusted_name"), outlet) if policy.trusted_outlet else outlet,
         source_type=F.lit(policy.source_type or rules.news_type),
         date=date,
         trust=F.col("trust") if policy.scored else F.lit(None).cast("int"),
@@ -234,31 +242,71 @@ def _news(
     )
 
 
+def _entry(pos: Column, **fields: Column) -> Column:
+    return F.struct(
+        pos.cast("long").alias("feed_pos"), *[c.alias(name) for name, c in fields.items()]
+    )
+
+
 def search_news(
     payloads: DataFrame, rules: RuleBook, as_of: Day, policy: NewsPolicy = SEARCH_POLICY
 ) -> DataFrame:
     """News search feeds: ``title - outlet`` entries, one category per request."""
-    rows = cleaned_rss(payloads).withColumn("full_title", F.col("title"))
-    rows = rows.withColumn("title", title_without_outlet(F.col("full_title")))
-    outlet = outlet_of_title(F.col("full_title"), SEARCH_OUTLET)
-    return _news(
-        rows, outlet, search_feed_date(F.col("raw_date"), as_of), rules, policy, rules.search_cap
+
+    def derive(entry: Column, pos: Column) -> Column:
+        def parts(clean: Column) -> Column:
+            full, link = F.get(clean, 0), F.get(clean, 1)
+            return _entry(
+                pos,
+                title=title_without_outlet(full),
+                outlet=outlet_of_title(full, SEARCH_OUTLET),
+                url=link,
+                complete=(full != "") & (link != ""),
+                raw_date=entry["pubDate"],
+            )
+
+        return let(F.transform(F.array(entry["title"], entry["link"]), clean_text), parts)
+
+    kept = scan.first_accepted(
+        payloads,
+        scan.parse_rss(F.col("body")),
+        scan.rss_array,
+        derive,
+        _news_test(rules, policy),
+        rules.search_cap,
     )
+    return _news_items(kept, search_feed_date(F.col("raw_date"), as_of), rules, policy)
 
 
 def portal_news(
     payloads: DataFrame, rules: RuleBook, as_of: Day, policy: NewsPolicy = PORTAL_POLICY
 ) -> DataFrame:
     """JSON news answers: marked-up titles, one category per request."""
-    rows = cleaned_news(payloads)
-    outlet = (
-        F.lit(PORTAL_OUTLET)
-        if policy.trusted_outlet
-        else outlet_from_url(F.col("url"), PORTAL_DOMAIN, PORTAL_OUTLET)
-    )
-    return _news(
-        rows, outlet, news_api_date(F.col("raw_date"), as_of), rules, policy, rules.portal_cap
+
+    def derive(entry: Column, pos: Column) -> Column:
+        def parts(title: Column) -> Column:
+            link = scan.news_link(entry)
+            known = policy.trusted_outlet
+            return _entry(
+                pos,
+                title=title,
+                outlet=F.lit(PORTAL_OUTLET) if known else outlet_from_url(link, PORTAL_DOMAIN, PORTAL_OUTLET),
+                url=link,
+                complete=(title != "") & (link != ""),
+                raw_date=entry["pubDate"],
+            )
+
+        return let(strip_tags(entry["title"]), parts)
+
+    kept = scan.first_accepted(
+        payloads,
+        scan.parse_news(F.col("body")),
+        scan.news_array,
+        derive,
+        _news_test(rules, policy),
+        rules.portal_cap,
     )
+    return _news_items(kept, news_api_date(F.col("raw_date"), as_of), rules, policy)
 
 
 def ministry_rss(payloads: DataFrame, rules: RuleBook, as_of: Day) -> DataFrame:
@@ -323,17 +371,26 @@ def mixed_rss(payloads: DataFrame, rules: RuleBook, as_of: Day) -> DataFrame:
 
 def supervisor_anchors(payloads: DataFrame, rules: RuleBook, as_of: Day) -> DataFrame:
     """Anchors of a listing page with a fitting title; the first ones per page."""
-    rows = settle(scan.anchor_entries(payloads).withColumn("title", F.col("raw_title")), "title")
-    rows = rows.where(
-        (F.char_length("title") >= MIN_ANCHOR_TITLE) & ~any_contains(F.col("title"), rules.mixed_exclude)
-    )
-    rows = rows.withColumn("category", classify_ordered(F.col("title"), rules.mixed_rules)).where(
-        F.col("category").isNotNull()
+
+    def derive(anchor: Column, pos: Column) -> Column:
+        return _entry(pos, title=markup_text(anchor), raw_link=scan.anchor_link(anchor))
+
+    def accept(entry: Column) -> Column:
+        title = entry["title"]
+        fitting = any_contains(title, [k for rule in rules.mixed_rules for k in rule.keywords])
+        return (
+            (F.char_length(title) >= MIN_ANCHOR_TITLE)
+            & ~any_contains(title, rules.mixed_exclude)
+            & fitting
+        )
+
+    kept = scan.first_accepted(
+        payloads, scan.anchor_array(F.col("body")), lambda p: p, derive, accept, rules.anchor_cap
     )
-    rows = cap(rows, ["payload_id"], rules.anchor_cap)
     return _items(
-        rows,
+        kept,
         source=F.lit(SUPERVISOR_SOURCE),
+        category=classify_ordered(F.col("title"), rules.mixed_rules),
         url=site_url(F.col("raw_link"), SUPERVISOR_BASE, SUPERVISOR_LIST),
         date=day_text(as_of),
     )

@@ -6,6 +6,8 @@ entries and keep their text in ``_corrupt``, so one bad answer never stops a job
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,27 @@ def _entries(payloads: DataFrame, parsed: Column, entries) -> DataFrame:
     )
 
 
+def first_accepted(
+    payloads: DataFrame,
+    parsed: Column,
+    entries: Callable[[Column], Column],
+    derive: Callable[[Column, Column], Column],
+    accept: Callable[[Column], Column],
+    n: int,
+) -> DataFrame:
+    """First ``n`` accepted entries of each payload, without a shuffle.
+
+    A payload's entries sit in one row, so they are derived, tested and cut as an
+    array; only what is kept becomes rows.
+    """
+    carried = [c for c in payloads.columns if c != "body"]
+    made = payloads.select(*carried, parsed.alias("_p")).select(
+        *carried, F.transform(entries(F.col("_p")), derive).alias("_made")
+    )
+    kept = F.slice(F.filter("_made", accept), 1, n)
+    return made.select(*carried, F.inline(kept))
+
+
 def _drop_entry(df: DataFrame) -> DataFrame:
     return df.drop("_e")
 
@@ -54,13 +77,14 @@ def parse_rss(body: Column) -> Column:
     return F.from_xml(body, _RSS, _PERMISSIVE)
 
 
-def rss_entries(payloads: DataFrame, parsed: Column | None = None) -> DataFrame:
+def rss_array(parsed: Column) -> Column:
     """``item`` elements below the channel or, as in RSS 1.0, below the root."""
-    rows = _entries(
-        payloads,
-        parse_rss(F.col("body")) if parsed is None else parsed,
-        lambda p: F.coalesce(p["channel"]["item"], p["item"]),
-    )
+    return F.coalesce(parsed["channel"]["item"], parsed["item"])
+
+
+def rss_entries(payloads: DataFrame) -> DataFrame:
+    """Feed entries with raw title, link and date; absent ones are empty."""
+    rows = _entries(payloads, parse_rss(F.col("body")), rss_array)
     return _drop_entry(
         rows.withColumns(
             {
@@ -116,16 +140,23 @@ def parse_news(body: Column) -> Column:
     return F.from_json(body, _NEWS, _PERMISSIVE)
 
 
+def news_array(parsed: Column) -> Column:
+    return parsed["items"]
+
+
+def news_link(entry: Column) -> Column:
+    """The original link, else the portal's own."""
+    return F.coalesce(F.nullif(entry["originallink"], F.lit("")), entry["link"], F.lit(""))
+
+
 def news_entries(payloads: DataFrame) -> DataFrame:
-    """Entries of a JSON news answer; the original link wins over the portal's."""
-    rows = _entries(payloads, parse_news(F.col("body")), lambda p: p["items"])
+    """Entries of a JSON news answer with raw title, link and date."""
+    rows = _entries(payloads, parse_news(F.col("body")), news_array)
     return _drop_entry(
         rows.withColumns(
             {
                 "raw_title": _empty_if_null(F.col("_e.title")),
-                "raw_link": F.coalesce(
-                    F.nullif(F.col("_e.originallink"), F.lit("")), F.col("_e.link"), F.lit("")
-                ),
+                "raw_link": news_link(F.col("_e")),
                 "raw_date": _empty_if_null(F.col("_e.pubDate")),
             }
         )
@@ -142,17 +173,22 @@ def _visible(html: Column) -> Column:
     return F.regexp_replace(_empty_if_null(html), _COMMENT_OR_CODE, "")
 
 
+def anchor_link(anchor: Column) -> Column:
+    return attribute(F.regexp_extract(anchor, _OPENING, 0), "href")
+
+
 def _anchor_fields(anchor: Column) -> dict[str, Column]:
-    return {
-        "raw_title": markup_text(anchor),
-        "raw_link": attribute(F.regexp_extract(anchor, _OPENING, 0), "href"),
-    }
+    return {"raw_title": markup_text(anchor), "raw_link": anchor_link(anchor)}
 
 
-def anchor_entries(payloads: DataFrame) -> DataFrame:
+def anchor_array(body: Column) -> Column:
     """Every anchor of an HTML page, in document order."""
-    anchors = F.regexp_extract_all(_visible(F.col("body")), F.lit(_ANCHOR), F.lit(0))
-    rows = _entries(payloads, F.struct(anchors.alias("a")), lambda p: p["a"])
+    return F.regexp_extract_all(_visible(body), F.lit(_ANCHOR), F.lit(0))
+
+
+def anchor_entries(payloads: DataFrame) -> DataFrame:
+    """Every anchor of an HTML page with its text and link."""
+    rows = _entries(payloads, anchor_array(F.col("body")), lambda anchors: anchors)
     return _drop_entry(rows.withColumns(_anchor_fields(F.col("_e"))))
 
 
