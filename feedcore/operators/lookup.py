@@ -100,12 +100,10 @@ def trust_join(
     )
     lowered = F.lower(F.coalesce(F.col(url), F.lit("")))
     starts = F.sequence(F.lit(1), F.greatest(F.length("_url") - gram + 1, F.lit(1)))
-    pieces = df.select(F.col(key), lowered.alias("_url")).select(
-        key,
-        "_url",
-        F.explode(
-            F.array_distinct(F.transform(starts, lambda i: F.substr("_url", i, F.lit(gram))))
-        ).alias("_gram"),
+    pieces = (
+        df.select(F.col(key), lowered.alias("_url"))
+        .select(key, "_url", F.explode(starts).alias("_start"))
+        .select(key, "_url", F.substr("_url", "_start", F.lit(gram)).alias("_gram"))
     )
     # Partial aggregation runs right after the join: a URL's pieces share a task,
     # so at most one row per URL reaches the shuffle.
