@@ -26,16 +26,19 @@ def local_session(cores: int | str = "*", app: str = "feedcore") -> SparkSession
     )
 
 
+#: Scratch folders of local sessions, by application; a session's setting can't be changed.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one named in ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a temporary folder; a cluster without
     the setting is an error, since its executors do not share one disk.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="feedcore-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="feedcore-")
     return f"{base.rstrip('/')}/feedcore/{name}-{uuid.uuid4().hex}"
