@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedcore.llm import byte_bpe, chat, fingerprint, language, packing, substrings
+from feedcore.llm import byte_bpe, chat, fingerprint, jaccard, language, packing, pseudo, substrings, templates, vectors
 from feedcore.llm.common import read_table
 
 
@@ -26,11 +26,25 @@ def op3_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_log(chat.log_of_turns(rows.unionByName(own))))
 
 
+def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.classes(read_table(spark, folder, "documents"), jaccard.Likeness(words=3, num=90, den=100))
+
+
+def op5_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.nearest(read_table(spark, folder, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     return byte_bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    told = templates.drop_recurring(docs)
+    return told.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
@@ -42,19 +56,36 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    tokens = pseudo.vocabulary(docs)
+    return pseudo.score(docs, tokens, pseudo.train(docs, tokens))
+
+
 def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.with_next(read_table(spark, folder, "documents"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing,
         op2_substring_dedup,
         op3_chat_formatting,
+        op4_ngram_jaccard,
+        op5_nearest_neighbours,
         op6_byte_bpe,
+        op7_line_dedup,
         op8_language_id,
+        op9_lm_scoring,
         op10_document_fingerprints,
+        pipeline,
     )
 }
 ORACLES = {
@@ -64,13 +95,13 @@ WITH d AS (
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
   FROM documents),
 w AS (
-  SELECT row, at, md5(array_to_string(words[at : at + 34], ' ')) AS digest
-  FROM (SELECT row, words, unnest(range(1, len(words) - 33)) AS at FROM d WHERE len(words) >= 35)),
+  SELECT row, pos, md5(array_to_string(words[pos : pos + 34], ' ')) AS digest
+  FROM (SELECT row, words, unnest(range(1, len(words) - 33)) AS pos FROM d WHERE len(words) >= 35)),
 again AS (SELECT digest FROM w GROUP BY digest HAVING count(*) > 1),
-starts AS (SELECT row, list_sort(list(at)) AS at FROM w JOIN again USING (digest) GROUP BY row),
+starts AS (SELECT row, list(pos) AS spots FROM w JOIN again USING (digest) GROUP BY row),
 gone AS (
   SELECT row, list(DISTINCT word) AS gone
-  FROM (SELECT row, unnest(range(s, s + 35)) AS word FROM (SELECT row, unnest(at) AS s FROM starts))
+  FROM (SELECT row, unnest(range(s, s + 35)) AS word FROM (SELECT row, unnest(spots) AS s FROM starts))
   GROUP BY row),
 kept AS (
   SELECT d.row, string_agg(word, ' ' ORDER BY i) AS text
