@@ -147,7 +147,7 @@ def windows(texts: list[bytes], token_of: np.ndarray, hashes: WordHashes) -> tup
     return np.stack([line[at + d] for d in places]), line[at], sizes
 
 
-def train(docs: DataFrame, token_of: np.ndarray, rounds: int = 2, train_every: int = 16, rate: float = 4.0, step: int = 512) -> Network:
+def train(docs: DataFrame, token_of: np.ndarray, rounds: int = 2, train_every: int = 16, rate: float = 16.0, step: int = 512) -> Network:
     """Average of networks trained apart; what is gathered grows with the number of tasks."""
     spark = docs.sparkSession
     network = Network()
