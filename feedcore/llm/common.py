@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,23 +45,6 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     )
 
 
-class WordHashes(dict):
-    """64-bit hash of a byte word, remembered.  ``trim`` bounds the memory."""
-
-    limit = 700_000
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-    def trim(self) -> None:
-        if len(self) > self.limit:
-            self.clear()
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Finaliser of the 64-bit Murmur hash: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)
@@ -76,6 +58,47 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+HASHED_AT_ONCE = 1 << 20
+
+
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in a row, and the number of words of each.
+
+    Words are runs without ASCII white space.  A word's hash is the sum of its bytes,
+    each times a random factor of its place, and its length, mixed.  ``lower`` takes A-Z as a-z.
+    """
+    hashes, counts, at = [], [], 0
+    while at < len(texts):
+        part, size = [], 0
+        while at < len(texts) and (not part or size < HASHED_AT_ONCE):
+            part.append(texts[at])
+            size += len(texts[at]) + 1
+            at += 1
+        data = np.frombuffer(b" ".join(part) + b" ", np.uint8)
+        if lower:
+            data = _LOWER[data]
+        gap = _WHITE[data]
+        before = np.concatenate(([True], gap[:-1]))
+        starts, ends = np.flatnonzero(~gap & before), np.flatnonzero(gap & ~before)
+        borders = np.cumsum([0] + [len(t) + 1 for t in part])
+        counts.append(np.diff(np.searchsorted(starts, borders)))
+        if not len(starts):
+            continue
+        sizes = ends - starts
+        first = np.cumsum(sizes) - sizes
+        letters = data[~gap].astype(np.uint64)
+        place = np.arange(len(letters)) - np.repeat(first, sizes)
+        factors = mixed(np.arange(1, int(sizes.max()) + 1, dtype=np.uint64), 17) | np.uint64(1)
+        with np.errstate(over="ignore"):
+            sums = np.add.reduceat((letters + np.uint64(1)) * factors[place], first)
+            hashes.append(mixed(sums + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 19))
+    return np.concatenate(hashes or [np.empty(0, np.uint64)]), np.concatenate(counts or [np.empty(0, np.int64)])
+
+
 class Rolling:
     """Polynomial hashes modulo 2**64 of every window of a sequence of word hashes.
 
@@ -115,24 +138,23 @@ def components(links: DataFrame, name: str) -> DataFrame:
     folder; a hub is split by adaptive skew handling, as the hub's row is one and
     its links are many.
     """
-    edges = stage(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), name
-    )
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stage(large.where("u != v").distinct(), name)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = large.join(low, "u")
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))
         )
         small = stage(small.where("u != v").distinct(), name)
         # Done when every node has one parent, and no parent has one itself.
-        many = small.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
-        deep = many.join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-        if many.where("n > 1").isEmpty() and deep.isEmpty():
+        ends = small.select("u", F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.unionByName(small.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")).distinct())
+        open_ = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if open_.where("up > 1 or up = 1 and down = 1").isEmpty():
             break
         edges = small
     roots = small.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))

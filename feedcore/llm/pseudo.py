@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedcore.llm.common import WordHashes, as_bytes, by_bytes, mixed
+from feedcore.llm.common import as_bytes, by_bytes, mixed, word_hashes
 
 BUCKETS = 1 << 18
 CHUNKS = 16
@@ -34,21 +34,17 @@ CLASS = 32
 REACH = 2
 WIDTH = 16
 BATCH_BYTES = 4 << 20
-
-
-def buckets_of(text: bytes, hashes: WordHashes) -> np.ndarray:
-    return (hashes.of(text.lower().split()) >> np.uint64(46)).astype(np.int64)
+_SHIFT = np.uint64(46)  # 64 bits to one of BUCKETS
 
 
 def vocabulary(docs: DataFrame) -> np.ndarray:
     """Token of each bucket, from counts over all documents."""
 
     def count(rows):
-        hashes, total = WordHashes(), np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for batch in by_bytes(rows, "text", BATCH_BYTES):
-            for text in as_bytes(batch, "text"):
-                total += 0 if not text else np.bincount(buckets_of(text, hashes), minlength=BUCKETS)
-            hashes.trim()
+            words = word_hashes(as_bytes(batch, "text"), lower=True)[0]
+            total += np.bincount((words >> _SHIFT).astype(np.int64), minlength=BUCKETS)
         parts = total.reshape(CHUNKS, -1)
         yield pa.record_batch([pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "counts"])
 
@@ -134,17 +130,16 @@ class Network:
             np.subtract.at(self.inside[place], around[place], rate / n * slope)
 
 
-def windows(texts: list[bytes], token_of: np.ndarray, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(texts: list[bytes], token_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens around, tokens, and the number of tokens of each text."""
-    own = [token_of[buckets_of(t, hashes)] if t else np.empty(0, np.int64) for t in texts]
-    hashes.trim()
-    sizes = np.array([len(x) for x in own], np.int64)
-    edge = np.full(REACH, VOCABULARY, np.int64)
-    line = np.concatenate([p for x in own for p in (x, edge)] + [edge] or [edge])
-    line = np.concatenate((edge, line))
-    at = np.flatnonzero(line < VOCABULARY)
+    words, sizes = word_hashes(texts, lower=True)
+    tokens = token_of[(words >> _SHIFT).astype(np.int64)]
+    # Texts are set apart by places beyond the vocabulary.
+    at = np.arange(len(tokens)) + REACH * (np.repeat(np.arange(len(texts)), sizes) + 1)
+    line = np.full(len(tokens) + REACH * (len(texts) + 1), VOCABULARY, np.int64)
+    line[at] = tokens
     places = [d for d in range(-REACH, REACH + 1) if d]
-    return np.stack([line[at + d] for d in places]), line[at], sizes
+    return np.stack([line[at + d] for d in places]), tokens, sizes
 
 
 def train(docs: DataFrame, token_of: np.ndarray, rounds: int = 2, train_every: int = 16, rate: float = 16.0, step: int = 512) -> Network:
@@ -158,9 +153,9 @@ def train(docs: DataFrame, token_of: np.ndarray, rounds: int = 2, train_every: i
 
         def run(rows, given=given, turn=turn):
             parts, tokens = given.value
-            own, hashes, seen = Network([p.copy() for p in parts]), WordHashes(), 0
+            own, seen = Network([p.copy() for p in parts]), 0
             for batch in by_bytes(rows, "text", BATCH_BYTES):
-                around, token, _ = windows(as_bytes(batch, "text"), tokens, hashes)
+                around, token, _ = windows(as_bytes(batch, "text"), tokens)
                 shuffled = np.random.default_rng(turn).permutation(len(token))
                 for at in range(0, len(token), step):
                     pick = shuffled[at : at + step]
@@ -190,9 +185,9 @@ def score(docs: DataFrame, token_of: np.ndarray, network: Network) -> DataFrame:
 
     def run(rows):
         parts, tokens = given.value
-        own, hashes = Network(parts), WordHashes()
+        own = Network(parts)
         for batch in by_bytes(rows, "text", BATCH_BYTES):
-            around, token, sizes = windows(as_bytes(batch, "text"), tokens, hashes)
+            around, token, sizes = windows(as_bytes(batch, "text"), tokens)
             told = np.empty(len(token))
             for at in range(0, len(token), 65_536):
                 told[at : at + 65_536] = own.log_probabilities(around[:, at : at + 65_536], token[at : at + 65_536])

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from feedcore.llm.common import Rolling, WordHashes, as_bytes, bucket_bits, by_bytes, stage
+from feedcore.llm.common import Rolling, as_bytes, bucket_bits, by_bytes, stage, word_hashes
 
 WINDOW = 35
 _BLOCKS = Rolling(0x9E3779B97F4A7C15)
@@ -47,13 +48,11 @@ BATCH_BYTES = 8 << 20
 class Batch:
     """The words of several texts in one row, and where each text lies."""
 
-    def __init__(self, texts: list[bytes], hashes: WordHashes) -> None:
-        self.words = [t.split() for t in texts]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
+    def __init__(self, texts: list[bytes]) -> None:
+        self.texts = texts
+        self.hashes, self.sizes = word_hashes(texts)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-        self.hashes = np.concatenate([hashes.of(w) for w in self.words] or [np.empty(0, np.uint64)])
-        hashes.trim()
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
         self.at = np.arange(len(self.hashes)) - self.starts[self.doc]
 
@@ -77,10 +76,9 @@ def hits(docs: DataFrame, window: int, bits: int) -> DataFrame:
     size = (window + 1) // 2
 
     def probe(rows):
-        hashes = WordHashes()
         names = ["bucket", "single", "several", "blocks"]
         for batch in by_bytes(rows, "text", BATCH_BYTES):
-            own = Batch(as_bytes(batch, "text"), hashes)
+            own = Batch(as_bytes(batch, "text"))
             at = own.whole(size)
             if not len(at):
                 continue
@@ -109,9 +107,11 @@ def hits(docs: DataFrame, window: int, bits: int) -> DataFrame:
         single = np.sort(np.concatenate([np.frombuffer(x, "<u4") for x in table.column("single").to_pylist()]))
         several = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("several").to_pylist()])
         blocks = np.concatenate([np.frombuffer(x, _BLOCK) for x in table.column("blocks").to_pylist()])
-        again = np.unique(np.concatenate([single[1:][single[1:] == single[:-1]], several]))
         # Met once in one batch and several times in another is covered by "several".
-        hit = np.unique(blocks[np.isin(blocks["rest"], again)][["doc", "at"]])
+        again = np.unique(np.concatenate([single[1:][single[1:] == single[:-1]], several, [np.uint32(0xFFFFFFFF)]]))
+        rest = blocks["rest"]
+        # The largest value counts as met again: hits are tested in full anyway.
+        hit = blocks[again[np.searchsorted(again, rest)] == rest]
         return pa.table({"doc": hit["doc"].view(np.int64), "at": hit["at"].astype(np.int32)})
 
     sent = docs.select(text_ids().alias("doc"), "text").mapInArrow(probe, "bucket int, single binary, several binary, blocks binary")
@@ -147,6 +147,24 @@ def digests(own: Batch, at: np.ndarray, window: int, bits: int) -> tuple[np.ndar
     return (first >> np.uint64(64 - bits)).astype(np.int64), out
 
 
+class Groups:
+    """Equal digests of an array: ``of`` numbers them in ascending order, ``counts`` has their sizes."""
+
+    def __init__(self, found: np.ndarray) -> None:
+        order = np.argsort(found["a"])
+        own = found[order]
+        if ((own["a"][1:] == own["a"][:-1]) & (own["b"][1:] != own["b"][:-1])).any():
+            order = np.lexsort((found["b"], found["a"]))
+            own = found[order]
+        new = np.ones(len(own), bool)
+        new[1:] = (own["a"][1:] != own["a"][:-1]) | (own["b"][1:] != own["b"][:-1])
+        starts = np.flatnonzero(new)
+        self.values = own[starts]
+        self.counts = np.diff(np.append(starts, len(own)))
+        self.of = np.empty(len(own), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+
+
 def covered(n: int, at: np.ndarray, window: int) -> np.ndarray:
     """Which of ``n`` words lie in a window that starts at one of ``at``."""
     steps = np.zeros(n + 1, np.int64)
@@ -164,12 +182,17 @@ class Output:
     def of(self, batch: pa.RecordBatch, own: Batch, gone: np.ndarray) -> dict[str, pa.Array]:
         """``gone`` marks the words to remove."""
         removed, kept, spans, texts = [], [], [], None
-        for words, start, end in zip(own.words, own.starts, own.ends):
-            mask = gone[start:end]
-            n = int(mask.sum())
+        for text, start, end in zip(own.texts, own.starts, own.ends):
+            words, mask = text.split(), gone[start:end]
+            n = int(np.count_nonzero(mask))
+            if not n:
+                spans.append([])
+                kept.append(b" ".join(words))
+                removed.append(0)
+                continue
             edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
             spans.append([{"from_word": int(a), "to_word": int(b)} for a, b in edges.reshape(-1, 2)])
-            kept.append(b" ".join([w for w, g in zip(words, mask) if not g] if n else words))
+            kept.append(b" ".join(compress(words, ~mask)))
             removed.append(n)
         out = {c: batch.column(c) for c in self.columns if c != "text"}
         if self.with_text:
@@ -205,18 +228,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
         return pa.record_batch([own[f.name].cast(f.type) if f.name in own else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def extend(rows):
-        hashes = WordHashes()
         for batch in by_bytes(rows, "text", BATCH_BYTES):
             found = batch.column("hits").to_pylist()
             waits = pa.array([bool(f) for f in found])
             calm = batch.filter(pc.invert(waits))
             if calm.num_rows:
-                own = Batch(as_bytes(calm, "text"), hashes)
+                own = Batch(as_bytes(calm, "text"))
                 yield rows_of(out.of(calm, own, np.zeros(len(own.hashes), bool)), calm.num_rows)
             batch = batch.filter(waits)
             if not batch.num_rows:
                 continue
-            own = Batch(as_bytes(batch, "text"), hashes)
+            own = Batch(as_bytes(batch, "text"))
             at = tested(own, [f for f in found if f], window)
             buckets, own_digests = digests(own, at, window, bits)
             name = uuid.uuid4().hex
@@ -230,8 +252,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
             for b in range(1 << bits):
                 part = own_digests[order[ends[b] : ends[b + 1]]]
                 if len(part):
-                    values, counts = np.unique(part, return_counts=True)
-                    parts.append((b, values[counts == 1].tobytes(), values[counts > 1].tobytes()))
+                    groups = Groups(part)
+                    once = groups.counts == 1
+                    parts.append((b, groups.values[once].tobytes(), groups.values[~once].tobytes()))
             if parts:
                 b, single, several = zip(*parts)
                 probe = {"batch": pa.array([name] * len(b)), "bucket": pa.array(b, pa.int32())}
@@ -247,9 +270,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
         """For each batch the digests, in ascending order, that start elsewhere too."""
         single = [np.frombuffer(x, _DIGEST) for x in table.column("single").to_pylist()]
         several = [np.frombuffer(x, _DIGEST) for x in table.column("several").to_pylist()]
-        every = np.sort(np.concatenate([*single, *(np.unique(s) for s in several)]))
-        again = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *several]))
-        bits_ = [np.packbits(np.isin(s, again)).tobytes() for s in single]
+        groups = Groups(np.concatenate([*single, *several]))
+        n = sum(map(len, single))
+        again = groups.counts > 1
+        again[groups.of[n:]] = True
+        flags = np.split(again[groups.of[:n]], np.cumsum([len(x) for x in single])[:-1])
+        bits_ = [np.packbits(f).tobytes() for f in flags]
         return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "bits": pa.array(bits_, pa.binary())})
 
     probes = kept.where("bucket is not null").select("batch", "bucket", "single", "several")
@@ -257,13 +283,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     answers = answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
 
     def finish(rows):
-        hashes = WordHashes()
         final = to_arrow_schema(result)
         for row in rows:
             for data, told in zip(row.column("docs").to_pylist(), row.column("answers").to_pylist()):
                 with pa.ipc.open_stream(data) as reader:
                     batch = reader.read_next_batch()
-                own = Batch(as_bytes(batch, "text"), hashes)
+                own = Batch(as_bytes(batch, "text"))
                 at = tested(own, batch.column("hits").to_pylist(), window)
                 buckets, own_digests = digests(own, at, window, bits)
                 order = np.argsort(buckets, kind="stable")
@@ -273,11 +298,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
                 for answer in told or ():
                     b = answer["bucket"]
                     part = order[ends[b] : ends[b + 1]]
-                    values, inverse, counts = np.unique(own_digests[part], return_inverse=True, return_counts=True)
-                    yes = counts > 1
+                    groups = Groups(own_digests[part])
+                    yes = groups.counts > 1
                     flags = np.unpackbits(np.frombuffer(answer["bits"], np.uint8))[: int((~yes).sum())]
                     yes[~yes] = flags.astype(bool)
-                    sure.append(at[part[yes[inverse]]])
+                    sure.append(at[part[yes[groups.of]]])
                 if sure:
                     gone = covered(len(own.hashes), np.concatenate(sure), window)
                 made = out.of(batch, own, gone)
