@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedcore.llm.common import Rolling, WordHashes, as_bytes, bucket_bits, by_bytes, components, mixed, stage, text_key
+from feedcore.llm.common import Rolling, as_bytes, bucket_bits, by_bytes, components, mixed, stage, text_key, word_hashes
 
 _SHINGLES = Rolling(0x9E3779B97F4A7C15)
 _POST = np.dtype([("key", "<u8"), ("node", "S16")])
@@ -71,13 +71,17 @@ class Likeness:
         return 2 * top * (self.den - self.num) // (self.den + self.num) + 1
 
 
-def shingle_sets(texts: list[bytes], words: int, hashes: WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     """Distinct shingle hashes of each text, ascending; fewer words than a shingle make one."""
+    hashes, sizes = word_hashes(texts, lower=True)
+    ends = np.cumsum(sizes)
+    every = _SHINGLES.windows(hashes, words)
     out = []
-    for text in texts:
-        own = hashes.of(text.lower().split())
-        out.append(np.unique(_SHINGLES.windows(own, min(words, len(own)))) if len(own) else own)
-    hashes.trim()
+    for start, end in zip((ends - sizes).tolist(), ends.tolist()):
+        if end - start >= words:
+            out.append(np.unique(every[start : end - words + 1]))
+        else:
+            out.append(_SHINGLES.windows(hashes[start:end], end - start) if end > start else hashes[:0])
     return out
 
 
@@ -150,12 +154,20 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stars(posts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each set against the least set of its key: the least posts, and pairs (less, more)."""
-    posts = np.unique(posts)
-    lead, starts = runs(posts["key"])
-    rest = np.flatnonzero(lead != np.arange(len(posts)))
-    pairs = np.unique(np.stack([posts["node"][lead[rest]], posts["node"][rest]], 1), axis=0) if len(rest) else np.empty((0, 2), "S16")
-    return posts[starts], pairs
+    """Each set against the least set of its key: the least posts by key, and pairs (less, more)."""
+    posts = posts[np.argsort(posts["key"])]
+    same = posts["key"][1:] == posts["key"][:-1]
+    shared = np.zeros(len(posts), bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    own = np.unique(posts[shared])
+    lead, starts = runs(own["key"])
+    rest = np.flatnonzero(lead != np.arange(len(own)))
+    pairs = np.empty((0, 2), "S16")
+    if len(rest):
+        pairs = np.unique(np.stack([own["node"][lead[rest]], own["node"][rest]], 1).view("S32")).view("S16").reshape(-1, 2)
+    least = np.concatenate((posts[~shared], own[starts]))
+    return least[np.argsort(least["key"])], pairs
 
 
 def _nodes(x: np.ndarray) -> pa.Array:
@@ -173,9 +185,8 @@ def index(docs: DataFrame, like: Likeness, bits: int) -> DataFrame:
     id_type = pa.int64()
 
     def post(rows):
-        hashes = WordHashes()
         for turn, batch in enumerate(by_bytes(rows, "text", BATCH_BYTES)):
-            sets = shingle_sets(as_bytes(batch, "text"), like.words, hashes)
+            sets = shingle_sets(as_bytes(batch, "text"), like.words)
             nodes = [node_of(s) for s in sets]
             distinct = {n: s for n, s in zip(nodes, sets) if len(s)}
             names = np.array(list(distinct), "S16")
@@ -223,7 +234,7 @@ def index(docs: DataFrame, like: Likeness, bits: int) -> DataFrame:
                     own = reader.read_next_batch()
                 add("doc", own.num_rows, **{c: own.column(c) for c in own.schema.names})
                 pairs.append(np.frombuffer(local, "S16").reshape(-1, 2))
-        pairs = np.unique(np.concatenate(pairs), axis=0)
+        pairs = np.unique(np.concatenate(pairs).view("S32")).view("S16").reshape(-1, 2)
         add("pair", len(pairs), a=_nodes(pairs[:, 0]), b=_nodes(pairs[:, 1]))
         return pa.concat_tables(out) if out else schema.empty_table()
 
@@ -236,9 +247,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """``(node, size, members)`` of the wanted nodes: their texts are read again and shingled."""
 
     def run(rows):
-        hashes = WordHashes()
         for batch in by_bytes(rows, "text", BATCH_BYTES):
-            sets = shingle_sets(as_bytes(batch, "text"), words, hashes)
+            sets = shingle_sets(as_bytes(batch, "text"), words)
             yield pa.record_batch(
                 [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 ["node", "size", "members"],
@@ -325,7 +335,7 @@ def cross_pairs(sets: DataFrame, roots: DataFrame, like: Likeness, bits: int, se
     return sent.groupBy("bucket").applyInArrow(meet, "a binary, b binary").distinct()
 
 
-def classes(docs: DataFrame, like: Likeness, rounds: int = 2) -> DataFrame:
+def classes(docs: DataFrame, like: Likeness, rounds: int = 1) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every document."""
     bits = bucket_bits(docs, "text")
     indexed = index(docs, like, bits)
