@@ -21,9 +21,9 @@ That makes ``(H + 1 - a) + a > H`` differences.  Sets without such a prefix rais
 all segments and are indexed under one key of their own, for pairs of two of them.
 
 Candidates are not listed pairwise.  In a key's list each set meets one leader (first
-within a task, then over all tasks), links are verified and contracted, then every
-set meets other leaders of other components, and only what lies in different
-components after that is compared in full.  Sets that are equal count as one.
+within a task, then over all tasks); links are verified and contracted.  Sets that
+hang together by keys but not by links are then compared in full, in blocks, and
+only links come out.  Sets that are equal count as one.
 
 Words are runs without ASCII white space, A-Z lower-cased.  Nulls: a null text has no
 words; texts without words are linked with nothing.  A null ``doc_id`` takes part and
@@ -34,7 +34,6 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -285,57 +284,78 @@ def verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     return close.join(left.drop("nx"), "a").join(right.drop("ny"), "b").mapInArrow(run, "a binary, b binary")
 
 
-def cross_pairs(sets: DataFrame, roots: DataFrame, like: Likeness, bits: int, seed: int | None) -> DataFrame:
-    """Pairs of sets that share a key and lie in different components.
-
-    With a seed each set meets one leader of its key in another component, the leader
-    drawn anew for each key.  Without one all such pairs are listed.
+def joint_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one block with all of another."""
+    counts = np.zeros((len(left), len(right)), np.float32)
+    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)))
+    if not len(common):
+        return counts
+    spots = []
+    for block in (left, right):
+        flat = np.concatenate(block)
+        row = np.repeat(np.arange(len(block)), [len(x) for x in block])
+        at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+        hit = common[at] == flat
+        order = np.argsort(at[hit], kind="stable")
+        spots.append((row[hit][order], at[hit][order]))
+    for start in range(0, len(common), 4096):
+        dense = []
+        for (row, at), block in zip(spots, (left, right)):
+            low, high = np.searchsorted(at, (start, start + 4096))
+            part = np.zeros((len(block), 4096), np.float32)
+            part[row[low:high], at[low:high] - start] = 1
+            dense.append(part)
+        counts += dense[0] @ dense[1].T
+    return counts
+
+
+def links_between(sets: DataFrame, pairs: DataFrame, roots: DataFrame, like: Likeness, block: int = 1024) -> DataFrame:
+    """Links ``(a, b)`` between components, exactly: what one leader each could not tell.
+
+    A family is what hangs together by shared keys.  Families that verified links have
+    not made one component yet are compared in full, block by block: a set goes to as
+    many tasks as its family has blocks.  Only links that join components come out,
+    fewer than there are components in the two blocks.
     """
-    known = sets.join(roots.withColumnRenamed("root", "own"), "node", "left")
-    known = known.select("node", F.coalesce("own", "node").alias("own"), "members")
-    post = np.dtype([("key", "<u8"), ("own", "S16"), ("node", "S16")])
-
-    def send(rows):
-        for batch in rows:
-            nodes = np.array(batch.column("node").to_pylist(), "S16")
-            owns = np.array(batch.column("own").to_pylist(), "S16")
-            which, keys = signatures([np.frombuffer(x, np.uint64) for x in batch.column("members").to_pylist()], like)
-            posts = np.empty(len(keys), post)
-            posts["key"], posts["node"], posts["own"] = keys, nodes[which], owns[which]
-            posts.sort(order=["key", "own", "node"])
-            ends = np.searchsorted((posts["key"] >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
-            found = [(b, posts[ends[b] : ends[b + 1]].tobytes()) for b in range(1 << bits) if ends[b] < ends[b + 1]]
-            yield pa.record_batch([pa.array([b for b, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], ["bucket", "posts"])
-
-    def meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        posts = np.concatenate([np.frombuffer(x, post) for batch in rows for x in batch.column("posts").to_pylist()])
-        posts = np.unique(posts)
-        _, starts = runs(posts["key"])
-        ends = np.append(starts[1:], len(posts))
-        more = posts["own"][starts] != posts["own"][np.maximum(ends - 1, 0)]  # sorted by own within a key
-        met: set[tuple[bytes, bytes]] = set()
-        for start, end in zip(starts[more], ends[more]):
-            nodes, owns = np.ascontiguousarray(posts["node"][start:end]), posts["own"][start:end]
-            if seed is not None:
-                order = np.argsort(mixed(posts["key"][start:end] ^ nodes.view("<u8")[::2], seed))
-                lead = order[0]
-                other = next(i for i in order if owns[i] != owns[lead])
-                against = [(lead if owns[i] != owns[lead] else other, i) for i in range(len(nodes))]
-                met.update((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in against)
-            else:
-                for i in range(len(nodes)):
-                    for j in np.flatnonzero(owns[i + 1 :] != owns[i]) + i + 1:
-                        met.add((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-                        if len(met) >= 100_000:
-                            yield pa.record_batch([pa.array([bytes(x[k]) for x in met], pa.binary()) for k in (0, 1)], ["a", "b"])
-                            met = set()
-        yield pa.record_batch([pa.array([bytes(x[k]) for x in met], pa.binary()) for k in (0, 1)], ["a", "b"])
-
-    sent = known.mapInArrow(send, "bucket int, posts binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "a binary, b binary").distinct()
-
-
-def classes(docs: DataFrame, like: Likeness, rounds: int = 1) -> DataFrame:
+    family = components(pairs, "families").withColumnRenamed("root", "family")
+    known = sets.join(family, "node").join(roots.withColumnRenamed("root", "own"), "node", "left")
+    known = known.withColumn("own", F.coalesce("own", "node"))
+    narrow = known.select("family", "own")
+    open_ = narrow.groupBy("family").agg(F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high"))
+    open_ = open_.where("low <> high").select("family", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = known.join(open_, "family").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "own", "members")
+
+    def compare(table: pa.Table) -> pa.Table:
+        own = table.column("own").to_pylist()
+        sets_ = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
+        mine = np.array(table.column("mine").to_pylist())
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        parent = {o: o for o in own}
+
+        def top(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        found = []
+        if len(left) and len(right) and len(parent) > 1:
+            joint = joint_counts([sets_[k] for k in left], [sets_[k] for k in right])
+            sizes = np.array([len(x) for x in sets_])
+            total = sizes[left][:, None] + sizes[right][None, :] - joint
+            for x, y in zip(*np.nonzero(like.den * joint >= like.num * total)):
+                a, b = top(own[left[x]]), top(own[right[y]])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    found.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    return dealt.groupBy("family", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+
+def classes(docs: DataFrame, like: Likeness) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every document."""
     bits = bucket_bits(docs, "text")
     indexed = index(docs, like, bits)
@@ -346,19 +366,10 @@ def classes(docs: DataFrame, like: Likeness, rounds: int = 1) -> DataFrame:
     wanted = one.select(F.col("a").alias("node"), F.col("least.doc_id").alias("of_doc"), F.col("least.key").alias("of_key"))
     sets = stage(sets_of(docs, wanted, like.words), "sets")
     links = stage(verified(pairs, sets, like), "links")
-    tried = pairs
-    for turn in range(rounds + 1):
-        roots = stage(components(links, "components"), "roots")
-        more = cross_pairs(sets, roots, like, bits, turn + 1 if turn < rounds else None)
-        more = stage(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            if turn < rounds:
-                continue
-            break
-        found = stage(verified(more, sets, like), "links")
-        links, tried = links.unionByName(found), tried.unionByName(more)
-    else:
-        roots = stage(components(links, "components"), "roots")
+    roots = stage(components(links, "components"), "roots")
+    more = stage(links_between(sets, pairs, roots, like), "links")
+    if not more.isEmpty():
+        roots = stage(components(links.unionByName(more), "components"), "roots")
     named = of_docs.join(roots.withColumnRenamed("node", "a"), "a", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("root", "a").alias("root"))
     alone = named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
