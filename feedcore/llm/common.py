@@ -179,3 +179,16 @@ def bucket_bits(spark_rows: DataFrame, column: str, bytes_per_bucket: int = 8 <<
     """So many bits of a hash that a bucket holds about ``bytes_per_bucket`` of text."""
     total = spark_rows.agg(F.sum(F.octet_length(column)).alias("n")).first().n or 0
     return max(4, min(24, (total // bytes_per_bucket).bit_length()))
+
+
+def hidden(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and all other columns under names that clash with none."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"_extra{i}") for i, c in enumerate(others)))
+
+
+def shown(found: DataFrame, docs: DataFrame, new: list[str]) -> DataFrame:
+    """The columns of ``docs`` under their own names again, then the new ones, which replace any of the same name."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    back = {c: F.col(f"_extra{i}").alias(c) for i, c in enumerate(others)} | {c: F.col(c) for c in ("doc_id", "text")}
+    return found.select(*(back[c] for c in docs.columns if c not in new), *new)

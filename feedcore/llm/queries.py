@@ -104,7 +104,7 @@ gone AS (
   FROM (SELECT row, unnest(range(s, s + 35)) AS word FROM (SELECT row, unnest(spots) AS s FROM starts))
   GROUP BY row),
 kept AS (
-  SELECT d.row, string_agg(word, ' ' ORDER BY i) AS text
+  SELECT d.row, string_agg(word, ' ' ORDER BY d.i) AS text
   FROM (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d) AS d
   LEFT JOIN (SELECT row, unnest(gone) AS i, true AS hit FROM gone) AS g ON g.row = d.row AND g.i = d.i
   WHERE hit IS NULL GROUP BY d.row)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from feedcore.llm.common import Rolling, as_bytes, bucket_bits, by_bytes, stage, word_hashes
+from feedcore.llm.common import Rolling, as_bytes, bucket_bits, by_bytes, hidden, shown, stage, word_hashes
 
 WINDOW = 35
 _BLOCKS = Rolling(0x9E3779B97F4A7C15)
@@ -212,6 +212,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     ``with_text`` returns all columns of ``docs`` as well, ``text`` being the kept words
     joined by spaces (unchanged where nothing was removed).
     """
+    given, docs = docs, hidden(docs)
     columns = docs.columns if with_text else ["doc_id"]
     bits = bucket_bits(docs, "text")
     result = T.StructType(
@@ -310,4 +311,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
 
     waiting = kept.where("docs is not null").select("batch", "docs").join(answers, "batch", "left")
     done = kept.where("batch is null").select(*result.names)
-    return done.unionByName(waiting.select("docs", "answers").mapInArrow(finish, result))
+    every = done.unionByName(waiting.select("docs", "answers").mapInArrow(finish, result))
+    return shown(every, given, ["n_words", "n_removed", "kept_sha256", "removed_spans"]) if with_text else every

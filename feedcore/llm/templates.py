@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from feedcore.llm.common import by_bytes, stage
+from feedcore.llm.common import by_bytes, hidden, shown, stage
 
 FIELD = "<*>"
 BATCH_BYTES = 8 << 20
@@ -107,8 +107,7 @@ def drop_recurring(
     docs: DataFrame, min_docs: int = 3, likeness: float = 0.7, depth: int = 3, leaf_lines: int = 1000
 ) -> DataFrame:
     """All columns of ``docs``, ``text`` without recurring lines, and ``n_lines``, ``n_dropped``."""
-    clash = [c for c in docs.columns if c in ("n_lines", "n_dropped")]
-    docs = docs.drop(*clash)
+    given, docs = docs, hidden(docs)
     work = T._parse_datatype_string("doc binary, line_no int, line long, leaf long, deep long, masked string").fields
     result = T.StructType(docs.schema.fields + T._parse_datatype_string("n_lines long, n_dropped long").fields)
     schema = to_arrow_schema(T.StructType(result.fields + work))
@@ -182,4 +181,5 @@ def drop_recurring(
             own = {"text": pa.array(texts, pa.string()), "n_dropped": pa.array(dropped, pa.int64())}
             yield pa.record_batch([own[f.name] if f.name in own else batch.column(f.name) for f in final], schema=final)
 
-    return rows.select("doc", *result.names).join(gone, "doc", "left").drop("doc").mapInArrow(cut, result)
+    told = rows.select("doc", *result.names).join(gone, "doc", "left").drop("doc").mapInArrow(cut, result)
+    return shown(told, given, ["n_lines", "n_dropped"])
