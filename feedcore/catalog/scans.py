@@ -436,7 +436,8 @@ def best_attempt(spark: SparkSession, folder: str) -> DataFrame:
     return feeds.unionByName(news).select("request_id", "attempt_rank")
 
 
-_INGEST_TRIAL = TRIAL.replace(search_cap=4, portal_cap=3)
+# Runs keep all entries; caps have queries of their own.
+_INGEST_TRIAL = TRIAL.replace(search_cap=None, portal_cap=None)
 _RUN_SOURCES = (
     readers.Source("regulator_rss", readers.regulator_rss),
     readers.Source("search_news", readers.search_news),
@@ -455,8 +456,7 @@ regulated AS (
 searched AS (
   SELECT doc_id, pos, coalesce({trust_sql('url', what='name')}, source) AS source, '뉴스' AS source_type, category,
     clean AS title, url, date, {trust_sql('url')} AS trust, 1 AS source_rank
-  FROM used WHERE category = 'fr' AND NOT {exclude_sql('clean', TRIAL, 'source')} AND {match_sql('clean', 'category')}
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 4),
+  FROM used WHERE category = 'fr' AND NOT {exclude_sql('clean', TRIAL, 'source')} AND {match_sql('clean', 'category')}),
 listed AS (
   SELECT doc_id, pos, category, trim(regexp_replace(clean, '<[^>]+>', '', 'g')) AS title, date,
     CASE WHEN pos % 2 = 0 THEN url ELSE 'https://portal.example/' || url END AS url
@@ -464,8 +464,7 @@ listed AS (
 portal AS (
   SELECT doc_id, pos, coalesce({trust_sql('url', what='name')}, '네이버뉴스') AS source, '뉴스' AS source_type, category,
     title, url, date, {trust_sql('url')} AS trust, 2 AS source_rank
-  FROM listed WHERE NOT {exclude_sql('title')} AND {match_sql('title', 'category', strict=False)}
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 3),
+  FROM listed WHERE NOT {exclude_sql('title')} AND {match_sql('title', 'category', strict=False)}),
 ingested AS (
   SELECT * FROM regulated WHERE category IS NOT NULL
   UNION ALL BY NAME SELECT * FROM searched UNION ALL BY NAME SELECT * FROM portal)"""

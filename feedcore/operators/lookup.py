@@ -81,44 +81,43 @@ def trust_join(
 ) -> DataFrame:
     """Trust score and name from a rule table of any size.
 
-    A rule matches if its fragment is anywhere in the lower-cased URL; the lowest
-    ``prio`` wins.  Instead of testing every URL against every rule, a rule is
-    keyed by the first characters of its fragment and a URL by all its pieces of
-    that length, so candidates meet in an equi-join and are then checked in full.
+    A rule matches if its fragment is anywhere in the lower-cased URL (an empty one
+    matches all); the lowest ``prio`` wins, then the smaller fragment.  Instead of
+    testing every URL against every rule, a rule is keyed by the first characters of
+    its fragment (up to ``MAX_GRAM``) and a URL by its pieces of the lengths that
+    occur, so candidates meet in an equi-join and are then checked in full.
     ``key`` must be unique per row.
     """
-    rules = trust.where(F.length("fragment") > 0)
-    sized = rules.agg(F.count("*").alias("n"), F.min(F.length("fragment")).alias("shortest")).first()
-    gram = min(sized.shortest or 1, MAX_GRAM)
-    small = sized.n <= MAX_BROADCAST_ROWS
-
-    def joinable(side: DataFrame) -> DataFrame:
-        return F.broadcast(side) if small else side
-
-    keyed_rules = rules.select(
-        F.substring("fragment", 1, gram).alias("_gram"), F.col("fragment").alias("_fragment"), "prio"
-    )
+    told = F.struct("prio", "fragment", "score", "name")
+    free = trust.where("fragment = ''").agg(F.min(told).alias("rule")).first().rule
+    rules = trust.where(F.length("fragment") > 0).select(told.alias("_rule"))
+    gram = F.substring("_rule.fragment", 1, MAX_GRAM)
+    keyed_rules = rules.withColumn("_gram", gram)
+    sizes = [r.n for r in keyed_rules.select(F.length("_gram").alias("n")).distinct().collect()]  # MAX_GRAM at most
+    small = rules.count() <= MAX_BROADCAST_ROWS
     lowered = F.lower(F.coalesce(F.col(url), F.lit("")))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("_url") - gram + 1, F.lit(1)))
-    pieces = (
-        df.select(F.col(key), lowered.alias("_url"))
-        .select(key, "_url", F.explode(starts).alias("_start"))
-        .select(key, "_url", F.substr("_url", "_start", F.lit(gram)).alias("_gram"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("_url"), F.lit(1)))
+    cuts = F.array_distinct(
+        F.flatten(F.transform(starts, lambda s: F.array(*[F.substr("_url", s, F.lit(n)) for n in sizes])))
+        if sizes
+        else F.array().cast("array<string>")
     )
+    # A URL has each piece once; only pieces that key a rule are carried on.
+    pieces = df.select(F.col(key), lowered.alias("_url")).select(key, "_url", F.explode(cuts).alias("_gram"))
     # Partial aggregation runs right after the join: a URL's pieces share a task,
     # so at most one row per URL reaches the shuffle.
     best = (
-        pieces.join(joinable(keyed_rules), "_gram")
-        .where(F.contains("_url", F.col("_fragment")))
+        pieces.join(F.broadcast(keyed_rules) if small else keyed_rules, "_gram")
+        .where(F.contains("_url", F.col("_rule.fragment")))
         .groupBy(key)
-        .agg(F.min("prio").alias("_prio"))
-    )
-    names = rules.select(F.col("prio").alias("_prio"), F.col("score"), F.col("name"))
-    scored = best.join(joinable(names), "_prio").select(
-        key, F.col("score").alias("_score"), F.col("name").alias("trust_name")
+        .agg(F.min("_rule").alias("_best"))
     )
+    kind = best.schema["_best"].dataType.simpleString()
+    other = F.lit(None) if free is None else F.struct(*[F.lit(v).alias(n) for n, v in free.asDict().items()])
+    found = F.least(F.col("_best"), other.cast(kind))
+    scored = df.join(best, key, "left").withColumn("_best", found)
     return (
-        df.join(scored, key, "left")
-        .withColumn("trust", F.coalesce(F.col("_score"), F.lit(default)))
-        .drop("_score")
+        scored.withColumn("trust_name", F.col("_best.name"))
+        .withColumn("trust", F.coalesce(F.col("_best.score"), F.lit(default)))
+        .drop("_best")
     )

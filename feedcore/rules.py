@@ -85,9 +85,10 @@ class RuleBook:
     mixed_exclude: tuple[str, ...]
     ministry_keywords: tuple[str, ...]
     keep_days: int
-    search_cap: int
-    portal_cap: int
-    anchor_cap: int
+    # Entries kept of one payload; None keeps all.
+    search_cap: int | None
+    portal_cap: int | None
+    anchor_cap: int | None
 
     def replace(self, **changes) -> RuleBook:
         return dataclasses.replace(self, **changes)

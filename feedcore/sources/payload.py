@@ -52,7 +52,7 @@ class Contested:
 def contested_requests(raw: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS) -> Contested:
     """List the requests that need a choice, from the narrow columns alone."""
     several = (
-        raw.where("status_ok")
+        raw.where("status_ok and request_id is not null")
         .groupBy("request_id")
         .agg(F.count("*").alias("n"))
         .where("n > 1")
@@ -71,16 +71,18 @@ def best_attempts(
     stops at the first good one, so they are few.  Their winners, one row each,
     are broadcast to a scan of the candidates: bodies are neither sorted nor
     grouped and never cross the network.  If the contested requests are too many
-    for that, winners are joined back by payload id, which is unique and so
-    cannot skew.
+    for that, winners are joined back by request and payload id, so one key is one
+    request.  An attempt without a request id is a request of its own.
     """
     contested = contested or contested_requests(raw)
     candidates = raw.where(accepted(needs_xml))
     if contested.found == 0:
         return candidates
     if not contested.short:
-        chosen = _winners(candidates).select(F.col("_winner").alias("payload_id"))
-        return candidates.join(chosen, "payload_id", "left_semi")
+        named = candidates.where("request_id is not null")
+        chosen = _winners(named).select("request_id", F.col("_winner").alias("payload_id"))
+        alone = candidates.where("request_id is null")
+        return named.join(chosen, ["request_id", "payload_id"], "left_semi").unionByName(alone)
     rivals = candidates.join(F.broadcast(contested.requests), "request_id", "left_semi")
     return (
         candidates.join(F.broadcast(_winners(rivals)), "request_id", "left")

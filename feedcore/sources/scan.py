@@ -15,9 +15,9 @@ from feedcore.functions.text import attribute, first_non_empty, markup_text
 
 _PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
-_RSS_ENTRY = "struct<title string, link string, pubDate string>"
+_RSS_ENTRY = "struct<title array<string>, link array<string>, pubDate array<string>>"
 _RSS = (
-    f"channel struct<item array<{_RSS_ENTRY}>>, item array<{_RSS_ENTRY}>, _corrupt string"
+    f"channel array<struct<item array<{_RSS_ENTRY}>>>, item array<{_RSS_ENTRY}>, _corrupt string"
 )
 
 # Element names in the law registry's answers.
@@ -50,9 +50,9 @@ def first_accepted(
     entries: Callable[[Column], Column],
     derive: Callable[[Column, Column], Column],
     accept: Callable[[Column], Column],
-    n: int,
+    n: int | None,
 ) -> DataFrame:
-    """First ``n`` accepted entries of each payload, without a shuffle.
+    """First ``n`` accepted (all, if ``n`` is None) entries of each payload, without a shuffle.
 
     A payload's entries sit in one row, so they are derived, tested and cut as an
     array; only what is kept becomes rows.
@@ -61,7 +61,9 @@ def first_accepted(
     made = payloads.select(*carried, parsed.alias("_p")).select(
         *carried, F.transform(entries(F.col("_p")), derive).alias("_made")
     )
-    kept = F.slice(F.filter("_made", accept), 1, n)
+    kept = F.filter("_made", accept)
+    if n is not None:
+        kept = F.slice(kept, 1, n)
     return made.select(*carried, F.inline(kept))
 
 
@@ -78,8 +80,16 @@ def parse_rss(body: Column) -> Column:
 
 
 def rss_array(parsed: Column) -> Column:
-    """``item`` elements below the channel or, as in RSS 1.0, below the root."""
-    return F.coalesce(parsed["channel"]["item"], parsed["item"])
+    """``item`` elements below all channels, then those below the root (RSS 1.0).
+
+    Of an element that is given twice the first counts.
+    """
+    none = F.array().cast(f"array<{_RSS_ENTRY}>")
+    below = F.flatten(F.transform(parsed["channel"], lambda c: F.coalesce(c["item"], none)))
+    every = F.concat(F.coalesce(below, none), F.coalesce(parsed["item"], none))
+    return F.transform(
+        every, lambda e: F.struct(*[F.get(e[n], F.lit(0)).alias(n) for n in ("title", "link", "pubDate")])
+    )
 
 
 def rss_entries(payloads: DataFrame) -> DataFrame:
@@ -165,7 +175,8 @@ def news_entries(payloads: DataFrame) -> DataFrame:
 
 _COMMENT_OR_CODE = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
 _INSIDE_TAG = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
-_ANCHOR = rf"(?is)<a(?=[\s>/]){_INSIDE_TAG}>.*?(?:</a\s*>|\z)"
+# An anchor ends where it is closed, where the next one starts, or with the page.
+_ANCHOR = rf"(?is)<a(?=[\s>/]){_INSIDE_TAG}>.*?(?:</a\s*>|(?=<a[\s>/])|\z)"
 _OPENING = rf"(?is)^<a{_INSIDE_TAG}>"
 
 

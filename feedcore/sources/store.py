@@ -58,11 +58,13 @@ def write_store(
     moving between executors.
     """
     target = f"{path}/run={run}"
+    # What a crashed attempt left behind was never in force and is replaced.
+    finished = "_SUCCESS" in _listing(df.sparkSession, target)
     # AQE splits a folder that holds a third of all rows and joins small ones.
     rows = _laid_out(df, rules).hint("rebalance", *_LAYOUT)
     if kept is not None:
         rows = rows.unionByName(_laid_out(kept, rules))
-    rows.write.mode("errorifexists").partitionBy(*_LAYOUT).parquet(target)
+    rows.write.mode("errorifexists" if finished else "overwrite").partitionBy(*_LAYOUT).parquet(target)
     return target
 
 

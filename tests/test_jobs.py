@@ -261,6 +261,27 @@ def test_new_only_and_lookup_forms_agree(spark):
     assert [r.official for r in joined.collect()] == [r.official for r in literal.collect()]
 
 
+def test_a_crashed_write_can_be_repeated(spark, tmp_path):
+    path = str(tmp_path / "store")
+    df = items(spark, [("a", "2026-08-01", NEWS), ("b", "bad", OFFICIAL)])
+    store.write_store(df.limit(1), path, 1, SHIPPED)
+    store.write_store(df.limit(1), path, 2, SHIPPED)
+    os.remove(tmp_path / "store" / "run=2" / "_SUCCESS")
+    store.write_store(df, path, 2, SHIPPED)
+    assert store.latest_run(spark, path) == 2 and store.read_store(spark, path).count() == 2
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        store.write_store(df, path, 2, SHIPPED)
+
+
+def test_trust_join_with_equal_short_and_empty_rules(spark):
+    rules = [(1, "b.kr", 70, "B"), (1, "a.kr", 80, "A"), (2, "k", 60, "K"), (3, "", 50, "any"), (3, "verylongfragment", 90, "L")]
+    trust = spark.createDataFrame(rules, "prio int, fragment string, score int, name string")
+    links = ["x.a.kr/b.kr", "B.KR", "k", "zzz", None, "verylongfragment"]
+    df = spark.createDataFrame(list(enumerate(links)), "id int, url string")
+    found = lookup.trust_join(df, trust, "id").orderBy("id").collect()
+    assert [(r.trust, r.trust_name) for r in found] == [(80, "A"), (70, "B"), (60, "K"), (50, "any"), (50, "any"), (50, "any")]
+
+
 def test_trust_join_equals_the_literal_form(spark):
     from feedcore.functions.urls import with_trust
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from feedcore.plans.ingest import ingest, request_outcomes
 from feedcore.rules import SHIPPED, SHIPPED_V1
 from feedcore.schema import ITEM_COLUMNS, RAW, conform
-from feedcore.sources import payload, readers
+from feedcore.sources import payload, readers, scan
 
 AS_OF = "2026-08-08"
 
@@ -235,6 +235,28 @@ def test_best_attempt(spark, max_broadcast):
     ]
 
 
+@pytest.mark.parametrize("max_broadcast", [100, 0])
+def test_attempts_without_a_request_stand_alone(spark, max_broadcast):
+    rows = raw(spark, *[("regulator_rss", None, None, LONG, 0, True, r) for r in ("a", "a", None, None, None)])
+    found = payload.best_attempts(rows, True, payload.contested_requests(rows, max_broadcast))
+    assert sorted(str(r.request_id) for r in found.collect()) == ["None", "None", "None", "a"]
+
+
+def test_feed_items_of_all_channels_and_the_root(spark):
+    entry = "<item><title>{0}</title><title>no</title><link>u{0}</link></item>"
+    a, b, c = (entry.format(n) for n in "abc")
+    bodies = [f"<rss><channel>{a}</channel><channel>{b}</channel>{c}</rss>", f"<rss>{c}</rss>", "<rss><channel/></rss>"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(bodies)], "id int, body string")
+    found = scan.rss_entries(df).orderBy("id", "feed_pos").collect()
+    assert [(r.id, r.raw_title, r.raw_link) for r in found] == [(0, "a", "ua"), (0, "b", "ub"), (0, "c", "uc"), (1, "c", "uc")]
+
+
+def test_an_unclosed_anchor_ends_at_the_next(spark):
+    df = spark.createDataFrame([('<a href="/1">first<p><a href="/2">second</a><a href="/3">third',)], "body string")
+    found = [(r.raw_link, r.raw_title) for r in scan.anchor_entries(df).orderBy("feed_pos").collect()]
+    assert found == [("/1", "first"), ("/2", "second"), ("/3", "third")]
+
+
 def test_gate_counts_bytes(spark):
     df = spark.createDataFrame([("가" * 33,), ("가" * 33 + "x",), (None,), ("<item" + "x" * 95,)], "body string")
     found = df.select(payload.looks_ok(F.col("body"), False).alias("a"), payload.looks_ok(F.col("body")).alias("b"))
