@@ -220,9 +220,12 @@ def sample(docs: DataFrame, learnable, docs_per_label: int = 200, slice_chars: i
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("lang").alias("label"), F.substring("text", at, F.lit(slice_chars)).alias("part"), F.xxhash64("text", F.lit(11)).alias("h")
     )
-    first = W.partitionBy("label").orderBy("h", "part")
-    kept = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_label)
-    return [(r.label, r.part) for r in kept.select("label", "part").collect()]
+    # Copies of a text are one slice, or a hot text would be all that is learned.
+    first = W.partitionBy("label").orderBy("h")
+    chosen = rows.select("label", "h").distinct().withColumn("n", F.row_number().over(first))
+    chosen = F.broadcast(chosen.where(F.col("n") <= docs_per_label).drop("n"))  # docs_per_label rows a label
+    kept = rows.join(chosen, ["label", "h"]).dropDuplicates(["label", "h"])
+    return sorted((r.label, r.part) for r in kept.select("label", "part").collect())
 
 
 def predict(docs: DataFrame, model: Model, key: list[str]) -> DataFrame:
