@@ -134,7 +134,7 @@ def components(links: DataFrame, name: str) -> DataFrame:
     """Connected components of ``links(a, b)``: rows ``(node, root)``, root the smallest node.
 
     Alternates large-star and small-star steps until nothing changes.  Each step is
-    a few hash joins and partial aggregates on narrow rows, written to the shared
+    a partial aggregate and a hash join on narrow rows, written to the shared
     folder; a hub is split by adaptive skew handling, as the hub's row is one and
     its links are many.
     """
@@ -142,9 +142,10 @@ def components(links: DataFrame, name: str) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Edges that fall together are told apart once, after the second step.
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(large.where("u != v").distinct(), name)
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        large = stage(large.where("u != v"), name)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))
@@ -152,7 +153,7 @@ def components(links: DataFrame, name: str) -> DataFrame:
         small = stage(small.where("u != v").distinct(), name)
         # Done when every node has one parent, and no parent has one itself.
         ends = small.select("u", F.lit(1).alias("up"), F.lit(0).alias("down"))
-        ends = ends.unionByName(small.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")).distinct())
+        ends = ends.unionByName(small.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         open_ = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
         if open_.where("up > 1 or up = 1 and down = 1").isEmpty():
             break

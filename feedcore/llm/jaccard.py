@@ -309,20 +309,26 @@ def joint_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return counts
 
 
-def links_between(sets: DataFrame, pairs: DataFrame, roots: DataFrame, like: Likeness, block: int = 1024) -> DataFrame:
+def contracted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of components ``(a, b)`` that candidates of different components join."""
+    for end in ("a", "b"):
+        own = roots.select(F.col("node").alias(end), F.col("root").alias("own"))
+        pairs = pairs.join(own, end, "left").withColumn(end, F.coalesce("own", end)).drop("own")
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def links_between(sets: DataFrame, near: DataFrame, roots: DataFrame, like: Likeness, block: int = 1024) -> DataFrame:
     """Links ``(a, b)`` between components, exactly: what one leader each could not tell.
 
-    A family is what hangs together by shared keys.  Families that verified links have
-    not made one component yet are compared in full, block by block: a set goes to as
+    A family is what hangs together by shared keys: components and the ``near`` pairs
+    of them.  Families are compared in full, block by block: a set goes to as
     many tasks as its family has blocks.  Only links that join components come out,
     fewer than there are components in the two blocks.
     """
-    family = components(pairs, "families").withColumnRenamed("root", "family")
-    known = sets.join(family, "node").join(roots.withColumnRenamed("root", "own"), "node", "left")
-    known = known.withColumn("own", F.coalesce("own", "node"))
-    narrow = known.select("family", "own")
-    open_ = narrow.groupBy("family").agg(F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high"))
-    open_ = open_.where("low <> high").select("family", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    family = stage(components(near, "families").select(F.col("node").alias("own"), F.col("root").alias("family")), "families")
+    known = sets.join(roots.withColumnRenamed("root", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
+    known = known.join(family, "own")
+    open_ = known.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = known.join(open_, "family").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "own", "members")
@@ -334,6 +340,8 @@ def links_between(sets: DataFrame, pairs: DataFrame, roots: DataFrame, like: Lik
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         parent = {o: o for o in own}
+        number = {o: n for n, o in enumerate(parent)}
+        part = np.array([number[o] for o in own])
 
         def top(x):
             while parent[x] != x:
@@ -345,7 +353,8 @@ def links_between(sets: DataFrame, pairs: DataFrame, roots: DataFrame, like: Lik
             joint = joint_counts([sets_[k] for k in left], [sets_[k] for k in right])
             sizes = np.array([len(x) for x in sets_])
             total = sizes[left][:, None] + sizes[right][None, :] - joint
-            for x, y in zip(*np.nonzero(like.den * joint >= like.num * total)):
+            apart = part[left][:, None] != part[right][None, :]
+            for x, y in zip(*np.nonzero(apart & (like.den * joint >= like.num * total))):
                 a, b = top(own[left[x]]), top(own[right[y]])
                 if a != b:
                     parent[max(a, b)] = min(a, b)
@@ -367,9 +376,14 @@ def classes(docs: DataFrame, like: Likeness) -> DataFrame:
     sets = stage(sets_of(docs, wanted, like.words), "sets")
     links = stage(verified(pairs, sets, like), "links")
     roots = stage(components(links, "components"), "roots")
-    more = stage(links_between(sets, pairs, roots, like), "links")
-    if not more.isEmpty():
-        roots = stage(components(links.unionByName(more), "components"), "roots")
+    near = stage(contracted(pairs, roots), "near")
+    if not near.isEmpty():
+        more = stage(links_between(sets, near, roots, like), "links")
+        upper = components(more, "components")
+        tops = upper.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        lone = upper.join(roots, "node", "left_anti")
+        roots = roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(lone)
+        roots = stage(roots, "roots")
     named = of_docs.join(roots.withColumnRenamed("node", "a"), "a", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("root", "a").alias("root"))
     alone = named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
