@@ -35,22 +35,22 @@ def feed_filter(
             F.contains(F.col("title"), F.lit(wanted))
             | F.contains(F.coalesce(F.col("source"), F.lit("")), F.lit(wanted))
         )
-    day = F.coalesce(F.col("date"), F.lit(""))
+    # Plain comparisons reach the Parquet scan; a missing date comes before any other.
+    day = F.col("date")
     if date_from:
         out = out.where(day >= date_from)
     if date_to:
-        out = out.where(day <= date_to)
+        out = out.where(day.isNull() | (day <= date_to))
     return out
 
 
 def feed_search(df: DataFrame, rules: RuleBook, **filters: str | None) -> DataFrame:
-    """Filtered rows, newest first, with the wording shown to readers."""
+    """Filtered rows, newest first, with the wording shown to readers (made after the sort)."""
     official = is_official(F.col("source_type"), rules)
-    shown = feed_filter(df, **filters).withColumn(
+    return newest_first(feed_filter(df, **filters), rules).withColumn(
         "page_summary",
         page_summary(F.col("title"), F.col("category"), F.col("source"), official, rules),
     )
-    return newest_first(shown, rules)
 
 
 def search_count(df: DataFrame, **filters: str | None) -> DataFrame:

@@ -389,3 +389,16 @@ def test_published_snapshot_is_reproduced(spark):
     events = calendar.enforcement_events(found, SHIPPED)
     assert events.count() == 50
     assert readers.LAW_SOURCE in {r.source for r in found.select("source").distinct().collect()}
+
+
+def test_date_range_reaches_the_scan(spark, tmp_path):
+    rows = [("a", "2026-01-01"), ("b", "2026-02-01"), ("c", None), ("d", "")]
+    spark.createDataFrame(rows, "title string, date string").write.parquet(str(tmp_path / "items"))
+    items = spark.read.parquet(str(tmp_path / "items"))
+    late = browse.feed_filter(items, date_from="2026-01-15")
+    early = browse.feed_filter(items, date_to="2026-01-15")
+    assert [r.title for r in late.collect()] == ["b"]
+    assert sorted(r.title for r in early.collect()) == ["a", "c", "d"]
+    for found in (late, early):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "2026-01-15" in plan.split("PushedFilters: [")[1].split("]")[0]
