@@ -33,7 +33,7 @@ from feedcore.llm.common import by_bytes, hidden, shown, stage
 
 FIELD = "<*>"
 BATCH_BYTES = 8 << 20
-_field = re.compile(r"\S*\d\S*").sub
+_digit = re.compile(r"\d").search
 _letter = re.compile(r"[^\W\d_]").search
 
 
@@ -41,16 +41,18 @@ def hash64(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def masked(line: str) -> str:
-    """The line's tokens, fields masked, joined by spaces; empty if nothing is left to compare."""
-    tokens = _field(FIELD, line).split()
-    return " ".join(tokens) if _letter(line if FIELD not in tokens else " ".join(t for t in tokens if t != FIELD)) else ""
+def masked(line: str) -> list[str]:
+    """The line's tokens, fields masked; none if nothing is left to compare."""
+    tokens = line.split()
+    if not _digit(line):
+        return tokens if _letter(line) else []
+    tokens = [FIELD if _digit(t) else t for t in tokens]
+    return tokens if any(map(_letter, tokens)) else []
 
 
-def leaf_of(line: str, depth: int | None) -> int:
+def leaf_of(tokens: list[str], depth: int) -> int:
     """The leaf of a masked line: its number of tokens and the leading ones."""
-    tokens = line.split(" ")
-    return hash64(f"{len(tokens)} " + " ".join(tokens if depth is None else tokens[:depth]))
+    return hash64(f"{len(tokens)} " + " ".join(tokens[:depth]))
 
 
 def merge(lines: list[str], likeness: float) -> list[int]:
@@ -126,9 +128,10 @@ def drop_recurring(
                 lines, leaves = (text or "").split("\n"), set(leaves or ())
                 counts.append(len(lines) if text else 0)
                 for i, line in enumerate(lines if leaves else ()):
-                    m = masked(line)
-                    if m and leaf_of(m, depth) in leaves:
-                        row = (key, i, hash64(m), leaf_of(m, depth), leaf_of(m, 3 * depth), m)
+                    tokens = masked(line)
+                    if tokens and (leaf := leaf_of(tokens, depth)) in leaves:
+                        whole = " ".join(tokens)
+                        row = (key, i, hash64(whole), leaf, leaf_of(tokens, 3 * depth), whole)
                         for column, value in zip(found.values(), row):
                             column.append(value)
             own = {n: batch.column(n) for n in names}
