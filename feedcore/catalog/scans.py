@@ -35,6 +35,7 @@ from feedcore.operators.lookup import broadcast_if_small
 from feedcore.schema import RAW, conform
 from feedcore.session import shared_folder
 from feedcore.sources import payload, readers, scan
+from feedcore.sources.store import read_store
 from feedcore.streaming import intake
 
 AS_OF = "2025-02-01"
@@ -161,8 +162,11 @@ def _law_node(node: str, first_name: bool, name: Column, published: Column, kind
     )
 
 
-def _law_answers(spark: SparkSession, folder: str, with_other: bool = True) -> DataFrame:
-    """One answer per part: its own name, and its brand as a second law for large parts."""
+def _law_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """One answer per part: its own name, and its brand as a second law for large parts.
+
+    Each fifth has no law element: its law is in another one, of every tenth a level deeper.
+    """
     name = _escaped(F.col("p_name"))
     published = F.date_format(
         F.date_add(F.lit("2020-01-01").cast("date"), (F.col("p_partkey") % 1000).cast("int")), "yyyyMMdd"
@@ -173,8 +177,8 @@ def _law_answers(spark: SparkSession, folder: str, with_other: bool = True) -> D
     second = _law_node("law", True, F.col("p_brand"), published, F.lit(""), F.lit(""))
     other = _law_node("record", True, name, published, F.col("p_type"), link)
     node = F.when(F.col("p_partkey") % 2 == 0, plain).otherwise(blank)
-    if with_other:
-        node = F.when(F.col("p_partkey") % 5 == 0, other).otherwise(node)
+    deeper = F.when(F.col("p_partkey") % 10 == 0, _tag("list", other)).otherwise(other)
+    node = F.when(F.col("p_partkey") % 5 == 0, deeper).otherwise(node)
     second = F.when((F.col("p_size") > 25) & (F.col("p_partkey") % 5 != 0), second).otherwise(F.lit(""))
     return table(spark, folder, "part").withColumn(
         "body", F.concat(F.lit("<LawSearch><total>1</total>"), node, second, F.lit("</LawSearch>"))
@@ -192,7 +196,7 @@ def _law_answers(spark: SparkSession, folder: str, with_other: bool = True) -> D
 )
 def law_xml_explode(spark: SparkSession, folder: str) -> DataFrame:
     answers = _law_answers(spark, folder).select("p_partkey", "body")
-    return scan.law_entries(answers, "record").select(
+    return scan.law_entries(answers).select(
         "p_partkey",
         F.col("feed_pos").alias("pos"),
         "law_name",
@@ -289,7 +293,7 @@ def law_registry_run(spark: SparkSession, folder: str) -> DataFrame:
         .when((F.col("p_type") == "LARGE") & ~odd, F.lit("widget"))
         .when((F.col("p_type") == "LARGE") & odd, F.lit("bolt"))
     )
-    answers = _law_answers(spark, folder, with_other=False).select(
+    answers = _law_answers(spark, folder).select(
         F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("payload_id"),
         F.col("p_type").alias("category"),
         asked.alias("query"),
@@ -491,12 +495,14 @@ def _shown(found: DataFrame) -> DataFrame:
     )
 
 
-JOBBED = f"""{INGESTED},
+KEYED = f"""{INGESTED},
 keyed AS (
-  SELECT *, source_type = {text(OFFICIAL)} AS is_off,
+  SELECT *, {_USED} AS attempt, source_type = {text(OFFICIAL)} AS is_off,
     CASE WHEN source_type = {text(OFFICIAL)} THEN title ELSE {key_sql('title')} END AS k1,
     CASE WHEN source_type = {text(OFFICIAL)} THEN date ELSE '' END AS k2
-  FROM ingested),
+  FROM ingested)"""
+
+JOBBED = f"""{KEYED},
 jobbed AS (
   SELECT * FROM (
     SELECT * FROM keyed WHERE is_off OR k1 <> ''
@@ -581,20 +587,36 @@ def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(unique.schema).parquet(f"{out}/rows").select("user_id", "event_type")
 
 
-@query(_JOB_SQL)
+_GENERATION = """SELECT * FROM keyed WHERE attempt = {} AND (is_off OR k1 <> '')
+    QUALIFY row_number() OVER (PARTITION BY is_off, k1, k2 ORDER BY source_rank, doc_id, pos) = 1"""
+_FRESH = f"(is_off OR date >= strftime(DATE '{AS_OF}' - 180, '%Y-%m-%d'))"
+_STILL_FITS = f"(is_off OR source IN ('src3', 'src7') OR (NOT {exclude_sql('title')} AND {match_sql('title', 'category')}))"
+
+
+@query(
+    f"""WITH {KEYED}, early AS ({_GENERATION.format(0)}), late AS ({_GENERATION.format(2)}),
+    streamed AS (
+      SELECT * FROM late WHERE {_FRESH}
+      UNION ALL SELECT * FROM early WHERE {_FRESH} AND {_STILL_FITS}
+        AND (is_off, k1, k2) NOT IN (SELECT (is_off, k1, k2) FROM late))
+    SELECT doc_id, pos, source, source_type, category, title, url, date, trust FROM streamed"""
+)
 def stream_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw payloads as a stream of files, merged into the store batch by batch."""
-    base = shared_folder(spark, "stream-merge")
-    attempts(spark, folder).write.parquet(f"{base}/raw")
-    job = intake.stream_job(
-        intake.raw_stream(spark, f"{base}/raw"),
-        f"{base}/store",
-        f"{base}/checkpoint",
-        _INGEST_TRIAL,
-        AS_OF,
-        _RUN_SOURCES,
-    )
-    job.awaitTermination()
-    from feedcore.sources.store import read_store
+    """Raw payloads as a stream: the attempts of a request arrive in three batches.
 
+    A request answered by its first attempt stays with it, and each batch is a run,
+    so stored rows are checked anew and give way to rows of the same key.
+    """
+    base = shared_folder(spark, "stream-merge")
+    for attempt in range(3):
+        arrived = attempts(spark, folder).where(F.col("attempt_rank") == attempt)
+        arrived.write.mode("append").parquet(f"{base}/raw")
+        intake.stream_job(
+            intake.raw_stream(spark, f"{base}/raw"),
+            f"{base}/store",
+            f"{base}/checkpoint",
+            _INGEST_TRIAL,
+            AS_OF,
+            _RUN_SOURCES,
+        ).awaitTermination()
     return _shown(read_store(spark, f"{base}/store"))

@@ -106,33 +106,41 @@ def rss_entries(payloads: DataFrame) -> DataFrame:
     )
 
 
-def _law_schema(node: str, other_node: str | None) -> str:
-    names = [*LAW_NAME, *LAW_PUBLISHED, *LAW_EFFECTIVE, *LAW_KIND, *LAW_LINK]
-    entry = "struct<" + ", ".join(f"`{n}` string" for n in names) + ">"
-    nodes = [node] + ([other_node] if other_node else [])
-    return ", ".join(f"`{n}` array<{entry}>" for n in nodes) + ", _corrupt string"
-
-
-def parse_laws(body: Column, other_node: str | None = None) -> Column:
-    return F.from_xml(body, _law_schema(LAW_NODE, other_node), _PERMISSIVE)
-
+_LAW_FIELDS = [*LAW_NAME, *LAW_PUBLISHED, *LAW_EFFECTIVE, *LAW_KIND, *LAW_LINK]
+_LAWS = f"`{LAW_NODE}` array<struct<" + ", ".join(f"`{n}` string" for n in _LAW_FIELDS) + ">>, _corrupt string"
+# An answer's head up to its root element, and an element that holds nothing but leaves.
+_ROOT = r"(?s)^(?:[^<]|<[?!][^>]*>)*+<[^<>]*>"
+_LEAF = r"<([^\s<>/!?]++)[^<>]*+>(?:[^<]|<!\[CDATA\[.*?\]\]>)*+</\{}\s*>|<[^\s<>/!?]++[^<>]*/>"
+_FLAT = r"(?s)<([^\s<>/!?]++)(?:\s[^<>]*)?+(?<!/)>((?:\s*+(?:" + _LEAF.format(3) + r"))++\s*+)</\1\s*>"
+
+
+def parse_laws(body: Column) -> Column:
+    return F.from_xml(body, _LAWS, _PERMISSIVE)
+
+
+def _other_laws(body: Column) -> Column:
+    """Elements of any tag and depth that hold nothing but leaves, a law's name among them."""
+    flat = F.regexp_extract_all(F.regexp_replace(body, _ROOT, ""), F.lit(_FLAT), F.lit(2))
+    laws = F.transform(flat, lambda x: F.concat(F.lit(f"<{LAW_NODE}>"), x, F.lit(f"</{LAW_NODE}>")))
+    parsed = parse_laws(F.concat(F.lit("<r>"), F.array_join(laws, ""), F.lit("</r>")))
+    return F.filter(
+        parsed[LAW_NODE],
+        lambda n: F.coalesce(*[F.nullif(n[t], F.lit("")) for t in LAW_NAME]).isNotNull(),
+    )
 
-def law_entries(payloads: DataFrame, other_node: str | None = None) -> DataFrame:
-    """Law elements; where an answer has none, ``other_node`` elements that carry a name."""
 
-    def nodes(p: Column) -> Column:
-        if other_node is None:
-            return p[LAW_NODE]
-        named = F.filter(
-            p[other_node],
-            lambda n: F.coalesce(*[F.nullif(n[t], F.lit("")) for t in LAW_NAME]).isNotNull(),
-        )
-        return F.coalesce(p[LAW_NODE], named)
+def law_entries(payloads: DataFrame) -> DataFrame:
+    """Law elements below the root; where an answer has none, other elements that carry a name."""
+    body = F.col("body")
+    found = parse_laws(body)
+    found = F.when(
+        found["_corrupt"].isNull(), F.coalesce(found[LAW_NODE], _other_laws(body))
+    ).otherwise(found[LAW_NODE])
 
     def first(tags: tuple[str, ...]) -> Column:
         return first_non_empty(*[F.col("_e")[t] for t in tags])
 
-    rows = _entries(payloads, parse_laws(F.col("body"), other_node), nodes)
+    rows = _entries(payloads, F.struct(found.alias("laws")), lambda p: p["laws"])
     return _drop_entry(
         rows.withColumns(
             {

@@ -9,15 +9,19 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from feedcore.operators.lookup import broadcast_if_small
 from feedcore.plans.merge import run_job
 from feedcore.rules import RuleBook
 from feedcore.schema import RAW
+from feedcore.sources.payload import accepted
 from feedcore.sources.readers import WIRED, Source
+from feedcore.sources.store import exists
 
 _ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -46,6 +50,22 @@ def use_disk_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS_DB)
 
 
+def answered(raw: DataFrame, sources: Sequence[Source]) -> DataFrame:
+    """Ids of the requests with an attempt that may be used."""
+    tests = [(F.col("source") == s.name) & accepted(s.needs_xml) for s in sources]
+    usable = reduce(lambda a, b: a | b, tests)
+    return raw.where(usable & F.col("request_id").isNotNull()).select("request_id").distinct()
+
+
+def answered_before(spark: SparkSession, store: str, run: int) -> DataFrame:
+    """Ids of the requests answered in runs before this one; a repeated run sees the same."""
+    path = f"{store}/_answered"
+    if not exists(spark, path):
+        return spark.createDataFrame([], "request_id string")
+    seen = spark.read.schema("request_id string, run long").parquet(path)
+    return seen.where(F.col("run") < run).select("request_id")
+
+
 def stream_job(
     raw: DataFrame,
     store: str,
@@ -55,10 +75,21 @@ def stream_job(
     sources: Sequence[Source] = WIRED,
     first_run: int = 1,
 ) -> StreamingQuery:
-    """Merge every micro-batch into the store; a repeated batch changes nothing."""
+    """Merge every micro-batch into the store; a repeated batch changes nothing.
+
+    A request answered in an earlier batch is done: its later attempts are left
+    out, as in a batch job that sees all attempts at once.  Capturing tries the
+    attempts in order, so a lower rank does not come after a higher one.
+    """
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        run_job(batch.sparkSession, batch, store, rules, as_of, first_run + batch_id, sources)
+        run, spark = first_run + batch_id, batch.sparkSession
+        known = answered_before(spark, store, run)
+        # Ids of this batch alone decide, so the side stays as small as the batch.
+        done = batch.select("request_id").distinct().join(known, "request_id", "left_semi")
+        waiting = batch.join(broadcast_if_small(done), "request_id", "left_anti")
+        answered(waiting, sources).write.mode("overwrite").parquet(f"{store}/_answered/run={run}")
+        run_job(spark, waiting, store, rules, as_of, run, sources)
 
     return (
         raw.writeStream.foreachBatch(merge_batch)
