@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +22,35 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    for paths in _LISTS:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_LISTS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def staged_paths() -> Iterator[list[str]]:
+    """The folders that ``stage`` writes in the block."""
+    paths: list[str] = []
+    _LISTS.append(paths)
+    try:
+        yield paths
+    finally:
+        _LISTS[:] = [x for x in _LISTS if x is not paths]
+
+
+def release(docs: DataFrame, paths: list[str]) -> None:
+    """Delete staged folders, unless ``docs`` still reads one of them."""
+    spark = docs.sparkSession
+    if not paths or any(path.split("/feedcore/")[-1] in file for file in docs.inputFiles() for path in paths):
+        return
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
