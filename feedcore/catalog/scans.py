@@ -583,7 +583,14 @@ def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
     unique = intake.stream_unique(events, "ts", ["user_id", "event_type"])
     out = shared_folder(spark, "stream")
-    intake.write_stream(unique, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    intake.use_disk_state(spark)
+    try:
+        written = intake.write_stream(unique, f"{out}/rows", f"{out}/checkpoint")
+    finally:
+        spark.conf.set(provider, before)  # the stream keeps what it began with
+    written.awaitTermination()
     return spark.read.schema(unique.schema).parquet(f"{out}/rows").select("user_id", "event_type")
 
 
