@@ -8,8 +8,9 @@ A template that occurs in ``min_docs`` documents or more is recurring; its lines
 but for the first one (least ``doc_id``, then line), so that no content is lost.
 
 Only lines whose leaf recurs at all are looked at.  Equal lines are counted before
-they meet in a leaf.  A leaf with more than ``leaf_lines`` different lines is parsed
-deeper, in the end by the whole line, so no task has to hold an unbounded leaf.
+they meet in a leaf.  The sorted lines of a leaf stream through one task, which holds
+its templates only.  From ``leaf_lines`` templates on, those that a line can join are
+looked up by the segments it must share with one of them; the result is the same.
 
 Nulls: a null text has no lines.  Lines without a letter outside of fields, empty ones
 too, always stay.  Repeated rows (same id and text) are one document.  Texts without
@@ -55,22 +56,66 @@ def leaf_of(tokens: list[str], depth: int) -> int:
     return hash64(f"{len(tokens)} " + " ".join(tokens[:depth]))
 
 
-def merge(lines: list[str], likeness: float) -> list[int]:
-    """The template, by number, that each masked line of a leaf falls to, in the order given."""
-    ids: dict[str, int] = {}
-    rows = np.array([[ids.setdefault(t, len(ids)) for t in line.split(" ")] for line in lines], np.int64)
-    templates = np.empty((0, rows.shape[1]), np.int64)
-    field, out = ids.get(FIELD, -1), []
-    for row in rows:
-        same = (templates == row).mean(1) if len(templates) else np.empty(0)
-        best = int(same.argmax()) if len(same) else -1
-        if best >= 0 and same[best] >= likeness:
-            templates[best][templates[best] != row] = field
-            out.append(best)
+class Leaf:
+    """Templates of lines of ``width`` tokens that begin alike in ``depth`` places.
+
+    A line that may differ from a template in ``n`` places shares one of any ``n + 1``
+    segments with it.  Tokens are compared by 64-bit hashes.
+    """
+
+    def __init__(self, width: int, likeness: float, depth: int, scanned: int) -> None:
+        self.likeness, self.scanned, self.size, self.field = likeness, scanned, 0, hash(FIELD)
+        self.rows = np.empty((4, width), np.int64)
+        free = width - min(depth, width)
+        misses = sum((width - n) / width >= likeness for n in range(1, width + 1))
+        ends = [width - free + free * i // (misses + 1) for i in range(misses + 2)]
+        # Where all may differ, a segment is empty and shared by all.
+        self.segments = list(zip(ends, ends[1:]))
+        self.index: dict[tuple[int, bytes], set[int]] = {}
+
+    def _enter(self, template: int) -> None:
+        for key in self._keys(self.rows[template]):
+            self.index.setdefault(key, set()).add(template)
+
+    def _keys(self, row: np.ndarray) -> list[tuple[int, bytes]]:
+        return [(i, row[a:b].tobytes()) for i, (a, b) in enumerate(self.segments)]
+
+    def join(self, tokens: list[str]) -> int:
+        """The template, by number, that a masked line falls to."""
+        row = np.array([hash(t) for t in tokens], np.int64)
+        indexed = self.size > self.scanned
+        if indexed:
+            found = sorted(set().union(*(self.index.get(key, ()) for key in self._keys(row))))
+            rows = self.rows[found]
         else:
-            out.append(len(templates))
-            templates = np.vstack([templates, row])
-    return out
+            rows = self.rows[: self.size]
+        if len(rows):
+            same = (rows == row).mean(1)
+            best = int(same.argmax())
+            if same[best] >= self.likeness:
+                best = found[best] if indexed else best
+                if (differ := self.rows[best] != row).any():
+                    self.rows[best][differ] = self.field
+                    if indexed:
+                        self._enter(best)
+                return best
+        if self.size == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        self.rows[self.size] = row
+        self.size += 1
+        if indexed:
+            self._enter(self.size - 1)
+        elif self.size > self.scanned:
+            for template in range(self.size):
+                self._enter(template)
+        return self.size - 1
+
+
+def merge(lines: list[str], likeness: float, depth: int = 0, scanned: int = 1000) -> list[int]:
+    """The template, by number, that each masked line of a leaf falls to, in the order given."""
+    rows = [line.split(" ") for line in lines]
+    leaf = Leaf(len(rows[0]), likeness, depth, scanned)
+    return [leaf.join(row) for row in rows]
 
 
 def row_key():
@@ -96,21 +141,12 @@ def recurring(docs: DataFrame, depth: int, min_docs: int) -> DataFrame:
     return seen.join(often, "leaf").groupBy("doc").agg(F.collect_set("leaf").alias("leaves"))
 
 
-def refined(lines: DataFrame, leaf_lines: int) -> DataFrame:
-    """Different lines with the leaf that is small enough for one task."""
-    for deeper in ("deep", "line"):
-        sizes = lines.groupBy("leaf").agg(F.count("*").alias("size"))
-        leaf = F.when(F.col("size") > leaf_lines, F.col(deeper)).otherwise(F.col("leaf"))
-        lines = lines.join(sizes, "leaf").withColumn("leaf", leaf).drop("size")
-    return lines
-
-
 def drop_recurring(
     docs: DataFrame, min_docs: int = 3, likeness: float = 0.7, depth: int = 3, leaf_lines: int = 1000
 ) -> DataFrame:
     """All columns of ``docs``, ``text`` without recurring lines, and ``n_lines``, ``n_dropped``."""
     given, docs = docs, hidden(docs)
-    work = T._parse_datatype_string("doc binary, line_no int, line long, leaf long, deep long, masked string").fields
+    work = T._parse_datatype_string("doc binary, line_no int, line long, leaf long, masked string").fields
     result = T.StructType(docs.schema.fields + T._parse_datatype_string("n_lines long, n_dropped long").fields)
     schema = to_arrow_schema(T.StructType(result.fields + work))
     names = docs.columns
@@ -131,7 +167,7 @@ def drop_recurring(
                     tokens = masked(line)
                     if tokens and (leaf := leaf_of(tokens, depth)) in leaves:
                         whole = " ".join(tokens)
-                        row = (key, i, hash64(whole), leaf, leaf_of(tokens, 3 * depth), whole)
+                        row = (key, i, hash64(whole), leaf, whole)
                         for column, value in zip(found.values(), row):
                             column.append(value)
             own = {n: batch.column(n) for n in names}
@@ -145,23 +181,30 @@ def drop_recurring(
     leaves = recurring(docs, depth, min_docs).select(F.col("doc").alias("_doc"), F.col("leaves").alias("_leaves"))
     kept = stage(keyed.join(leaves, "_doc", "left").mapInArrow(look, T.StructType(result.fields + work)), "lines")
     rows = kept.where("line_no is null")
-    seen = kept.where("line_no is not null").select("doc", "line_no", "line", "leaf", "deep", "masked")
+    seen = kept.where("line_no is not null").select("doc", "line_no", "line", "leaf", "masked")
 
-    per_doc = seen.groupBy("line", "doc").agg(F.first("leaf").alias("leaf"), F.first("deep").alias("deep"), F.first("masked").alias("masked"))
+    per_doc = seen.groupBy("line", "doc").agg(F.first("leaf").alias("leaf"), F.first("masked").alias("masked"))
     different = per_doc.groupBy("line").agg(
-        F.count("*").alias("n"), F.min("leaf").alias("leaf"), F.min("deep").alias("deep"), F.min("masked").alias("masked")
+        F.count("*").alias("n"), F.min("leaf").alias("leaf"), F.min("masked").alias("masked")
     )
 
-    def parse(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("n", "descending"), ("masked", "ascending")])
-        # Deeper leaves keep the number of tokens, so the lines of a leaf are equally long.
-        groups = merge(table.column("masked").to_pylist(), likeness)
-        lead = table.column("line").to_pylist()
-        first: dict[int, int] = {}
-        names = [first.setdefault(g, line) for g, line in zip(groups, lead)]
-        return pa.table({"line": table.column("line"), "template": pa.array(names, pa.int64())})
-
-    templates = stage(refined(different, leaf_lines).groupBy("leaf").applyInArrow(parse, "line long, template long"), "templates")
+    def parse(rows):
+        """Lines come leaf by leaf, in the order of merging."""
+        now, names = None, []
+        for batch in rows:
+            lines, told = batch.column("line").to_pylist(), []
+            for leaf, line, text in zip(batch.column("leaf").to_pylist(), lines, batch.column("masked").to_pylist()):
+                tokens = text.split(" ")
+                if leaf != now:
+                    now, names, found = leaf, [], Leaf(len(tokens), likeness, depth, leaf_lines)
+                template = found.join(tokens)
+                if template == len(names):
+                    names.append(line)
+                told.append(names[template])
+            yield pa.record_batch([batch.column("line"), pa.array(told, pa.int64())], ["line", "template"])
+
+    ordered = different.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "masked")
+    templates = stage(ordered.select("leaf", "line", "masked").mapInArrow(parse, "line long, template long"), "templates")
     placed = seen.select("doc", "line_no", "line").join(templates, "line")
     often = placed.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     order = rows.select("doc", "doc_id").distinct()

@@ -219,6 +219,37 @@ def test_templates_merge_likely_lines():
     assert templates.merge(lines, 0.7) == [0, 0, 1, 0]
 
 
+def plain_merge(lines, likeness):
+    templates_, out = [], []
+    for line in (x.split(" ") for x in lines):
+        same = [sum(a == b for a, b in zip(t, line)) / len(line) for t in templates_]
+        if same and max(same) >= likeness:
+            best = same.index(max(same))
+            templates_[best] = [a if a == b else templates.FIELD for a, b in zip(templates_[best], line)]
+            out.append(best)
+        else:
+            out.append(len(templates_))
+            templates_.append(line)
+    return out
+
+
+@pytest.mark.parametrize("width,likeness", [(3, 0.7), (4, 0.7), (6, 0.7), (10, 0.7), (13, 0.5), (20, 0.7), (10, 1.0)])
+def test_looked_up_templates_are_the_plain_ones(width, likeness):
+    rnd = random.Random(width)
+    lines = [" ".join(["a", "b", "c"] + [rnd.choice(["x", "y", templates.FIELD, f"w{rnd.random()}"]) for _ in range(width - 3)]) for _ in range(600)]
+    expected = plain_merge(lines, likeness)
+    assert all(templates.merge(lines, likeness, 3, scanned) == expected for scanned in (0, 7, 1000))
+
+
+def test_large_leaves_keep_their_templates(spark):
+    words = [f"w{i}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(1100)]
+    texts = [(i, f"Copyright 2024 by {w} all rights reserved\n" + (f"see the {w} of {w} in {w}" if i % 2 else f"ask {w}")) for i, w in enumerate(words)]
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    for leaf_lines in (1000, 3):
+        told = {r.doc_id: r.n_dropped for r in templates.drop_recurring(table, leaf_lines=leaf_lines).collect()}
+        assert told == {i: int(i > 0) for i in range(1100)}
+
+
 def test_language(spark, empty):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
