@@ -5,12 +5,17 @@ its own embeddings, their sum goes through tanh, and the output is factored into
 class and a member of the class.  A document's score is the sum of the log
 probabilities of its tokens, each masked in its turn.
 
-Tokens are lower-cased words by hash.  The ``FREQUENT`` most frequent hash buckets of
-the whole corpus are tokens of their own (a table of ``BUCKETS`` counts, summed over
-all documents), the others share the rest by hash.  The network starts from the same
-weights everywhere; each task trains on its share of documents (one in
-``train_every``, by hash of the text, so it grows with the corpus), and the weights
-are averaged by tokens seen, round by round.
+Words are lower-cased and told apart by 64-bit hashes.  A grouped count over all
+documents gives every word its number of occurrences, so the vocabulary grows with the
+corpus.  The ``FREQUENT`` most frequent words are tokens of their own.  The others,
+sorted by frequency, are cut into shared tokens of equal weight; inside one, a word's
+probability is its part of the token's occurrences, so every word has its own.  Words
+seen twice or more go to the tasks (12 bytes a word and 2 for its token); any other
+word counts as seen once.
+
+The network starts from the same weights everywhere; each task trains on its
+share of documents (one in ``train_every``, by hash of the text), and the weights are
+averaged by tokens seen, round by round.
 
 Nulls: a null text counts as empty: no tokens, score 0, null mean.  Repeated rows are
 rows of their own.  An empty table gives no rows.
@@ -24,44 +29,91 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedcore.llm.common import as_bytes, by_bytes, mixed, word_hashes
+from feedcore.llm.common import as_bytes, by_bytes, stage, word_hashes
 
-BUCKETS = 1 << 18
-CHUNKS = 16
 FREQUENT = 768
 VOCABULARY = 1024
 CLASS = 32
 REACH = 2
 WIDTH = 16
 BATCH_BYTES = 4 << 20
-_SHIFT = np.uint64(46)  # 64 bits to one of BUCKETS
-
-
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Token of each bucket, from counts over all documents."""
+HELD_WORDS = 1 << 20
+ONCE = 256
+
+
+class Vocabulary:
+    """Words seen twice or more (sorted hashes) with token and count; ``once[i]`` others, with last byte ``i``, were seen."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, once: np.ndarray) -> None:
+        order = np.argsort(words)
+        self.words, counts = words[order], counts[order].astype(np.int64)
+        self.logs = np.log(counts).astype(np.float32)
+        rank = np.lexsort((self.words, -counts))
+        token = np.empty(len(counts), np.int64)
+        token[rank[:FREQUENT]] = np.arange(min(FREQUENT, len(rank)))
+        rest = rank[FREQUENT:]
+        # A word's place is the middle of its stretch of occurrences.
+        ends = np.cumsum(counts[rest])
+        total, shared = int(once.sum() + counts[rest].sum()), VOCABULARY - FREQUENT
+        token[rest] = FREQUENT + ((ends - counts[rest] / 2) / max(total, 1) * shared).astype(np.int64)
+        first = min(FREQUENT + (total - int(once.sum())) * shared // max(total, 1), VOCABULARY - 1)
+        seldom = first + np.arange(len(once)) * (VOCABULARY - first) // len(once)
+        # Neighbours in frequency are spread over the classes.
+        spread = (np.arange(VOCABULARY) % CLASS) * (VOCABULARY // CLASS) + np.arange(VOCABULARY) // CLASS
+        weights = np.bincount(token, counts, VOCABULARY)
+        np.add.at(weights, seldom, once)
+        self.weights = np.empty(VOCABULARY, np.float32)
+        self.weights[spread] = np.log(np.maximum(weights, 1))
+        self.tokens, self.seldom = spread[token].astype(np.int16), spread[seldom]
+
+    def look(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The token of each word, and the log of the word's part of it."""
+        token, part = self.seldom[(words & np.uint64(ONCE - 1)).astype(np.int64)], np.zeros(len(words), np.float32)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            own = self.words[at] == words
+            token = np.where(own, self.tokens[at], token)
+            part = np.where(own, self.logs[at], part)
+        return token, part - self.weights[token]
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``(word, n)``: occurrences of every word, by hash."""
+
+    def told(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        words, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+        return words, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+
+    def batch_of_counts(words, counts):
+        return pa.record_batch([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
 
     def count(rows):
-        total = np.zeros(BUCKETS, np.int64)
+        held, size = [], 0
         for batch in by_bytes(rows, "text", BATCH_BYTES):
             words = word_hashes(as_bytes(batch, "text"), lower=True)[0]
-            total += np.bincount((words >> _SHIFT).astype(np.int64), minlength=BUCKETS)
-        parts = total.reshape(CHUNKS, -1)
-        yield pa.record_batch([pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    form = "chunk int, counts binary"
-    sums = docs.select("text").mapInArrow(count, form).groupBy("chunk").applyInArrow(add, form).collect()
-    total = np.zeros((CHUNKS, BUCKETS // CHUNKS), np.int64)
-    for row in sums:
-        total[row.chunk] = np.frombuffer(row.counts, np.int64)
-    order = np.lexsort((np.arange(BUCKETS), -total.ravel()))
-    token = FREQUENT + (mixed(np.arange(BUCKETS, dtype=np.uint64), 3) % np.uint64(VOCABULARY - FREQUENT)).astype(np.int64)
-    token[order[:FREQUENT]] = np.arange(FREQUENT)
-    # Neighbours in frequency are spread over the classes.
-    return (token % CLASS) * (VOCABULARY // CLASS) + token // CLASS
+            held.append(np.unique(words, return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD_WORDS:
+                held = [told(held)]
+                size = len(held[0][0])
+                if size > HELD_WORDS // 2:
+                    yield batch_of_counts(*held[0])
+                    held, size = [], 0
+        if held:
+            yield batch_of_counts(*told(held))
+
+    return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """Tokens and counts of all words, from all documents."""
+    counts = stage(word_counts(docs), "words")
+    once = np.zeros(ONCE, np.int64)
+    for row in counts.where("n = 1").groupBy(F.pmod("word", F.lit(ONCE)).alias("at")).count().collect():
+        once[row["at"]] = row["count"]
+    often = counts.where("n > 1").toArrow()
+    words, n = (often.column(c).to_numpy() for c in ("word", "n"))
+    return Vocabulary(words.view(np.uint64), n, once)
 
 
 class Network:
@@ -93,6 +145,13 @@ class Network:
         scores -= np.log(np.exp(scores).sum(1, keepdims=True))
         return scores
 
+    @staticmethod
+    def softmax(scores: np.ndarray) -> np.ndarray:
+        scores -= scores.max(1, keepdims=True)
+        np.exp(scores, out=scores)
+        scores /= scores.sum(1, keepdims=True)
+        return scores
+
     def log_probabilities(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Of every token given both sides; ``around[place]`` are the tokens there."""
         hidden = self.hidden(around)
@@ -109,53 +168,65 @@ class Network:
     def learn(self, around: np.ndarray, token: np.ndarray, rate: float) -> None:
         """One step down the gradient of the mean log loss."""
         n = len(token)
+        order = np.argsort(token, kind="stable")
+        around, token = around[:, order], token[order]
         hidden = self.hidden(around)
         group, member = np.divmod(token, VOCABULARY // CLASS)
-        miss = np.exp(self.log_softmax(hidden @ self.upper))
+        miss = self.softmax(hidden @ self.upper)
         miss[np.arange(n), group] -= 1
         back = miss @ self.upper.T
         upper = hidden.T @ miss
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(CLASS + 1))
-        for c in range(CLASS):
-            own = order[ends[c] : ends[c + 1]]
-            if len(own):
-                off = np.exp(self.log_softmax(hidden[own] @ self.lower[c]))
-                off[np.arange(len(own)), member[own]] -= 1
-                back[own] += off @ self.lower[c].T
-                self.lower[c] -= rate / n * (hidden[own].T @ off)
+        ends = np.searchsorted(group, np.arange(CLASS + 1)).tolist()
+        off = np.empty((n, VOCABULARY // CLASS), np.float32)
+        for lower, a, b in zip(self.lower, ends, ends[1:]):
+            if a < b:
+                np.matmul(hidden[a:b], lower, out=off[a:b])
+        off = self.softmax(off)
+        off[np.arange(n), member] -= 1
+        below = np.empty_like(hidden)
+        for lower, a, b in zip(self.lower, ends, ends[1:]):
+            if a < b:
+                np.matmul(off[a:b], lower.T, out=below[a:b])
+        back += below
+        off *= np.float32(rate / n)
+        for lower, a, b in zip(self.lower, ends, ends[1:]):
+            if a < b:
+                lower -= hidden[a:b].T @ off[a:b]
         self.upper -= rate / n * upper
-        slope = (back[:, :WIDTH] * (1 - hidden[:, :WIDTH] ** 2)).astype(np.float32)
-        for place in range(2 * REACH):
-            np.subtract.at(self.inside[place], around[place], rate / n * slope)
+        slope = (rate / n * back[:, :WIDTH] * (1 - hidden[:, :WIDTH] ** 2)).astype(np.float32).ravel()
+        for inside, tokens in zip(self.inside, around):
+            # Single numbers are subtracted much faster than rows.
+            np.subtract.at(inside.reshape(-1), (tokens[:, None] * WIDTH + np.arange(WIDTH)).ravel(), slope)
 
 
-def windows(texts: list[bytes], token_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens around, tokens, and the number of tokens of each text."""
+def windows(texts: list[bytes], known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens around, tokens, logs of the words' parts of them, and the number of tokens of each text."""
     words, sizes = word_hashes(texts, lower=True)
-    tokens = token_of[(words >> _SHIFT).astype(np.int64)]
+    tokens, parts = known.look(words)
     # Texts are set apart by places beyond the vocabulary.
     at = np.arange(len(tokens)) + REACH * (np.repeat(np.arange(len(texts)), sizes) + 1)
     line = np.full(len(tokens) + REACH * (len(texts) + 1), VOCABULARY, np.int64)
     line[at] = tokens
     places = [d for d in range(-REACH, REACH + 1) if d]
-    return np.stack([line[at + d] for d in places]), tokens, sizes
+    return np.stack([line[at + d] for d in places]), tokens, parts, sizes
 
 
-def train(docs: DataFrame, token_of: np.ndarray, rounds: int = 2, train_every: int = 16, rate: float = 16.0, step: int = 512) -> Network:
+def train(docs: DataFrame, known: Vocabulary, rounds: int = 2, train_every: int = 16, rate: float = 16.0, step: int = 512) -> Network:
     """Average of networks trained apart; what is gathered grows with the number of tasks."""
     spark = docs.sparkSession
     network = Network()
-    mine = docs.where(F.pmod(F.xxhash64("text"), F.lit(train_every)) == 0).select("text")
+    mine = docs.select("text")
+    if train_every > 1:
+        mine = mine.where(F.pmod(F.xxhash64("text"), F.lit(train_every)) == 0)
     form = "part int, weights binary, seen long"
     for turn in range(rounds):
-        given = spark.sparkContext.broadcast((network.parts(), token_of))
+        given = spark.sparkContext.broadcast((network.parts(), known))
 
         def run(rows, given=given, turn=turn):
             parts, tokens = given.value
             own, seen = Network([p.copy() for p in parts]), 0
             for batch in by_bytes(rows, "text", BATCH_BYTES):
-                around, token, _ = windows(as_bytes(batch, "text"), tokens)
+                around, token, _, _ = windows(as_bytes(batch, "text"), tokens)
                 shuffled = np.random.default_rng(turn).permutation(len(token))
                 for at in range(0, len(token), step):
                     pick = shuffled[at : at + step]
@@ -178,20 +249,20 @@ def train(docs: DataFrame, token_of: np.ndarray, rounds: int = 2, train_every: i
     return network
 
 
-def score(docs: DataFrame, token_of: np.ndarray, network: Network) -> DataFrame:
+def score(docs: DataFrame, known: Vocabulary, network: Network) -> DataFrame:
     """``(doc_id, n_tokens, pseudo_log_likelihood, mean_log_probability)`` of whole texts."""
-    given = docs.sparkSession.sparkContext.broadcast((network.parts(), token_of))
+    given = docs.sparkSession.sparkContext.broadcast((network.parts(), known))
     form = "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double"
 
     def run(rows):
         parts, tokens = given.value
         own = Network(parts)
         for batch in by_bytes(rows, "text", BATCH_BYTES):
-            around, token, sizes = windows(as_bytes(batch, "text"), tokens)
+            around, token, own_part, sizes = windows(as_bytes(batch, "text"), tokens)
             told = np.empty(len(token))
             for at in range(0, len(token), 65_536):
                 told[at : at + 65_536] = own.log_probabilities(around[:, at : at + 65_536], token[at : at + 65_536])
-            sums = np.concatenate(([0.0], np.cumsum(told)))
+            sums = np.concatenate(([0.0], np.cumsum(told + own_part)))
             ends = np.cumsum(sizes)
             total = sums[ends] - sums[ends - sizes]
             means = [float(t / n) if n else None for t, n in zip(total, sizes)]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from feedcore.llm import byte_bpe, fingerprint, jaccard, language, packing, pseudo, substrings, templates
+from feedcore.llm.common import word_hashes
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 BYTE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -297,6 +298,21 @@ def test_pseudo_likelihood(spark, docs, empty):
     assert pseudo.score(empty, pseudo.vocabulary(empty), pseudo.train(empty, tokens)).count() == 0
 
 
+def test_every_word_has_its_own_probability(spark):
+    words = [(f"w{i}", 1 + i % 7) for i in range(9000)]
+    table = spark.createDataFrame([(i, " ".join([w] * n)) for i, (w, n) in enumerate(words)], "doc_id long, text string").repartition(4)
+    known = pseudo.vocabulary(table)
+    hashes = word_hashes([w.encode() for w, _ in words])[0]
+    token, part = known.look(hashes)
+    # The words of a token share it in full, by their counts.
+    assert np.allclose(np.bincount(token, np.exp(part.astype(float)))[np.unique(token)], 1, atol=1e-3)
+    counts, weights = np.array([n for _, n in words]), np.bincount(token, [n for _, n in words])
+    assert np.allclose(np.exp(part), counts / weights[token], rtol=1e-3)
+    # The vocabulary grows with the corpus: 6 of 7 words occur twice or more.
+    assert len(known.words) == sum(n > 1 for _, n in words)
+    assert len(pseudo.vocabulary(table.where("doc_id < 700")).words) == 600
+
+
 def test_fingerprints(spark, docs, empty):
     plain = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     texts = [r[1] or "" for r in plain]
