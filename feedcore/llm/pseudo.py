@@ -13,9 +13,9 @@ probability is its part of the token's occurrences, so every word has its own.
 seen twice or more go to the tasks (12 bytes a word and 2 for its token); any other
 word counts as seen once.
 
-The network starts from the same weights everywhere; each task trains on its
-share of documents (one in ``train_every``, by hash of the text), and the weights are
-averaged by tokens seen, round by round.
+The network starts from the same weights everywhere; each task trains on all of its
+documents (or one in ``train_every``, by hash of the text), and the weights are averaged
+by tokens seen, round by round.
 
 Nulls: a null text counts as empty: no tokens, score 0, null mean.  Repeated rows are
 rows of their own.  An empty table gives no rows.
@@ -39,6 +39,7 @@ WIDTH = 16
 BATCH_BYTES = 4 << 20
 HELD_WORDS = 1 << 20
 ONCE = 256
+ROWS = 256
 
 
 class Vocabulary:
@@ -116,6 +117,14 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary(words.view(np.uint64), n, once)
 
 
+def product(left: np.ndarray, right: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """``left @ right``, few rows at a time: larger products start threads beyond a task's core."""
+    out = np.empty((len(left), right.shape[1]), np.float32) if out is None else out
+    for at in range(0, len(left), ROWS):
+        np.matmul(left[at : at + ROWS], right, out=out[at : at + ROWS])
+    return out
+
+
 class Network:
     """``inside[place, token]`` embeddings; ``upper`` scores classes, ``lower[class]`` their members."""
 
@@ -156,13 +165,13 @@ class Network:
         """Of every token given both sides; ``around[place]`` are the tokens there."""
         hidden = self.hidden(around)
         group, member = np.divmod(token, VOCABULARY // CLASS)
-        out = self.log_softmax(hidden @ self.upper)[np.arange(len(token)), group]
+        out = self.log_softmax(product(hidden, self.upper))[np.arange(len(token)), group]
         order = np.argsort(group, kind="stable")
         ends = np.searchsorted(group[order], np.arange(CLASS + 1))
         for c in range(CLASS):
             own = order[ends[c] : ends[c + 1]]
             if len(own):
-                out[own] += self.log_softmax(hidden[own] @ self.lower[c])[np.arange(len(own)), member[own]]
+                out[own] += self.log_softmax(product(hidden[own], self.lower[c]))[np.arange(len(own)), member[own]]
         return out
 
     def learn(self, around: np.ndarray, token: np.ndarray, rate: float) -> None:
@@ -172,21 +181,21 @@ class Network:
         around, token = around[:, order], token[order]
         hidden = self.hidden(around)
         group, member = np.divmod(token, VOCABULARY // CLASS)
-        miss = self.softmax(hidden @ self.upper)
+        miss = self.softmax(product(hidden, self.upper))
         miss[np.arange(n), group] -= 1
-        back = miss @ self.upper.T
-        upper = hidden.T @ miss
+        back = product(miss, self.upper.T)
+        upper = sum(hidden[at : at + ROWS].T @ miss[at : at + ROWS] for at in range(0, n, ROWS))
         ends = np.searchsorted(group, np.arange(CLASS + 1)).tolist()
         off = np.empty((n, VOCABULARY // CLASS), np.float32)
         for lower, a, b in zip(self.lower, ends, ends[1:]):
             if a < b:
-                np.matmul(hidden[a:b], lower, out=off[a:b])
+                product(hidden[a:b], lower, off[a:b])
         off = self.softmax(off)
         off[np.arange(n), member] -= 1
         below = np.empty_like(hidden)
         for lower, a, b in zip(self.lower, ends, ends[1:]):
             if a < b:
-                np.matmul(off[a:b], lower.T, out=below[a:b])
+                product(off[a:b], lower.T, below[a:b])
         back += below
         off *= np.float32(rate / n)
         for lower, a, b in zip(self.lower, ends, ends[1:]):
@@ -211,7 +220,7 @@ def windows(texts: list[bytes], known: Vocabulary) -> tuple[np.ndarray, np.ndarr
     return np.stack([line[at + d] for d in places]), tokens, parts, sizes
 
 
-def train(docs: DataFrame, known: Vocabulary, rounds: int = 2, train_every: int = 16, rate: float = 16.0, step: int = 512) -> Network:
+def train(docs: DataFrame, known: Vocabulary, rounds: int = 2, train_every: int = 1, rate: float = 16.0, step: int = 512) -> Network:
     """Average of networks trained apart; what is gathered grows with the number of tasks."""
     spark = docs.sparkSession
     network = Network()

@@ -313,6 +313,15 @@ def test_every_word_has_its_own_probability(spark):
     assert len(pseudo.vocabulary(table.where("doc_id < 700")).words) == 600
 
 
+def test_all_documents_are_learned_from(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("pmod(xxhash64(text), 16) <> 0").repartition(4)
+    known, new = pseudo.vocabulary(table), pseudo.Network()
+    network = pseudo.train(table, known)
+    mean = "sum(pseudo_log_likelihood) / sum(n_tokens)"
+    learned, before = (pseudo.score(table, known, n).selectExpr(mean).first()[0] for n in (network, new))
+    assert learned > before + 0.5
+
+
 def test_fingerprints(spark, docs, empty):
     plain = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     texts = [r[1] or "" for r in plain]
