@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +53,18 @@ def release(docs: DataFrame, paths: list[str]) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def in_worker(key: tuple, make):
+    """What ``make`` gives, once a Python worker: its later tasks find it again.
+
+    The functions of this package travel by value, so their globals are a task's own;
+    a module that is registered by name stays.
+    """
+    kept = sys.modules.setdefault("_feedcore_worker", types.ModuleType("_feedcore_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -169,6 +169,29 @@ def stars(posts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return least[np.argsort(least["key"])], pairs
 
 
+def packed(posts: np.ndarray, bits: int) -> bytes:
+    """Posts of one bucket: its nodes once, then 48 bits of each key behind the bucket's, then places of nodes.
+
+    Keys that fall together only bring candidates that are checked later.
+    """
+    nodes, place = np.unique(posts["node"], return_inverse=True)
+    keys = (posts["key"] << np.uint64(bits) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    small = np.uint16 if len(nodes) <= 1 << 16 else np.uint32
+    head = np.array([len(posts), len(nodes)], "<u4")
+    return head.tobytes() + nodes.astype("S16").tobytes() + keys.tobytes() + place.astype(small).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.empty(0, _POST)
+    n, m = np.frombuffer(data, "<u4", 2).tolist()
+    posts, keys = np.empty(n, _POST), np.zeros((n, 8), np.uint8)
+    keys[:, :6] = np.frombuffer(data, np.uint8, 6 * n, 8 + 16 * m).reshape(n, 6)
+    place = np.frombuffer(data, np.uint16 if m <= 1 << 16 else np.uint32, n, 8 + 16 * m + 6 * n)
+    posts["key"], posts["node"] = keys.view("<u8").ravel(), np.frombuffer(data, "S16", m, 8)[place]
+    return posts
+
+
 def _nodes(x: np.ndarray) -> pa.Array:
     return pa.array(x.tolist(), pa.binary())
 
@@ -194,8 +217,9 @@ def index(docs: DataFrame, like: Likeness, bits: int) -> DataFrame:
             posts["key"], posts["node"] = keys, names[which] if len(keys) else names[:0]
             least, pairs = stars(posts)
             order = (least["key"] >> np.uint64(64 - bits)).astype(np.int64)
-            ends = np.searchsorted(order, np.arange((1 << bits) + 1))
-            blobs = [(b, least[ends[b] : ends[b + 1]].tobytes()) for b in range(1 << bits) if ends[b] < ends[b + 1]]
+            filled, starts = np.unique(order, return_index=True)
+            ends = [*starts[1:].tolist(), len(order)]
+            blobs = [(b, packed(least[i:j], bits)) for b, i, j in zip(filled.tolist(), starts.tolist(), ends)]
             sink = pa.BufferOutputStream()
             table = pa.record_batch(
                 [batch.column("doc_id").cast(id_type), pa.array([len(s) for s in sets], id_type), pa.array(nodes, pa.binary()), batch.column("key")],
@@ -225,7 +249,7 @@ def index(docs: DataFrame, like: Likeness, bits: int) -> DataFrame:
                 columns["kind"] = pa.array([kind] * n)
                 out.append(pa.table([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema))
 
-        posts = np.concatenate([np.frombuffer(x, _POST) for x in table.column("posts").to_pylist()])
+        posts = np.concatenate([unpacked(x) for x in table.column("posts").to_pylist()])
         pairs = [stars(posts)[1]]
         for data, local in zip(table.column("docs").to_pylist(), table.column("pairs").to_pylist()):
             if data is not None:
@@ -364,8 +388,12 @@ def links_between(sets: DataFrame, near: DataFrame, roots: DataFrame, like: Like
     return dealt.groupBy("family", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
-def classes(docs: DataFrame, like: Likeness) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` of every document."""
+def classes(docs: DataFrame, like: Likeness, keyed: bool = False) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` of every document.
+
+    ``keyed`` gives ``(doc_id, key, n_shingles, root)`` instead, the text's key and the
+    class's own name, which tell rows of one id apart.
+    """
     bits = bucket_bits(docs, "text")
     indexed = index(docs, like, bits)
     of_docs = indexed.where("kind = 'doc'").select("doc_id", "n_shingles", "a", "key")
@@ -385,6 +413,8 @@ def classes(docs: DataFrame, like: Likeness) -> DataFrame:
         roots = roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(lone)
         roots = stage(roots, "roots")
     named = of_docs.join(roots.withColumnRenamed("node", "a"), "a", "left")
+    if keyed:
+        return named.select("doc_id", "key", "n_shingles", F.coalesce("root", "a").alias("root"))
     named = named.select("doc_id", "n_shingles", F.coalesce("root", "a").alias("root"))
     alone = named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     some = named.where("n_shingles > 0")
@@ -395,9 +425,17 @@ def classes(docs: DataFrame, like: Likeness) -> DataFrame:
 def distinct_documents(docs: DataFrame, like: Likeness | None = None) -> DataFrame:
     """One document of each class: the one with the smallest ``doc_id``; all columns stay.
 
-    Rows that repeat as a whole are one document.  Rows whose ``doc_id`` is null stay.
+    Rows that repeat id and text are one document.  Rows of one id with different texts are
+    documents of their own: the smaller text key is the smaller document.  Rows whose ``doc_id`` is null stay.
     """
-    found = classes(docs.where("doc_id is not null"), like or Likeness())
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
-    return kept.where("doc_id is not null").unionByName(docs.where("doc_id is null"))
+    key = text_key("text")
+    found = classes(docs.where("doc_id is not null").select("doc_id", "text"), like or Likeness(), keyed=True)
+    least = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("least"))
+    gone = found.where("n_shingles > 0").join(least, "root").where("least.doc_id <> doc_id or least.key <> key")
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    kept = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)), "doc_id", key.alias("own_key"))
+    # The join and what follows share one shuffle of the texts.
+    some = kept.where("doc_id is not null").join(gone, [F.col("doc_id") == F.col("gone_id"), F.col("own_key") == F.col("gone_key")], "left_anti")
+    some = some.dropDuplicates(["doc_id", "own_key"]).unionByName(kept.where("doc_id is null"))
+    return some.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))

@@ -1,6 +1,6 @@
 """Packing by minimum bin slack.
 
-Token lists are cut into full windows and a remainder.  Remainders are chosen by
+Token lists are cut into full windows and a remainder, which stays whole.  Remainders are chosen by
 their lengths alone: the histogram of lengths has fewer entries than the window,
 however large the corpus, so one bounded table describes all windows.  For each
 window a bitset holds the fills that the remaining lengths can reach; the fill
@@ -8,12 +8,17 @@ closest to the capacity is traced back to counts of lengths, and the pattern is
 repeated as long as the counts allow.  Pieces then take the places of their length
 in the order of a salted rank, so copies of one text never meet in one task.
 
+Where most remainders are over half a window, no choice of them fills it; ``cut_every``
+then cuts one document in so many into powers of two, which close the gaps.
+
 Nulls: a null text counts as empty (one token, the end).  A null ``doc_id`` is kept
-as it is.  Repeated rows are documents of their own.  An empty table gives no rows.
+as it is.  Repeated rows are documents of their own.  Only ``doc_id`` and ``text`` are read, whatever else a
+table holds.  A long text is many windows; its ids are in memory once.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,23 +29,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from feedcore.llm.common import as_bytes, batch_of, stage
+from feedcore.llm.common import as_bytes, batch_of, in_worker, stage
 
 WINDOW = 4096
-#: One document in so many is cut into powers of two: small pieces that close the gaps.
-CUT_EVERY = 16
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-_PIECES = pa.schema([(n, pa.int64()) for n in "doc_id start length ids_crc32 doc_tokens".split()])
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, text_hash long"
+_PIECES = pa.schema([(n, pa.int64()) for n in "doc_id start length ids_crc32 doc_tokens text_hash".split()])
+#: A word of ASCII or Latin-1 small letters with a comma or full stop behind it.
+_ENDED = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+[,.]")
 
 
 class WordIds(dict):
     """Token ids (packed, little-endian) of byte words, made in batches by ``tokenizers``.
 
     Only ASCII white space separates the words.  The tokenizer drops it and never
-    joins over it, so words can be encoded one by one.
+    joins over it, so words can be encoded apart: thousands of new ones are one text,
+    between separators of one known id.  Words not met since the last turn of the
+    generations are forgotten, so memory is bounded and frequent words stay.
     """
 
-    limit = 900_000
+    #: Words of a generation; there are two.
+    limit = 500_000
+    joined = 4096
 
     def __init__(self, path: str) -> None:
         import os
@@ -49,13 +58,50 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.old: dict[bytes, bytes] = {}
+        mark = self.ids(["\0", "a \0 a"])
+        #: The id between words, or None if a separator isn't one id of its own.
+        self.mark = mark[0][0] if len(mark[0]) == 1 and mark[1][1:-1].tolist() == mark[0].tolist() else None
+        #: Whether A-Z and a-z are one to the tokenizer.
+        self.lower = len({i.tobytes() for i in self.ids(["The AbC xyZ", "the abc xyz", "THE ABC XYZ"])}) == 1
+
+        probes = ["abc", "é", "zzq", "naïveté", "d", "s", "don"]
+        whole = self.ids([w + c for w in probes for c in ",."])
+        parts = [np.concatenate(self.ids([w, c])) for w in probes for c in ",."]
+        self.ends = all(np.array_equal(a, b) for a, b in zip(whole, parts))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) > self.limit:
-            self.clear()
-        new = list(words)
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, found))
+        # A comma or full stop behind a letter is a token of its own, so the word before it may be known.
+        ended = {w for w in words if self.ends and _ENDED.fullmatch(w) and w not in self.old}
+        if ended:
+            parts = {w[:-1] for w in ended} | {w[-1:] for w in ended}
+            self.learn(parts - self.keys() | words - ended)
+            self.update((w, self[w[:-1]] + self[w[-1:]]) for w in ended)
+            return
+        known = words & self.old.keys()
+        self.update((w, self.old[w]) for w in known)
+        new = list(words - known)
+        if self.mark is None:
+            self.update(zip(new, (i.tobytes() for i in self.ids([w.decode() for w in new]))))
+            return
+        alone = [w for w in new if b"\0" in w]
+        self.update(zip(alone, (i.tobytes() for i in self.ids([w.decode() for w in alone]))))
+        new = [w for w in new if b"\0" not in w] if alone else new
+        parts = [new[i : i + self.joined] for i in range(0, len(new), self.joined)]
+        for part, found in zip(parts, self.ids([b" \0 ".join(part).decode() for part in parts])):
+            marks = np.flatnonzero(found == self.mark)
+            data, starts = found.tobytes(), (4 * np.concatenate(([0], marks + 1))).tolist()
+            ends = (4 * np.append(marks, len(found))).tolist()
+            self.update((w, data[i:j]) for w, i, j in zip(part, starts, ends, strict=True))
+
+    def words(self, text: bytes) -> list[bytes]:
+        # A letter and a combining mark (U+0300 to U+036F) may compose in one case alone.
+        if self.lower and b"\xcc" not in text and b"\xcd" not in text:
+            text = text.lower()
+        return text.split()
 
     def encode(self, texts: list[bytes], end: int) -> Iterator[bytes]:
         """Packed ids of each text, with the end token."""
@@ -63,13 +109,16 @@ class WordIds(dict):
         while at < len(texts):
             words, found, size = [], [], 0
             while at < len(texts) and size < 4_000_000:
-                words.append(texts[at].split())
+                words.append(self.words(texts[at]))
                 found.append(list(map(self.get, words[-1])))
                 size += len(texts[at])
                 at += 1
             open_ = [i for i, f in enumerate(found) if None in f]
             lost = {i: [w for w, v in zip(words[i], found[i]) if v is None] for i in open_}
             if lost:
+                if len(self) > self.limit:
+                    self.old = dict(self)
+                    self.clear()
                 self.learn(set().union(*lost.values()))
             for i, own in enumerate(found):
                 if i in lost:
@@ -78,6 +127,11 @@ class WordIds(dict):
                 yield b"".join(own) + tail
 
 
+def word_ids(path: str) -> WordIds:
+    """The word ids of this process; a later task of the same worker finds the words of earlier ones."""
+    return in_worker(("words", path), lambda: WordIds(path))
+
+
 def cuts(n: int, window: int, small: bool) -> list[int]:
     """Lengths of the pieces of ``n`` tokens: full windows, then the rest, whole or in powers of two."""
     rest = n % window
@@ -85,28 +139,33 @@ def cuts(n: int, window: int, small: bool) -> list[int]:
     return [window] * (n // window) + parts
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end: int, window: int = WINDOW, cut_every: int = CUT_EVERY) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end: int, window: int = WINDOW, cut_every: int | None = None) -> DataFrame:
     """Pieces of all documents: a narrow row each; the ids stay in the task.
 
     A driver of real training files calls :func:`sequences` for the ids themselves.
     """
 
     def run(rows):
-        ids = WordIds(tokenizer)
+        ids = word_ids(tokenizer)
         for batch in rows:
             out: list[list[int]] = [[] for _ in _PIECES]
-            keys = batch.column("doc_id").to_pylist()
-            for key, data in zip(keys, ids.encode(as_bytes(batch, "text"), end)):
+            keys, hashes = (batch.column(name).to_pylist() for name in ("doc_id", "_hash"))
+            for key, hashed, data in zip(keys, hashes, ids.encode(as_bytes(batch, "text"), end)):
                 n, start, view = len(data) // 4, 0, memoryview(data)
-                chosen = zlib.crc32(str(key).encode()) % cut_every == 0
+                chosen = cut_every is not None and zlib.crc32(str(key).encode()) % cut_every == 0
                 for length in cuts(n, window, chosen):
-                    row = (key, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), n)
+                    row = (key, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), n, hashed)
                     for column, value in zip(out, row):
                         column.append(value)
                     start += length
             yield batch_of(_PIECES, *out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return hashed_texts(docs).mapInArrow(run, PIECES)
+
+
+def hashed_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, _hash``: the hash tells texts of one id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
 
 
 def fill(counts: dict[int, int], lengths: list[int], first: int, capacity: int) -> dict[int, int]:
@@ -114,8 +173,6 @@ def fill(counts: dict[int, int], lengths: list[int], first: int, capacity: int)
 
     ``reach`` has bit ``t`` set if lengths taken so far can sum to ``t``.  A count is
     split into powers of two, one shift each.  The steps are kept for the way back.
-    Where the capacity can't be met, a power of two that can be met exactly comes
-    first (it needs no padding), then the closest fill.
     """
     room = capacity - first
     mask, reach, steps = (1 << room + 1) - 1, 1, []
@@ -132,9 +189,6 @@ def fill(counts: dict[int, int], lengths: list[int], first: int, capacity: int)
             if reach >> room & 1:
                 break
     goal = reach.bit_length() - 1
-    if goal < room:
-        exact = [p - first for p in (1 << k for k in range(capacity.bit_length())) if first <= p and reach >> p - first & 1]
-        goal = max(exact, default=goal)
     used = {first: 1}
     for length, take, before in reversed(steps):
         if not before >> goal & 1:
@@ -197,7 +251,7 @@ def place(pieces: DataFrame, window: int = WINDOW, rows_per_salt: int = 1000) ->
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int, window: int = WINDOW, cut_every: int = CUT_EVERY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int, window: int = WINDOW, cut_every: int | None = None) -> DataFrame:
     """Pack all documents: one row a piece."""
     return place(stage(token_pieces(docs, tokenizer, end, window, cut_every), "pieces"), window)
 
@@ -205,14 +259,17 @@ def pack(docs: DataFrame, tokenizer: str, end: int, window: int = WINDOW, cut_ev
 def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str, end: int, pad: int = 0, window: int = WINDOW) -> DataFrame:
     """The sequences themselves: ``(sequence_id, input_ids, doc_starts)``, padded unless at a power of two.
 
-    Pieces meet their text again by ``doc_id``, which has to be unique here; a
-    sequence is one group of at most ``window`` ids.
+    Pieces meet their text again by ``doc_id`` and the text's hash; rows that repeat both
+    are one text here, since each has pieces of its own.  A sequence is one group of at
+    most ``window`` ids.
     """
-    wanted = packed.select(F.col("doc_id").alias("_doc"), "start", "length", "sequence_id", "offset")
-    joined = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    wanted = packed.select(F.col("doc_id").alias("_doc"), "text_hash", "start", "length", "sequence_id", "offset")
+    texts = hashed_texts(docs).dropDuplicates(["doc_id", "_hash"])
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("text_hash"))
+    joined = texts.join(wanted, same)
 
     def cut(rows):
-        ids = WordIds(tokenizer)
+        ids = word_ids(tokenizer)
         names = ["start", "length", "sequence_id", "offset"]
         for batch in rows:
             where = [batch.column(n).to_pylist() for n in names]
