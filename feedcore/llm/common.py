@@ -224,9 +224,11 @@ def bucket_bits(spark_rows: DataFrame, column: str, bytes_per_bucket: int = 8 <<
 
 
 def hidden(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` and all other columns under names that clash with none."""
+    """``doc_id``, ``text`` and all other columns under names that clash with none; all may be null."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"_extra{i}") for i, c in enumerate(others)))
+    names = {"doc_id": "doc_id", "text": "text"} | {c: f"_extra{i}" for i, c in enumerate(others)}
+    # Work rows travel between documents and hold nulls, so no column may forbid them.
+    return docs.select(*(F.when(F.lit(True), F.col(f"`{c}`")).alias(n) for c, n in names.items()))
 
 
 def shown(found: DataFrame, docs: DataFrame, new: list[str]) -> DataFrame:

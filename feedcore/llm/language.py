@@ -13,6 +13,7 @@ covers whole texts.
 Nulls: a null or letterless text is ``und`` with score 0.  Rows without a label are
 never learned from.  Without any label every text is ``und``.  Ties go to the label
 that sorts first.  Repeated rows are rows of their own; an empty table gives no rows.
+A long text is chains of 64 words, each decoded apart.  Extra columns are carried as they are.
 """
 
 from __future__ import annotations
@@ -27,21 +28,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 CHAIN = 64
-_letters = re.compile(r"[^\W\d_]+").findall
+#: Letters of a word at most: scripts without spaces write sentences as one run.
+LONGEST = 40
+_letters = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}").findall
 
 
 def words_of(text: str) -> list[str]:
+    """Runs of letters; longer ones are cut into pieces, so that all of a text is read."""
     return _letters(text.lower())
 
 
 def features(word: str) -> list[int]:
-    """Hashed features of a word: itself, its affixes, its n-grams, a bias."""
-    w = word[:40].encode()
+    """Hashed features of a word: itself, a bias, its affixes, its n-grams."""
+    w = word.encode()
     n = len(w)
     keys = [b"w" + w, b"b"]
     keys += [b"p" + w[:k] for k in range(1, min(n, 4) + 1)] + [b"s" + w[-k:] for k in range(1, min(n, 4) + 1)]
@@ -83,11 +85,11 @@ class Model:
 
     limit = 700_000
 
-    def __init__(self, labels: list[str], weights: np.ndarray, move: np.ndarray, start: np.ndarray) -> None:
-        self.labels, self.weights, self.move, self.start = labels, weights, move, start
+    def __init__(self, labels: list[str], weights: np.ndarray, move: np.ndarray, start: np.ndarray, usual: np.ndarray) -> None:
+        self.labels, self.weights, self.move, self.start, self.usual = labels, weights, move, start, usual
 
     def __getstate__(self):
-        return self.labels, self.weights, self.move, self.start
+        return self.labels, self.weights, self.move, self.start, self.usual
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -99,20 +101,28 @@ class Model:
         scores = np.add.reduceat(self.weights[flat], starts, axis=0)
         return np.exp(np.clip(scores - scores.max(1, keepdims=True), -30, 0)).astype(np.float32)
 
+    def familiar(self, words: list[str]) -> np.ndarray:
+        """Share of each word's affixes and n-grams that are usual in some language."""
+        lists = [features(w)[2:] for w in words]
+        sizes = np.array([len(x) for x in lists])
+        flat = np.fromiter((i for x in lists for i in x), np.int64, sizes.sum())
+        return np.add.reduceat(self.usual[flat].astype(np.float32), np.cumsum(sizes) - sizes) / sizes
+
     def _known(self, words: set[str]) -> None:
         if not hasattr(self, "rows") or len(self.rows) > self.limit:
-            self.rows, self.table, self.used = {}, np.zeros((1 << 16, len(self.labels)), np.float32), 0
+            self.rows, self.table, self.used = {}, np.zeros((1 << 16, len(self.labels) + 1), np.float32), 0
         new = [w for w in words if w not in self.rows]
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
             while self.used + len(part) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[self.used : self.used + len(part)] = self.emissions(part)
+            self.table[self.used : self.used + len(part), :-1] = self.emissions(part)
+            self.table[self.used : self.used + len(part), -1] = self.familiar(part)
             self.rows.update(zip(part, range(self.used, self.used + len(part))))
             self.used += len(part)
 
     def shares(self, texts: list[str]) -> Iterator[np.ndarray | None]:
-        """Share of each label among the words of each text; None without words."""
+        """Share of each label among the words of each text, then how familiar they are; None without words."""
         at = 0
         while at < len(texts):
             group, size = [], 0
@@ -133,12 +143,14 @@ class Model:
                 ids[f * CHAIN : f * CHAIN + len(g)] = np.fromiter(map(self.rows.__getitem__, g), np.int64, len(g))
             ids = ids.reshape(total, CHAIN)
             sizes = (ids >= 0).sum(1)
-            emit = self.table[np.maximum(ids, 0)] * (ids >= 0)[:, :, None]
+            told = self.table[np.maximum(ids, 0)] * (ids >= 0)[:, :, None]
+            emit = np.ascontiguousarray(told[:, :, :-1])
             emit[ids < 0] = 1
             marginals = forward_backward(emit, sizes, self.move.astype(np.float32), self.start.astype(np.float32))[0]
-            sums = np.zeros((len(group), len(self.labels)))
+            marginals = np.concatenate((marginals.sum(1, dtype=np.float64), told[:, :, -1].sum(1, dtype=np.float64)[:, None]), axis=1)
+            sums = np.zeros((len(group), len(self.labels) + 1))
             has = counts > 0
-            sums[has] = np.add.reduceat(marginals.sum(1, dtype=np.float64), first[has], axis=0)
+            sums[has] = np.add.reduceat(marginals, first[has], axis=0)
             for s, c in zip(sums, counts):
                 yield s / c if c else None
 
@@ -159,7 +171,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.3, seed:
     labels = sorted({label for label, _ in rows})
     size = len(labels)
     if not labels:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.ones((0, 0)), np.ones(0))
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.ones((0, 0)), np.ones(0), np.zeros(BUCKETS, bool))
     rng = np.random.default_rng(seed)
     runs = []
     for label, text in sorted(rows):
@@ -173,7 +185,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.3, seed:
     vocabulary = {w: i for i, w in enumerate(sorted({w for w, _ in stream}))}
     lists = [features(w) for w in vocabulary]
     if not stream:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.ones((0, 0)), np.ones(0))
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.ones((0, 0)), np.ones(0), np.zeros(BUCKETS, bool))
     starts = np.cumsum([0] + [len(x) for x in lists[:-1]])
     counts = np.array([len(x) for x in lists])
     flat = np.fromiter((i for x in lists for i in x), np.int64, counts.sum())
@@ -210,7 +222,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.3, seed:
             for x, g, p in zip((weights, moves, begins), steps, past):
                 p += g * g
                 x += rate * g / np.sqrt(p)
-    return Model(labels, weights.astype(np.float32), np.exp(moves), np.exp(begins))
+    return Model(labels, weights.astype(np.float32), np.exp(moves), np.exp(begins), usual_features(rows))
 
 
 def sample(docs: DataFrame, learnable, docs_per_label: int = 200, slice_chars: int = 2500) -> list[tuple[str, str]]:
@@ -228,20 +240,55 @@ def sample(docs: DataFrame, learnable, docs_per_label: int = 200, slice_chars: i
     return sorted((r.label, r.part) for r in kept.select("label", "part").collect())
 
 
+def usual_features(rows: list[tuple[str, str]], share: float = 0.1) -> np.ndarray:
+    """Features in at least this share of some label's slices (and in two): junk among them adds none."""
+    usual = np.zeros(BUCKETS, bool)
+    for label in {label for label, _ in rows}:
+        counts, slices = np.zeros(BUCKETS, np.int64), 0
+        for own, text in rows:
+            if own == label and (words := set(words_of(text))):
+                counts[np.unique([f for w in words for f in features(w)[2:]])] += 1
+                slices += 1
+        usual |= counts >= max(2, share * slices)
+    return usual
+
+
+def familiar_bound(rows: list[tuple[str, str]], slack: float = 0.6) -> float:
+    """Texts less ``familiar`` than this are of no learned language.
+
+    One half of the sample tells how familiar the other half's texts are.  Their median times
+    ``slack`` is the bound, which follows the sample's size, does not depend on the number of
+    labels and is not moved by some junk in the sample.  Without two texts of words nothing is below it.
+    """
+    ranked = sorted(rows, key=lambda r: zlib.crc32(r[1].encode()))
+    usual = usual_features(ranked[::2])
+    texts = [words for _, text in ranked[1::2] if (words := words_of(text))]
+    shares = [np.mean([usual[features(w)[2:]].mean() for w in words]) for words in texts]
+    return float(np.median(shares)) * slack if shares else 0.0
+
+
 def predict(docs: DataFrame, model: Model, key: list[str]) -> DataFrame:
-    """``key`` columns, ``lang_pred`` and ``score`` of whole texts."""
+    """``key`` columns, ``lang_pred``, ``score`` and ``familiar`` of whole texts.
+
+    The new columns replace key columns of the same names.  ``familiar`` is the mean share of
+    a word's affixes and n-grams that are usual in some learned language: it tells text of
+    none of them, whatever their number (null without words).
+    """
     types = dict(docs.dtypes)
+    key = [k for k in key if k not in ("lang_pred", "score", "familiar")]
 
     def run(rows):
         for batch in rows:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            names, scores = [], []
+            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            names, scores, known = [], [], []
             for share in model.shares(texts) if model.labels else [None] * len(texts):
-                best = 0 if share is None else int(share.argmax())
+                best = 0 if share is None else int(share[:-1].argmax())
                 names.append(UNKNOWN if share is None else model.labels[best])
                 scores.append(0.0 if share is None else min(1.0, float(share[best])))
-            columns = [batch.column(k) for k in key]
-            yield pa.record_batch([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*key, "lang_pred", "score"])
+                known.append(None if share is None else float(share[-1]))
+            new = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.float64())]
+            yield pa.record_batch([*(batch.column(i) for i in range(len(key))), *new], [*key, "lang_pred", "score", "familiar"])
 
-    schema = ", ".join(f"`{k}` {types[k]}" for k in key) + ", lang_pred string, score double"
-    return docs.select(*key, *([] if "text" in key else ["text"])).mapInArrow(run, schema)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in key) + ", lang_pred string, score double, familiar double"
+    texts = docs.select(*(F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(key)), F.col("text").alias("_text"))
+    return texts.mapInArrow(run, schema)

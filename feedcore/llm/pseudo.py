@@ -67,6 +67,16 @@ class Vocabulary:
         self.weights[spread] = np.log(np.maximum(weights, 1))
         self.tokens, self.seldom = spread[token].astype(np.int16), spread[seldom]
 
+    def parts(self) -> dict[str, np.ndarray]:
+        return dict(vars(self))
+
+    @classmethod
+    def of(cls, parts: dict[str, np.ndarray]) -> Vocabulary:
+        """Plain arrays are broadcast, as a class of this package could not be found by name everywhere."""
+        own = cls.__new__(cls)
+        vars(own).update(parts)
+        return own
+
     def look(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The token of each word, and the log of the word's part of it."""
         token, part = self.seldom[(words & np.uint64(ONCE - 1)).astype(np.int64)], np.zeros(len(words), np.float32)
@@ -229,10 +239,10 @@ def train(docs: DataFrame, known: Vocabulary, rounds: int = 2, train_every: int
         mine = mine.where(F.pmod(F.xxhash64("text"), F.lit(train_every)) == 0)
     form = "part int, weights binary, seen long"
     for turn in range(rounds):
-        given = spark.sparkContext.broadcast((network.parts(), known))
+        given = spark.sparkContext.broadcast((network.parts(), known.parts()))
 
         def run(rows, given=given, turn=turn):
-            parts, tokens = given.value
+            parts, tokens = given.value[0], Vocabulary.of(given.value[1])
             own, seen = Network([p.copy() for p in parts]), 0
             for batch in by_bytes(rows, "text", BATCH_BYTES):
                 around, token, _, _ = windows(as_bytes(batch, "text"), tokens)
@@ -260,11 +270,11 @@ def train(docs: DataFrame, known: Vocabulary, rounds: int = 2, train_every: int
 
 def score(docs: DataFrame, known: Vocabulary, network: Network) -> DataFrame:
     """``(doc_id, n_tokens, pseudo_log_likelihood, mean_log_probability)`` of whole texts."""
-    given = docs.sparkSession.sparkContext.broadcast((network.parts(), known))
+    given = docs.sparkSession.sparkContext.broadcast((network.parts(), known.parts()))
     form = "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double"
 
     def run(rows):
-        parts, tokens = given.value
+        parts, tokens = given.value[0], Vocabulary.of(given.value[1])
         own = Network(parts)
         for batch in by_bytes(rows, "text", BATCH_BYTES):
             around, token, own_part, sizes = windows(as_bytes(batch, "text"), tokens)

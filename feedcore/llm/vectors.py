@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from feedcore.llm.common import in_worker
+
 #: Rows that the centroids are fitted on, at most.
 SAMPLE = 20_000
 LIST_SIZE = 200
@@ -122,6 +124,11 @@ def _twin_keys(vector: str) -> list[Column]:
     return [F.xxhash64(vector).alias("k1"), F.xxhash64(F.lit(77), vector).alias("k2")]
 
 
+def graph_of(points: np.ndarray) -> Centroids:
+    """The graph over the centroids, built once a worker."""
+    return in_worker(("centroids", points.shape, hash(points.tobytes())), lambda: Centroids(points))
+
+
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     v = F.col(vector)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -156,7 +163,8 @@ def nearest(
     total = every.count()
     leaves = max(1, min(-(-total // list_size), sample // 16))
     points = unit(np.array([v for v in drawn if len(v) == width]))
-    centroids = spark.sparkContext.broadcast(Centroids(balanced(points, leaves)))  # at most sample / 16 points
+    # Plain numbers are broadcast, as a class of this package could not be found by name everywhere.
+    centroids = spark.sparkContext.broadcast(balanced(points, leaves))  # at most sample / 16 points
 
     keyed = every.select("id", "v", *_twin_keys("v"))
     place = W.partitionBy("k1", "k2").orderBy("id")
@@ -169,14 +177,14 @@ def nearest(
     query_cuts = max(1, -(-questions.count() // CELL))
 
     def write(batches):
-        own = centroids.value
+        own = graph_of(centroids.value)
         for batch in batches:
             homes = [own.homes(v, copy_ratio, copies) for v in unit(matrix(batch.column("v")))] if batch.num_rows else []
             take = pa.array(np.repeat(np.arange(len(homes)), [len(h) for h in homes]))
             yield pa.record_batch([batch.column("id").take(take), batch.column("v").take(take), pa.array([i for h in homes for i in h], pa.int32())], ["id", "v", "list"])
 
     def ask(batches):
-        own = centroids.value
+        own = graph_of(centroids.value)
         for batch in batches:
             lists = [own.search(v, probe_ratio, least_lists)[0] for v in unit(matrix(batch.column("v")))] if batch.num_rows else []
             take = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))

@@ -87,7 +87,7 @@ def test_neighbours(spark):
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     count, problems = oracle.compare(queries.QUERIES[name](spark, SMALL), queries.ORACLES[name], oracle.connect(SMALL))
-    assert not problems and count == 200
+    assert not problems and count == {"op11_spelling_variants": 2829, "op13_warc": 50}.get(name, 200)
 
 
 def test_pipeline_stages(spark):
