@@ -16,14 +16,24 @@ from pyspark.sql import functions as F
 from feedcore.session import shared_folder
 
 
+#: Spark deletes a query's shuffle files when the query ends, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there.
 
-    A lost executor then costs the tasks that ran on it, never the steps before.
+    A lost executor then costs the tasks that ran on it, never the steps before.  The
+    shuffle files of the step are gone when its table is there.
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     for paths in _LISTS:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)

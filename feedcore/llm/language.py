@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -94,19 +95,18 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def emissions(self, words: list[str]) -> np.ndarray:
+    def emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Factors of each label, and the share of a word's affixes and n-grams that are usual in some language."""
         lists = [features(w) for w in words]
-        starts = np.cumsum([0] + [len(x) for x in lists[:-1]])
-        flat = np.fromiter((i for x in lists for i in x), np.int64, sum(map(len, lists)))
-        scores = np.add.reduceat(self.weights[flat], starts, axis=0)
-        return np.exp(np.clip(scores - scores.max(1, keepdims=True), -30, 0)).astype(np.float32)
-
-    def familiar(self, words: list[str]) -> np.ndarray:
-        """Share of each word's affixes and n-grams that are usual in some language."""
-        lists = [features(w)[2:] for w in words]
         sizes = np.array([len(x) for x in lists])
-        flat = np.fromiter((i for x in lists for i in x), np.int64, sizes.sum())
-        return np.add.reduceat(self.usual[flat].astype(np.float32), np.cumsum(sizes) - sizes) / sizes
+        starts = np.cumsum(sizes) - sizes
+        flat = np.fromiter(chain.from_iterable(lists), np.int64, sizes.sum())
+        scores = np.add.reduceat(self.weights[flat], starts, axis=0)
+        usual = self.usual[flat]
+        # The first two features are the whole word and the bias.
+        usual[starts] = usual[starts + 1] = False
+        familiar = np.add.reduceat(usual.astype(np.float32), starts) / (sizes - 2)
+        return np.exp(np.clip(scores - scores.max(1, keepdims=True), -30, 0)).astype(np.float32), familiar
 
     def _known(self, words: set[str]) -> None:
         if not hasattr(self, "rows") or len(self.rows) > self.limit:
@@ -116,8 +116,8 @@ class Model:
             part = new[at : at + 50_000]
             while self.used + len(part) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[self.used : self.used + len(part), :-1] = self.emissions(part)
-            self.table[self.used : self.used + len(part), -1] = self.familiar(part)
+            own = slice(self.used, self.used + len(part))
+            self.table[own, :-1], self.table[own, -1] = self.emissions(part)
             self.rows.update(zip(part, range(self.used, self.used + len(part))))
             self.used += len(part)
 
@@ -126,7 +126,7 @@ class Model:
         at = 0
         while at < len(texts):
             group, size = [], 0
-            while at < len(texts) and size < 2_000_000:
+            while at < len(texts) and size < 1_000_000:
                 group.append(words_of(texts[at]))
                 size += len(texts[at]) + 100
                 at += 1
@@ -160,7 +160,7 @@ class Model:
         out = []
         for at in range(0, len(words), CHAIN):
             part = words[at : at + CHAIN]
-            emit = self.emissions(part)[None]
+            emit = self.emissions(part)[0][None]
             best = forward_backward(emit, np.array([len(part)]), self.move, self.start)[0][0].argmax(1)
             out += [(w, self.labels[b]) for w, b in zip(part, best)]
         return out

@@ -48,7 +48,7 @@ class WordIds(dict):
     """
 
     #: Words of a generation; there are two.
-    limit = 500_000
+    limit = 800_000
     joined = 4096
 
     def __init__(self, path: str) -> None:
