@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedcore.functions.text import attribute, first_non_empty, markup_text
+from feedcore.functions.text import attribute, first_non_empty, let, markup_text
+from feedcore.sources.elements import INSIDE_TAG as _INSIDE_TAG
+from feedcore.sources.elements import elements, opening_tags
 
 _PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
@@ -75,23 +77,49 @@ def _empty_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def parse_rss(body: Column) -> Column:
-    return F.from_xml(body, _RSS, _PERMISSIVE)
+def _any_depth(body: Column, parsed: Column, node: str, schema: str, fixed: Column) -> Column:
+    """``node`` elements at any depth, where a sound payload has more of them than ``fixed`` paths found; else null.
 
+    Each element's content is parsed apart from the elements around it, so a field is always its own child.
+    """
+    single = F.transform(elements(body, node), lambda e: F.concat(F.lit(f"<{node}>"), e["inner"], F.lit(f"</{node}>")))
+    whole = F.from_xml(F.concat(F.lit("<r>"), F.array_join(single, ""), F.lit("</r>")), schema, _PERMISSIVE)
+    more = parsed["_corrupt"].isNull() & (opening_tags(body, node) > F.size(fixed))
+    return F.when(more, whole[node])
 
-def rss_array(parsed: Column) -> Column:
-    """``item`` elements below all channels, then those below the root (RSS 1.0).
 
-    Of an element that is given twice the first counts.
-    """
-    none = F.array().cast(f"array<{_RSS_ENTRY}>")
-    below = F.flatten(F.transform(parsed["channel"], lambda c: F.coalesce(c["item"], none)))
-    every = F.concat(F.coalesce(below, none), F.coalesce(parsed["item"], none))
+def _first_of_each(entries: Column) -> Column:
+    """Of an element that is given twice the first counts."""
     return F.transform(
-        every, lambda e: F.struct(*[F.get(e[n], F.lit(0)).alias(n) for n in ("title", "link", "pubDate")])
+        entries, lambda e: F.struct(*[F.get(e[n], F.lit(0)).alias(n) for n in ("title", "link", "pubDate")])
     )
 
 
+def _fixed_items(parsed: Column) -> Column:
+    """``item`` elements below all channels, then those below the root (RSS 1.0)."""
+    none = F.array().cast(f"array<{_RSS_ENTRY}>")
+    below = F.flatten(F.transform(parsed["channel"], lambda c: F.coalesce(c["item"], none)))
+    return F.concat(F.coalesce(below, none), F.coalesce(parsed["item"], none))
+
+
+def parse_rss(body: Column) -> Column:
+    """``items`` in document order, at any depth, and ``_corrupt``.
+
+    One parse of fixed paths is enough for nearly all feeds; the others are cut by balanced tags.
+    """
+
+    def both(parsed: Column) -> Column:
+        fixed = _fixed_items(parsed)
+        deep = _any_depth(body, parsed, "item", f"item array<{_RSS_ENTRY}>, _corrupt string", fixed)
+        return F.struct(F.coalesce(deep, fixed).alias("items"), parsed["_corrupt"].alias("_corrupt"))
+
+    return let(F.from_xml(body, _RSS, _PERMISSIVE), both)
+
+
+def rss_array(parsed: Column) -> Column:
+    return _first_of_each(parsed["items"])
+
+
 def rss_entries(payloads: DataFrame) -> DataFrame:
     """Feed entries with raw title, link and date; absent ones are empty."""
     rows = _entries(payloads, parse_rss(F.col("body")), rss_array)
@@ -107,7 +135,8 @@ def rss_entries(payloads: DataFrame) -> DataFrame:
 
 
 _LAW_FIELDS = [*LAW_NAME, *LAW_PUBLISHED, *LAW_EFFECTIVE, *LAW_KIND, *LAW_LINK]
-_LAWS = f"`{LAW_NODE}` array<struct<" + ", ".join(f"`{n}` string" for n in _LAW_FIELDS) + ">>, _corrupt string"
+_LAW_NODES = "array<struct<" + ", ".join(f"`{n}` string" for n in _LAW_FIELDS) + ">>"
+_LAWS = f"`{LAW_NODE}` {_LAW_NODES}, _corrupt string"
 # An answer's head up to its root element, and an element that holds nothing but leaves.
 _ROOT = r"(?s)^(?:[^<]|<[?!][^>]*>)*+<[^<>]*>"
 _LEAF = r"<([^\s<>/!?]++)[^<>]*+>(?:[^<]|<!\[CDATA\[.*?\]\]>)*+</\{}\s*>|<[^\s<>/!?]++[^<>]*/>"
@@ -130,12 +159,16 @@ def _other_laws(body: Column) -> Column:
 
 
 def law_entries(payloads: DataFrame) -> DataFrame:
-    """Law elements below the root; where an answer has none, other elements that carry a name."""
+    """Law elements at any depth; where an answer has none, other elements that carry a name."""
     body = F.col("body")
-    found = parse_laws(body)
-    found = F.when(
-        found["_corrupt"].isNull(), F.coalesce(found[LAW_NODE], _other_laws(body))
-    ).otherwise(found[LAW_NODE])
+
+    def laws(parsed: Column) -> Column:
+        fixed = F.coalesce(parsed[LAW_NODE], F.array().cast(_LAW_NODES))
+        deep = _any_depth(body, parsed, LAW_NODE, _LAWS, fixed)
+        sound = F.coalesce(deep, parsed[LAW_NODE], _other_laws(body))
+        return F.when(parsed["_corrupt"].isNull(), sound).otherwise(parsed[LAW_NODE])
+
+    found = let(parse_laws(body), laws)
 
     def first(tags: tuple[str, ...]) -> Column:
         return first_non_empty(*[F.col("_e")[t] for t in tags])
@@ -182,7 +215,6 @@ def news_entries(payloads: DataFrame) -> DataFrame:
 
 
 _COMMENT_OR_CODE = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
-_INSIDE_TAG = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 # An anchor ends where it is closed, where the next one starts, or with the page.
 _ANCHOR = rf"(?is)<a(?=[\s>/]){_INSIDE_TAG}>.*?(?:</a\s*>|(?=<a[\s>/])|\z)"
 _OPENING = rf"(?is)^<a{_INSIDE_TAG}>"
@@ -219,16 +251,11 @@ LIST_ROWS = ("ul", "li")
 def row_link_entries(payloads: DataFrame, rows: tuple[str, str] = BOARD_ROWS) -> DataFrame:
     """Listing rows with an anchor: the first anchor's text and link, the row's text.
 
-    ``rows`` names the enclosing element and the row element.  Rows nested in
-    rows are not told apart; boards are flat tables.
+    ``rows`` names the enclosing element and the row element.  Rows are found at any depth;
+    one that holds a list or table of its own has that one's text and anchors as well.
     """
     outer, inner = rows
-    block = rf"(?is)<{outer}(?=[\s>/]){_INSIDE_TAG}>.*?(?:</{outer}\s*>|\z)"
-    row = rf"(?is)<{inner}(?=[\s>/]){_INSIDE_TAG}>.*?(?=</{inner}\s*>|<{inner}(?=[\s>/])|</{outer}\s*>|\z)"
-    blocks = F.regexp_extract_all(_visible(F.col("body")), F.lit(block), F.lit(0))
-    found = F.flatten(
-        F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(row), F.lit(0)))
-    )
+    found = F.transform(elements(_visible(F.col("body")), inner, outer), lambda e: F.concat(e["tag"], e["inner"]))
     linked = F.filter(found, lambda r: r.rlike(r"(?i)<a[\s>/]"))
     exploded = _entries(payloads, F.struct(linked.alias("r")), lambda p: p["r"])
     anchor = F.regexp_extract(F.col("_e"), _ANCHOR, 0)
