@@ -290,6 +290,64 @@ def store_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Three runs: a document is in one of them by its number.
+_RUNS = {1: "2024-07-01", 2: "2024-10-01", 3: "2025-02-01"}
+
+
+def _kept_at(*runs: int) -> str:
+    tests = [f"date >= strftime(DATE '{_RUNS[n]}' - 180, '%Y-%m-%d')" for n in runs]
+    return f"(is_off OR ({' AND '.join(tests)}))"
+
+
+_FITS = f"(is_off OR (NOT {exclude_sql('title')} AND {match_sql('title', 'category')}))"
+RUNS = f"""{ITEMS}, rows_of AS (
+  SELECT *, 1 + doc_id % 3 AS run, source_type = {text(OFFICIAL)} AS is_off,
+    CASE WHEN source_type = {text(OFFICIAL)} THEN title ELSE {key_sql('title')} END AS k1,
+    CASE WHEN source_type = {text(OFFICIAL)} THEN date ELSE '' END AS k2,
+    CASE WHEN source_type = {text(OFFICIAL)} THEN 100 ELSE {trust_sql('url')} END AS trust
+  FROM items WHERE category IN ('en', 'fr', 'de')),
+once AS (
+  SELECT * FROM rows_of WHERE is_off OR k1 <> ''
+  QUALIFY row_number() OVER (PARTITION BY run, is_off, k1, k2 ORDER BY doc_id, pos) = 1),
+stored AS (
+  SELECT * FROM once WHERE run = 3 AND {_kept_at(3)}
+  UNION ALL SELECT * FROM once WHERE run = 2 AND {_kept_at(2, 3)} AND {_FITS}
+    AND (is_off, k1, k2) NOT IN (SELECT (is_off, k1, k2) FROM once WHERE run = 3)
+  UNION ALL SELECT * FROM once WHERE run = 1 AND {_kept_at(1, 2, 3)} AND {_FITS}
+    AND (is_off, k1, k2) NOT IN (SELECT (is_off, k1, k2) FROM once WHERE run > 1))"""
+
+
+def of_run(spark: SparkSession, folder: str, run: int) -> DataFrame:
+    """The rows that come in with one of the three runs."""
+    mine = items(spark, folder).where(F.col("doc_id") % 3 + 1 == run)
+    official = matching.is_official(F.col("source_type"), TRIAL)
+    scored = with_trust(mine.where(F.col("category").isin(*TRIAL.allowed)), TRIAL)
+    return scored.withColumn("trust", F.when(official, F.lit(TRIAL.official_trust)).otherwise(F.col("trust")))
+
+
+@query(
+    f"""WITH {RUNS}
+    SELECT doc_id, pos, title, source, source_type, category, url, date, trust, CAST(run AS BIGINT) AS run_seq FROM stored"""
+)
+def store_touch(spark: SparkSession, folder: str) -> DataFrame:
+    """Three runs over one store, each of which rewrites only the folders it touches."""
+    path = shared_folder(spark, "touch")
+    for run, as_of in _RUNS.items():
+        merge.merge_touched(spark, of_run(spark, folder, run), path, TRIAL, as_of, run)
+    return store.read_store(spark, path).select(
+        F.col("payload_id").cast("long").alias("doc_id"),
+        F.col("feed_pos").alias("pos"),
+        "title",
+        "source",
+        "source_type",
+        "category",
+        "url",
+        "date",
+        "trust",
+        "run_seq",
+    )
+
+
 @query(
     f"""WITH {MERGED}, top AS (
       SELECT *, row_number() OVER (ORDER BY trust DESC, date DESC, is_off DESC, generation, doc_id, pos) AS position

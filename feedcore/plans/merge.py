@@ -25,13 +25,8 @@ from feedcore.plans.ingest import fill_missing, ingest, request_outcomes
 from feedcore.rules import RuleBook
 from feedcore.schema import STORED, conform, intake_order
 from feedcore.sources.readers import WIRED, Source
-from feedcore.sources.store import (
-    latest_run,
-    read_store,
-    snapshot_envelope,
-    write_ranked,
-    write_store,
-)
+from feedcore.sources import folders
+from feedcore.sources.store import laid_out, latest_run, read_store, snapshot_envelope, write_ranked
 
 
 def revalidate(stored: DataFrame, rules: RuleBook) -> DataFrame:
@@ -113,6 +108,45 @@ def merge_parts(
     return summarize(fresh, rules), summarize(kept, rules)
 
 
+def merge_touched(
+    spark: SparkSession, new: DataFrame, store: str, rules: RuleBook, as_of: dt.date | str, run: int
+) -> None:
+    """``merge_parts`` into a store of which only touched folders are rewritten.
+
+    A folder is touched if the run has a row for it, or if one of its rows gives way to
+    the run's, or expires.  Folders whose every row has expired are let go unread.  Rows that
+    passed the same rules before pass again, so only new rules touch all folders.
+    To the driver: one row a folder.
+    """
+    mark = folders.rules_mark(rules)
+    held = folders.unexpired(folders.in_force(spark, store)[1], _keep_from(as_of, rules))
+    # The run is de-duplicated once; a crashed attempt's rows are replaced.
+    path = f"{store}/_fresh/run={run}"
+    first = first_per_key(with_feed_key(_of_run(new, run), rules), FEED_KEY, intake_order())
+    laid_out(first, rules, FEED_KEY).write.mode("overwrite").parquet(path)
+    fresh = spark.read.parquet(path)
+    taken = broadcast_if_small(fresh.select(*FEED_KEY))
+
+    def with_key(rows: list[folders.Folder]) -> DataFrame:
+        return with_feed_key(_before_run(folders.read_folders(spark, store, rows), run), rules)
+
+    changed = fresh.where(retained(rules, as_of)).select(*folders.LAYOUT).distinct()
+    known = [f for f in held if f.rules == mark]
+    if known:
+        old = with_key(known)
+        going = laid_out(old.join(taken, FEED_KEY, "left_semi"), rules).unionByName(laid_out(old.where(~retained(rules, as_of)), rules))
+        changed = changed.unionByName(going.select(*folders.LAYOUT)).distinct()
+    touched = {(r.is_official, r.month) for r in changed.collect()} | {f.key for f in held if f.rules != mark}
+    moved = [f for f in held if f.key in touched]
+    stored = revalidate(folders.read_folders(spark, store, moved), rules)
+    old = with_feed_key(_before_run(stored.where(retained(rules, as_of)), run), rules)
+    kept = old.join(taken, FEED_KEY, "left_anti").drop(*FEED_KEY)
+    both = fresh.drop(*FEED_KEY, *folders.LAYOUT).where(retained(rules, as_of)).unionByName(kept)
+    rows = laid_out(summarize(both, rules), rules)
+    folders.put_in_force(spark, store, run, rows, [f for f in held if f.key not in touched], mark)
+    folders.remove_unused(spark, store)
+
+
 @dataclass(frozen=True)
 class Published:
     """What a run wrote, and small reports on it."""
@@ -144,9 +178,7 @@ def run_job(
     if (latest_run(spark, store) or 0) < run:
         ingest(raw, rules, as_of, run, sources).write.mode("overwrite").parquet(staged)
         new = spark.read.schema(STORED).parquet(staged)
-        stored = revalidate(read_store(spark, store, _keep_from(as_of, rules)), rules)
-        fresh, kept = merge_parts(new, stored, rules, as_of, run)
-        write_store(fresh, store, run, rules, kept)
+        merge_touched(spark, new, store, rules, as_of, run)
     items = read_store(spark, store)
     if ranked:
         write_ranked(items, ranked, rules)

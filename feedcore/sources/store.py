@@ -1,51 +1,34 @@
 """The stored set and the published snapshot.
 
-Each run writes a new folder ``run=<n>`` and never the one being read; a reader
-takes the newest finished one (the one with Spark's ``_SUCCESS`` mark), so a
-job that dies half-way leaves the previous set in force.
+``write_store`` writes a whole set as a new folder ``run=<n>`` and never the one being
+read; a reader takes the newest finished one (the one with Spark's ``_SUCCESS``
+mark), so a job that dies half-way leaves the previous set in force.  Jobs rewrite
+only the folders they touch (``folders``); both are read here.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedcore.functions.dates import day
 from feedcore.functions.matching import is_official
 from feedcore.operators.rank import feed_order, rank_feed, top
 from feedcore.rules import RuleBook
 from feedcore.schema import INTAKE_COLUMNS, ITEM, ITEM_COLUMNS, STORED, conform
-
-_LAYOUT = ["is_official", "month"]
-
-
-def _listing(spark: SparkSession, path: str) -> list[str]:
-    """Names below a folder on whatever file system the path names; none if absent."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(target):
-        return []
-    return [status.getPath().getName() for status in fs.listStatus(target)]
+from feedcore.sources.folders import LAYOUT, in_force, names_below, read_folders, unexpired
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    return bool(_listing(spark, path))
+    return bool(names_below(spark, path))
 
 
 def latest_run(spark: SparkSession, path: str) -> int | None:
     """Number of the newest finished run in a store."""
-    runs = sorted(
-        (int(name.split("=", 1)[1]) for name in _listing(spark, path) if name.startswith("run=")),
-        reverse=True,
-    )
-    for run in runs:
-        if "_SUCCESS" in _listing(spark, f"{path}/run={run}"):
-            return run
-    return None
+    return in_force(spark, path)[0] or None
 
 
 def write_store(
@@ -59,20 +42,22 @@ def write_store(
     """
     target = f"{path}/run={run}"
     # What a crashed attempt left behind was never in force and is replaced.
-    finished = "_SUCCESS" in _listing(df.sparkSession, target)
+    finished = "_SUCCESS" in names_below(df.sparkSession, target)
     # AQE splits a folder that holds a third of all rows and joins small ones.
-    rows = _laid_out(df, rules).hint("rebalance", *_LAYOUT)
+    rows = laid_out(df, rules).hint("rebalance", *LAYOUT)
     if kept is not None:
-        rows = rows.unionByName(_laid_out(kept, rules))
-    rows.write.mode("errorifexists" if finished else "overwrite").partitionBy(*_LAYOUT).parquet(target)
+        rows = rows.unionByName(laid_out(kept, rules))
+    rows.write.mode("errorifexists" if finished else "overwrite").partitionBy(*LAYOUT).parquet(target)
     return target
 
 
-def _laid_out(df: DataFrame, rules: RuleBook) -> DataFrame:
+def laid_out(df: DataFrame, rules: RuleBook, more: Sequence[str] = ()) -> DataFrame:
+    """Stored columns, ``more`` and the columns that name a row's folder."""
     return (
-        conform(df, STORED)
+        conform(df, T.StructType([*STORED.fields, *(df.schema[c] for c in more)]))
         .withColumn("is_official", is_official(F.col("source_type"), rules))
-        .withColumn("month", F.date_format(F.col("date").try_cast("date"), "yyyy-MM"))
+        # Expiry compares days as text, so only texts of that form have a month.
+        .withColumn("month", F.when(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.substring("date", 1, 7)))
     )
 
 
@@ -84,15 +69,7 @@ def read_store(
     With ``keep_from`` only folders that can hold official rows or rows of that
     month and later are read.
     """
-    run = latest_run(spark, path)
-    if run is None:
-        return spark.createDataFrame([], STORED)
-    layout = [T.StructField("is_official", T.BooleanType()), T.StructField("month", T.StringType())]
-    df = spark.read.schema(T.StructType(STORED.fields + layout)).parquet(f"{path}/run={run}")
-    if keep_from is not None:
-        month = F.date_format(day(keep_from), "yyyy-MM")
-        df = df.where(F.col("is_official") | F.col("month").isNull() | (F.col("month") >= month))
-    return df.drop(*_LAYOUT)
+    return read_folders(spark, path, unexpired(in_force(spark, path)[1], keep_from))
 
 
 def read_items_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
