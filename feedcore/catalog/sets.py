@@ -29,7 +29,9 @@ from feedcore.plans import merge
 from feedcore.rules import links_frame
 from feedcore.session import shared_folder
 from feedcore.sources import store
+from feedcore.sources.json_array import write_arrays
 
+ITEM_SHOWN = ["title", "source", "source_type", "category", "date"]
 _FIRST = f"""firsts AS (
   SELECT * FROM (
     SELECT *, {key_sql('title')} AS k FROM items WHERE {key_sql('title')} <> ''
@@ -290,6 +292,21 @@ def store_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(f"WITH {ITEMS} SELECT doc_id, pos, title, source, source_type, category, url, date FROM items")
+def json_array_read(spark: SparkSession, folder: str) -> DataFrame:
+    """All items as JSON arrays, one a partition, read back range by range."""
+    path = shared_folder(spark, "arrays")
+    # The link ends in the document and the line, so an item read back is known by it.
+    official = F.array(F.struct(F.lit("a \\\" } ], [ {").alias("label"), F.col("url")))
+    rows = items(spark, folder).withColumn("official", official)
+    write_arrays(rows.select(F.to_json(F.struct(*ITEM_SHOWN, "official", "url"))), path)
+    found, _ = store.read_items_json(spark, path, split=1 << 18)
+    place = F.split("url", "/")
+    return found.where("official[0].url = url").select(
+        F.element_at(place, -2).cast("long").alias("doc_id"), F.element_at(place, -1).cast("long").alias("pos"), *ITEM_SHOWN, "url"
+    )
+
+
 # Three runs: a document is in one of them by its number.
 _RUNS = {1: "2024-07-01", 2: "2024-10-01", 3: "2025-02-01"}
 

@@ -26,7 +26,15 @@ from feedcore.rules import RuleBook
 from feedcore.schema import STORED, conform, intake_order
 from feedcore.sources.readers import WIRED, Source
 from feedcore.sources import folders
-from feedcore.sources.store import laid_out, latest_run, read_store, snapshot_envelope, write_ranked
+from feedcore.sources.store import (
+    laid_out,
+    latest_run,
+    read_items_json,
+    read_store,
+    snapshot_envelope,
+    write_ranked,
+    write_store,
+)
 
 
 def revalidate(stored: DataFrame, rules: RuleBook) -> DataFrame:
@@ -167,13 +175,17 @@ def run_job(
     run: int,
     sources: Sequence[Source] = WIRED,
     ranked: str | None = None,
+    first_load: str | None = None,
 ) -> Published:
     """Ingest, re-check, merge and store one run; reports read what was written.
 
     The run's own items are written below the store first: payloads are parsed
     once, and a lost executor costs a re-read, not a re-parse.  Repeating a
-    finished run is harmless: its result is returned as it is.
+    finished run is harmless: its result is returned as it is.  A store without any run
+    begins with the JSON item list at ``first_load``, if there is one.
     """
+    if first_load and latest_run(spark, store) is None:
+        write_store(read_items_json(spark, first_load)[0], store, 0, rules)
     staged = f"{store}/_new/run={run}"
     if (latest_run(spark, store) or 0) < run:
         ingest(raw, rules, as_of, run, sources).write.mode("overwrite").parquet(staged)

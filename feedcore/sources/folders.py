@@ -78,13 +78,13 @@ def _written(spark: SparkSession, store: str, base: str, mark: str) -> list[Fold
 
 
 def in_force(spark: SparkSession, store: str) -> tuple[int, list[Folder]]:
-    """The newest finished run, 0 if there is none, and its folders."""
+    """The newest finished run, -1 if there is none, and its folders."""
     touched, whole = finished_runs(spark, f"{store}/_manifest")[:1], finished_runs(spark, store)[:1]
-    run = max([0, *touched, *whole])
-    if run and touched == [run]:
+    run = max([-1, *touched, *whole])
+    if touched and touched == [run]:
         rows = spark.read.schema(_MANIFEST).parquet(f"{store}/_manifest/run={run}").collect()
         return run, sorted((Folder(*row) for row in rows), key=lambda f: f.folder)
-    return run, _written(spark, store, f"run={run}", "") if run else []
+    return run, _written(spark, store, f"run={run}", "") if whole else []
 
 
 def read_folders(spark: SparkSession, store: str, folders: Iterable[Folder]) -> DataFrame:

@@ -19,6 +19,7 @@ from feedcore.functions.matching import is_official
 from feedcore.operators.rank import feed_order, rank_feed, top
 from feedcore.rules import RuleBook
 from feedcore.schema import INTAKE_COLUMNS, ITEM, ITEM_COLUMNS, STORED, conform
+from feedcore.sources.json_array import SPLIT, array_records
 from feedcore.sources.folders import LAYOUT, in_force, names_below, read_folders, unexpired
 
 
@@ -28,7 +29,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def latest_run(spark: SparkSession, path: str) -> int | None:
     """Number of the newest finished run in a store."""
-    return in_force(spark, path)[0] or None
+    run = in_force(spark, path)[0]
+    return None if run < 0 else run
 
 
 def write_store(
@@ -72,15 +74,24 @@ def read_store(
     return read_folders(spark, path, unexpired(in_force(spark, path)[1], keep_from))
 
 
-def read_items_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """An item list in a JSON array file, and the texts that could not be read.
+def read_items_json(spark: SparkSession, path: str, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
+    """An item list in JSON array files, and the files or records that could not be read.
 
-    Absent or unreadable files give no items.  Position in the file becomes the
-    intake order.
+    Large files are read range by range.  Absent or unreadable files give no items, nor
+    does a file with an unreadable record.  The place in the file becomes the intake order.
     """
+    unread = "text string"
     if not exists(spark, path):
-        return spark.createDataFrame([], STORED), spark.createDataFrame([], "text string")
-    return _items_of(spark.read.text(path, wholetext=True), F.col("value"), wrapped=False)
+        return spark.createDataFrame([], STORED), spark.createDataFrame([], unread)
+    texts, broken = array_records(spark, path, split)
+    parsed = texts.withColumn("i", F.from_json("text", ITEM, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    fits = F.expr("try_parse_json(text)").isNotNull() & F.col("i").isNotNull()
+    wrong = parsed.where(~fits)
+    rows = parsed.join(F.broadcast(wrong.select("file").distinct()), "file", "left_anti")
+    # Files follow one another by name, records by place.
+    rows = rows.select("i.*", F.col("file").alias("payload_id"), F.col("pos").alias("feed_pos"))
+    names = spark.createDataFrame([(b,) for b in broken], unread)
+    return conform(rows.withColumn("run_seq", F.lit(0).cast("long")), STORED), names.unionByName(wrong.select("text"))
 
 
 def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -91,20 +102,15 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     if not exists(spark, path):
         return spark.createDataFrame([], STORED), spark.createDataFrame([], "text string")
     bare = F.regexp_replace(F.col("value"), r"(?s)^[^{]*=\s*(?=\{)|;\s*\z", "")
-    return _items_of(spark.read.text(path, wholetext=True), bare, wrapped=True)
+    return _items_of(spark.read.text(path, wholetext=True), bare)
 
 
-def _items_of(texts: DataFrame, text, wrapped: bool) -> tuple[DataFrame, DataFrame]:
+def _items_of(texts: DataFrame, text) -> tuple[DataFrame, DataFrame]:
     items = T.ArrayType(ITEM)
-    if wrapped:
-        envelope = T.StructType([T.StructField("updated", T.StringType()), T.StructField("items", items)])
-        parsed = texts.select(text.alias("text"), F.from_json(text, envelope).alias("p")).select(
-            "text", F.col("p.updated").alias("updated"), F.col("p.items").alias("items")
-        )
-    else:
-        parsed = texts.select(
-            text.alias("text"), F.lit(None).cast("string").alias("updated"), F.from_json(text, items).alias("items")
-        )
+    envelope = T.StructType([T.StructField("updated", T.StringType()), T.StructField("items", items)])
+    parsed = texts.select(text.alias("text"), F.from_json(text, envelope).alias("p")).select(
+        "text", F.col("p.updated").alias("updated"), F.col("p.items").alias("items")
+    )
     rows = (
         parsed.where(F.col("items").isNotNull())
         .select(F.posexplode("items").alias("feed_pos", "i"))
