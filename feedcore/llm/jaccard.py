@@ -34,6 +34,7 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -308,29 +309,77 @@ def verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     return close.join(left.drop("nx"), "a").join(right.drop("ny"), "b").mapInArrow(run, "a binary, b binary")
 
 
-def joint_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets of one block with all of another."""
-    counts = np.zeros((len(left), len(right)), np.float32)
-    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)))
-    if not len(common):
-        return counts
-    spots = []
-    for block in (left, right):
-        flat = np.concatenate(block)
-        row = np.repeat(np.arange(len(block)), [len(x) for x in block])
-        at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
-        hit = common[at] == flat
-        order = np.argsort(at[hit], kind="stable")
-        spots.append((row[hit][order], at[hit][order]))
-    for start in range(0, len(common), 4096):
-        dense = []
-        for (row, at), block in zip(spots, (left, right)):
-            low, high = np.searchsorted(at, (start, start + 4096))
-            part = np.zeros((len(block), 4096), np.float32)
-            part[row[low:high], at[low:high] - start] = 1
-            dense.append(part)
-        counts += dense[0] @ dense[1].T
-    return counts
+class Cell:
+    """Sets compared within a task: by their rarest members, then exactly.
+
+    Two similar sets share one of the first ``n - least joint + 1`` members of either, in any order that
+    all sets keep; here the rarest of the cell come first, so few pairs are looked at.
+    """
+
+    def __init__(self, sets: list[np.ndarray], parts: np.ndarray, like: Likeness) -> None:
+        self.like, self.parts = like, parts.copy()
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        flat = np.concatenate(sets)
+        _, member, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        rarity = np.empty(len(counts), np.int64)
+        rarity[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+        self.flat, self.once = rarity[member], int((counts == 1).sum())
+        self.mark = np.zeros(len(counts), bool)
+
+    def postings(self) -> tuple[np.ndarray, np.ndarray]:
+        """``(member, set)`` of all prefixes, by member; members of one set only are left out."""
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        order = np.lexsort((self.flat, owner))
+        place = np.arange(len(owner)) - np.repeat(self.ends - self.sizes, self.sizes)
+        least = -(-self.like.num * self.sizes // self.like.den)
+        first = order[place < (self.sizes - least + 1)[owner]]
+        first = first[self.flat[first] >= self.once]
+        first = first[np.argsort(self.flat[first], kind="stable")]
+        return self.flat[first], owner[first]
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Similar pairs of different parts; the parts become one."""
+        order = np.argsort(left, kind="stable")
+        left, right = left[order], right[order]
+        starts = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1]))).tolist()
+        for i, j in zip(starts, [*starts[1:], len(left)]):
+            x, others = int(left[i]), right[i:j]
+            others = others[self.parts[others] != self.parts[x]]
+            if not len(others):
+                continue
+            own = self.flat[self.ends[x] - self.sizes[x] : self.ends[x]]
+            self.mark[own] = True
+            sizes = self.sizes[others]
+            firsts = np.cumsum(sizes) - sizes
+            at = np.repeat(self.ends[others] - sizes - firsts, sizes) + np.arange(int(sizes.sum()))
+            joint = np.add.reduceat(self.mark[self.flat[at]].astype(np.int64), firsts)
+            self.mark[own] = False
+            good = self.like.den * joint >= self.like.num * (sizes + len(own) - joint)
+            for y in others[good].tolist():
+                if self.parts[x] != self.parts[y]:
+                    yield x, y
+                    self.parts[self.parts == self.parts[y]] = self.parts[x]
+
+    def links(self, held: int = 1 << 20) -> Iterator[tuple[int, int]]:
+        """Pairs that join all parts that similarity joins; pairs are held ``held`` at a time."""
+        member, owner = self.postings()
+        at = np.arange(len(member))
+        step, waiting, n = 0, [], 0
+        while len(at):
+            step += 1
+            at = at[at + step < len(member)]
+            at = at[member[at] == member[at + step]]
+            x, y = owner[at], owner[at + step]
+            small, large = np.minimum(self.sizes[x], self.sizes[y]), np.maximum(self.sizes[x], self.sizes[y])
+            apart = (self.parts[x] != self.parts[y]) & (self.like.den * small >= self.like.num * large)
+            waiting.append(np.unique(np.minimum(x, y)[apart] * len(self.sizes) + np.maximum(x, y)[apart]))
+            n += len(waiting[-1])
+            if n > held or not len(at):
+                pairs = np.unique(np.concatenate(waiting))
+                if len(pairs):
+                    yield from self.joined(*np.divmod(pairs, len(self.sizes)))
+                waiting, n = [], 0
 
 
 def contracted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -341,48 +390,33 @@ def contracted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links_between(sets: DataFrame, near: DataFrame, roots: DataFrame, like: Likeness, block: int = 1024) -> DataFrame:
+def links_between(sets: DataFrame, near: DataFrame, roots: DataFrame, like: Likeness, block: int = 8192) -> DataFrame:
     """Links ``(a, b)`` between components, exactly: what one leader each could not tell.
 
     A family is what hangs together by shared keys: components and the ``near`` pairs
     of them.  Families are compared in full, block by block: a set goes to as
-    many tasks as its family has blocks.  Only links that join components come out,
-    fewer than there are components in the two blocks.
+    many tasks as its family has blocks.  Inside a task sets meet by their rarest members.  Only
+    links that join components come out, fewer than there are components in the two blocks.
     """
     family = stage(components(near, "families").select(F.col("node").alias("own"), F.col("root").alias("family")), "families")
-    known = sets.join(roots.withColumnRenamed("root", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
-    known = known.join(family, "own")
+    # Places are found from names alone; members move twice, to their places and to their tasks.
+    known = sets.select("node").join(roots.withColumnRenamed("root", "own"), "node", "left")
+    known = known.withColumn("own", F.coalesce("own", "node")).join(family, "own")
     open_ = known.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = known.join(open_, "family").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = stage(known.join(open_, "family"), "placed")
+    dealt = sets.select("node", "members").join(placed, "node")
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "own", "members")
+    dealt = dealt.select("family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "own", "members")
 
     def compare(table: pa.Table) -> pa.Table:
         own = table.column("own").to_pylist()
-        sets_ = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
-        mine = np.array(table.column("mine").to_pylist())
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        parent = {o: o for o in own}
-        number = {o: n for n, o in enumerate(parent)}
-        part = np.array([number[o] for o in own])
-
-        def top(x):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
+        number = {o: n for n, o in enumerate(dict.fromkeys(own))}
         found = []
-        if len(left) and len(right) and len(parent) > 1:
-            joint = joint_counts([sets_[k] for k in left], [sets_[k] for k in right])
-            sizes = np.array([len(x) for x in sets_])
-            total = sizes[left][:, None] + sizes[right][None, :] - joint
-            apart = part[left][:, None] != part[right][None, :]
-            for x, y in zip(*np.nonzero(apart & (like.den * joint >= like.num * total))):
-                a, b = top(own[left[x]]), top(own[right[y]])
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    found.append((a, b))
+        if len(number) > 1:
+            sets_ = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
+            cell = Cell(sets_, np.array([number[o] for o in own]), like)
+            found = [(own[x], own[y]) for x, y in cell.links()]
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
     return dealt.groupBy("family", "i", "j").applyInArrow(compare, "a binary, b binary")

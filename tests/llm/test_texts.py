@@ -186,6 +186,28 @@ def test_distinct_documents_tell_rows_of_one_id_apart(spark):
     assert sorted(r.doc_id for r in rows_) == [1, 2, 3, 4] and [r.text for r in rows_ if r.doc_id == 2] == [b]
 
 
+def test_cells_join_all_that_is_similar():
+    rng = np.random.default_rng(6)
+    for turn in range(12):
+        like, sets = jaccard.Likeness(3, 4, 5), []
+        for base in [rng.integers(0, 4000, int(n)) for n in rng.integers(1, 80, 25)]:
+            for _ in range(int(rng.integers(1, 9))):
+                own = base.copy()
+                own[rng.random(len(own)) < 0.12] = rng.integers(0, 30)
+                sets.append(np.unique(own).astype(np.uint64))
+        parts = np.arange(len(sets)) if turn % 2 else rng.integers(0, len(sets), len(sets))
+        want = parts.copy()
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if want[i] != want[j] and like.similar(len(np.intersect1d(a, sets[j])), len(a), len(sets[j])):
+                    want[want == want[i]] = want[j]
+        got = parts.copy()
+        for i, j in jaccard.Cell(sets, parts, like).links(held=1 + turn * 50):
+            assert like.similar(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))
+            got[got == got[i]] = got[j]
+        assert (got[:, None] == got[None, :]).tolist() == (want[:, None] == want[None, :]).tolist()
+
+
 def test_postings_travel_whole():
     rnd = np.random.default_rng(4)
     for bits, n in ((4, 50), (7, 70_000)):
