@@ -29,7 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from feedcore.llm.common import by_bytes
+
 UNKNOWN = "und"
+BATCH_BYTES = 4 << 20
 BUCKETS = 1 << 16
 CHAIN = 64
 #: Letters of a word at most: scripts without spaces write sentences as one run.
@@ -84,7 +87,7 @@ def forward_backward(emit: np.ndarray, sizes: np.ndarray, move: np.ndarray, star
 class Model:
     """Labels, feature weights, transitions; predicts texts."""
 
-    limit = 700_000
+    limit = 500_000
 
     def __init__(self, labels: list[str], weights: np.ndarray, move: np.ndarray, start: np.ndarray, usual: np.ndarray) -> None:
         self.labels, self.weights, self.move, self.start, self.usual = labels, weights, move, start, usual
@@ -112,8 +115,8 @@ class Model:
         if not hasattr(self, "rows") or len(self.rows) > self.limit:
             self.rows, self.table, self.used = {}, np.zeros((1 << 16, len(self.labels) + 1), np.float32), 0
         new = [w for w in words if w not in self.rows]
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
             while self.used + len(part) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             own = slice(self.used, self.used + len(part))
@@ -278,7 +281,7 @@ def predict(docs: DataFrame, model: Model, key: list[str]) -> DataFrame:
     key = [k for k in key if k not in ("lang_pred", "score", "familiar")]
 
     def run(rows):
-        for batch in rows:
+        for batch in by_bytes(rows, "_text", BATCH_BYTES):
             texts = [t or "" for t in batch.column("_text").to_pylist()]
             names, scores, known = [], [], []
             for share in model.shares(texts) if model.labels else [None] * len(texts):
