@@ -322,18 +322,22 @@ class Cell:
         self.ends = np.cumsum(self.sizes)
         flat = np.concatenate(sets)
         _, member, counts = np.unique(flat, return_inverse=True, return_counts=True)
-        rarity = np.empty(len(counts), np.int64)
-        rarity[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+        del flat
+        rarity = np.empty(len(counts), np.int32)
+        rarity[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
         self.flat, self.once = rarity[member], int((counts == 1).sum())
         self.mark = np.zeros(len(counts), bool)
 
     def postings(self) -> tuple[np.ndarray, np.ndarray]:
         """``(member, set)`` of all prefixes, by member; members of one set only are left out."""
-        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         order = np.lexsort((self.flat, owner))
-        place = np.arange(len(owner)) - np.repeat(self.ends - self.sizes, self.sizes)
+        # Sets stay one behind the other; only the members of each are in order.
         least = -(-self.like.num * self.sizes // self.like.den)
-        first = order[place < (self.sizes - least + 1)[owner]]
+        prefix = self.sizes - least + 1
+        starts = np.repeat(self.ends - self.sizes, prefix) + np.arange(int(prefix.sum())) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+        first = order[starts]
+        del order
         first = first[self.flat[first] >= self.once]
         first = first[np.argsort(self.flat[first], kind="stable")]
         return self.flat[first], owner[first]
@@ -361,9 +365,10 @@ class Cell:
                     yield x, y
                     self.parts[self.parts == self.parts[y]] = self.parts[x]
 
-    def links(self, held: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    def links(self, held: int = 1 << 19) -> Iterator[tuple[int, int]]:
         """Pairs that join all parts that similarity joins; pairs are held ``held`` at a time."""
         member, owner = self.postings()
+        owner = owner.astype(np.int64)
         at = np.arange(len(member))
         step, waiting, n = 0, [], 0
         while len(at):
@@ -390,7 +395,7 @@ def contracted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links_between(sets: DataFrame, near: DataFrame, roots: DataFrame, like: Likeness, block: int = 8192) -> DataFrame:
+def links_between(sets: DataFrame, near: DataFrame, roots: DataFrame, like: Likeness, block: int = 4096) -> DataFrame:
     """Links ``(a, b)`` between components, exactly: what one leader each could not tell.
 
     A family is what hangs together by shared keys: components and the ``near`` pairs
