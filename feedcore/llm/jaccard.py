@@ -39,6 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -316,16 +317,16 @@ class Cell:
     all sets keep; here the rarest of the cell come first, so few pairs are looked at.
     """
 
-    def __init__(self, sets: list[np.ndarray], parts: np.ndarray, like: Likeness) -> None:
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, parts: np.ndarray, like: Likeness) -> None:
+        """``flat`` holds the members of all sets one behind the other."""
         self.like, self.parts = like, parts.copy()
-        self.sizes = np.array([len(x) for x in sets], np.int64)
-        self.ends = np.cumsum(self.sizes)
-        flat = np.concatenate(sets)
-        _, member, counts = np.unique(flat, return_inverse=True, return_counts=True)
-        del flat
+        self.sizes, self.ends = sizes, np.cumsum(sizes)
+        values, counts = np.unique(flat, return_counts=True)
         rarity = np.empty(len(counts), np.int32)
         rarity[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
-        self.flat, self.once = rarity[member], int((counts == 1).sum())
+        self.flat, self.once = np.empty(len(flat), np.int32), int((counts == 1).sum())
+        for at in range(0, len(flat), 1 << 18):
+            self.flat[at : at + (1 << 18)] = rarity[np.searchsorted(values, flat[at : at + (1 << 18)])]
         self.mark = np.zeros(len(counts), bool)
 
     def postings(self) -> tuple[np.ndarray, np.ndarray]:
@@ -395,7 +396,7 @@ def contracted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links_between(sets: DataFrame, near: DataFrame, roots: DataFrame, like: Likeness, block: int = 4096) -> DataFrame:
+def links_between(sets: DataFrame, near: DataFrame, roots: DataFrame, like: Likeness, block: int = 3072) -> DataFrame:
     """Links ``(a, b)`` between components, exactly: what one leader each could not tell.
 
     A family is what hangs together by shared keys: components and the ``near`` pairs
@@ -419,8 +420,10 @@ def links_between(sets: DataFrame, near: DataFrame, roots: DataFrame, like: Like
         number = {o: n for n, o in enumerate(dict.fromkeys(own))}
         found = []
         if len(number) > 1:
-            sets_ = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
-            cell = Cell(sets_, np.array([number[o] for o in own]), like)
+            members = table.column("members").combine_chunks()
+            sizes = pc.binary_length(members).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+            flat = np.frombuffer(b"".join(x.as_buffer() for x in members), np.uint64)
+            cell = Cell(flat, sizes, np.array([number[o] for o in own]), like)
             found = [(own[x], own[y]) for x, y in cell.links()]
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 

@@ -202,7 +202,7 @@ def test_cells_join_all_that_is_similar():
                 if want[i] != want[j] and like.similar(len(np.intersect1d(a, sets[j])), len(a), len(sets[j])):
                     want[want == want[i]] = want[j]
         got = parts.copy()
-        for i, j in jaccard.Cell(sets, parts, like).links(held=1 + turn * 50):
+        for i, j in jaccard.Cell(np.concatenate(sets), np.array([len(x) for x in sets]), parts, like).links(held=1 + turn * 50):
             assert like.similar(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))
             got[got == got[i]] = got[j]
         assert (got[:, None] == got[None, :]).tolist() == (want[:, None] == want[None, :]).tolist()
