@@ -329,7 +329,7 @@ SHIPPED = RuleBook(
     anchor_cap=20,
 )
 
-#: The older behaviour: one tax link, caps of 8 and 6 (see ``ingest(match=...)``).
+#: The older behaviour: one tax link, caps of 8 and 6 (with ``SEARCH_POLICY_V1`` and ``PORTAL_POLICY_V1`` of the readers).
 SHIPPED_V1 = SHIPPED.replace(
     official_links={
         **SHIPPED.official_links,
