@@ -13,23 +13,27 @@ probability is its part of the token's occurrences, so every word has its own.
 seen twice or more go to the tasks (12 bytes a word and 2 for its token); any other
 word counts as seen once.
 
-The network starts from the same weights everywhere; each task trains on all of its
-documents (or one in ``train_every``, by hash of the text), and the weights are averaged
-by tokens seen, round by round.
+The network starts as the word counts alone.  Texts, in pieces of ``PIECE`` tokens, are
+dealt by hash of id and text to shards of about ``shard`` tokens; each shard trains a copy
+of the network on its pieces in order of their keys, and the weights are averaged by tokens
+seen, round by round.  Sums are kept in whole numbers, so neither the network nor a score
+depends on how rows lie in partitions.  All documents are learned from (or one in
+``train_every``, by hash of the text).
 
 Nulls: a null text counts as empty: no tokens, score 0, null mean.  Repeated rows are
-rows of their own.  An empty table gives no rows.
+counted and scored as rows of their own; a row that repeats id and text is learned from
+once.  Long texts are read whole.  Only ``doc_id`` and ``text`` are read, so other columns
+cannot clash.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedcore.llm.common import as_bytes, by_bytes, stage, word_hashes
+from feedcore.llm.common import as_bytes, by_bytes, stage, text_key, word_hashes
 
 FREQUENT = 768
 VOCABULARY = 1024
@@ -40,6 +44,12 @@ BATCH_BYTES = 4 << 20
 HELD_WORDS = 1 << 20
 ONCE = 256
 ROWS = 256
+PIECE = 1 << 16
+SHARD = 1 << 20
+#: Weights are added up as whole multiples of this.
+GRAIN = 2.0**-20
+#: A round's sums are merged in so many groups.
+SLICES = 32
 
 
 class Vocabulary:
@@ -63,6 +73,7 @@ class Vocabulary:
         spread = (np.arange(VOCABULARY) % CLASS) * (VOCABULARY // CLASS) + np.arange(VOCABULARY) // CLASS
         weights = np.bincount(token, counts, VOCABULARY)
         np.add.at(weights, seldom, once)
+        self.total = int(counts.sum() + once.sum())
         self.weights = np.empty(VOCABULARY, np.float32)
         self.weights[spread] = np.log(np.maximum(weights, 1))
         self.tokens, self.seldom = spread[token].astype(np.int16), spread[seldom]
@@ -141,11 +152,34 @@ class Network:
     def __init__(self, parts: list[np.ndarray] | None = None) -> None:
         if parts is None:
             rng = np.random.default_rng(5)
-            members = VOCABULARY // CLASS
-            shapes = ((2 * REACH, VOCABULARY + 1, WIDTH), (WIDTH + 1, CLASS), (CLASS, WIDTH + 1, members))
-            parts = [(rng.standard_normal(s) * 0.1).astype(np.float32) for s in shapes]
+            parts = [(rng.standard_normal(s) * 0.1).astype(np.float32) for s in self.shapes()]
             parts[1][-1] = parts[2][:, -1] = 0
         self.inside, self.upper, self.lower = parts
+        self.squares = [np.full(p.shape, 1e-8, np.float32) for p in parts]
+
+    @staticmethod
+    def shapes() -> tuple[tuple[int, ...], ...]:
+        return (2 * REACH, VOCABULARY + 1, WIDTH), (WIDTH + 1, CLASS), (CLASS, WIDTH + 1, VOCABULARY // CLASS)
+
+    @classmethod
+    def of_counts(cls, known: Vocabulary) -> Network:
+        """A network that gives every token its part of the counts, whatever lies around."""
+        own = cls()
+        weights = known.weights.reshape(CLASS, -1)
+        own.upper[:] = own.lower[:] = 0
+        own.lower[:, -1] = weights
+        own.upper[-1] = np.log(np.exp(weights.astype(np.float64)).sum(1))
+        own.upper[-1] -= own.upper[-1].max()
+        return own
+
+    @classmethod
+    def of_line(cls, line: np.ndarray) -> Network:
+        """From all weights, one behind the other."""
+        sizes = np.cumsum([int(np.prod(s)) for s in cls.shapes()])[:-1]
+        return cls([p.reshape(s).copy() for p, s in zip(np.split(line, sizes), cls.shapes())])
+
+    def line(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.parts()])
 
     def parts(self) -> list[np.ndarray]:
         return [self.inside, self.upper, self.lower]
@@ -185,7 +219,7 @@ class Network:
         return out
 
     def learn(self, around: np.ndarray, token: np.ndarray, rate: float) -> None:
-        """One step down the gradient of the mean log loss."""
+        """One step down the gradient of the log loss, each weight by its own past slopes."""
         n = len(token)
         order = np.argsort(token, kind="stable")
         around, token = around[:, order], token[order]
@@ -196,75 +230,133 @@ class Network:
         back = product(miss, self.upper.T)
         upper = sum(hidden[at : at + ROWS].T @ miss[at : at + ROWS] for at in range(0, n, ROWS))
         ends = np.searchsorted(group, np.arange(CLASS + 1)).tolist()
+        filled = [(c, i, j) for c, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
         off = np.empty((n, VOCABULARY // CLASS), np.float32)
-        for lower, a, b in zip(self.lower, ends, ends[1:]):
-            if a < b:
-                product(hidden[a:b], lower, off[a:b])
+        for c, i, j in filled:
+            product(hidden[i:j], self.lower[c], off[i:j])
         off = self.softmax(off)
         off[np.arange(n), member] -= 1
-        below = np.empty_like(hidden)
-        for lower, a, b in zip(self.lower, ends, ends[1:]):
-            if a < b:
-                product(off[a:b], lower.T, below[a:b])
-        back += below
-        off *= np.float32(rate / n)
-        for lower, a, b in zip(self.lower, ends, ends[1:]):
-            if a < b:
-                lower -= hidden[a:b].T @ off[a:b]
-        self.upper -= rate / n * upper
-        slope = (rate / n * back[:, :WIDTH] * (1 - hidden[:, :WIDTH] ** 2)).astype(np.float32).ravel()
-        for inside, tokens in zip(self.inside, around):
-            # Single numbers are subtracted much faster than rows.
-            np.subtract.at(inside.reshape(-1), (tokens[:, None] * WIDTH + np.arange(WIDTH)).ravel(), slope)
-
-
-def windows(texts: list[bytes], known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens around, tokens, logs of the words' parts of them, and the number of tokens of each text."""
+        lower, below = np.zeros_like(self.lower), np.empty_like(hidden)
+        for c, i, j in filled:
+            product(off[i:j], self.lower[c].T, below[i:j])
+            np.matmul(hidden[i:j].T, off[i:j], out=lower[c])
+        slope = (back + below)[:, :WIDTH] * (1 - hidden[:, :WIDTH] ** 2)
+        for weights, squares, down in zip((self.upper, self.lower), self.squares[1:], (upper, lower)):
+            squares += down * down
+            weights -= rate * down / np.sqrt(squares)
+        for inside, squares, tokens in zip(self.inside, self.squares[0], around):
+            order = np.argsort(tokens, kind="stable")
+            own = tokens[order]
+            starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            down, own = np.add.reduceat(slope[order], starts), own[starts]
+            past = squares[own] + down * down
+            squares[own] = past
+            inside[own] -= rate * down / np.sqrt(past)
+
+
+def lined(texts: list[bytes], known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all texts in a line, their places there, logs of the words' parts of them, and texts' sizes."""
     words, sizes = word_hashes(texts, lower=True)
     tokens, parts = known.look(words)
     # Texts are set apart by places beyond the vocabulary.
     at = np.arange(len(tokens)) + REACH * (np.repeat(np.arange(len(texts)), sizes) + 1)
     line = np.full(len(tokens) + REACH * (len(texts) + 1), VOCABULARY, np.int64)
     line[at] = tokens
-    places = [d for d in range(-REACH, REACH + 1) if d]
-    return np.stack([line[at + d] for d in places]), tokens, parts, sizes
+    return line, at, parts, sizes
 
 
-def train(docs: DataFrame, known: Vocabulary, rounds: int = 2, train_every: int = 1, rate: float = 16.0, step: int = 512) -> Network:
-    """Average of networks trained apart; what is gathered grows with the number of tasks."""
+def neighbours(line: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.stack([line[at + d] for d in range(-REACH, REACH + 1) if d])
+
+
+def windows(texts: list[bytes], known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens around, tokens, logs of the words' parts of them, and the number of tokens of each text."""
+    line, at, parts, sizes = lined(texts, known)
+    return neighbours(line, at), line[at], parts, sizes
+
+
+def shards(docs: DataFrame, known: Vocabulary, shard: int = SHARD) -> DataFrame:
+    """Staged ``(shard, lines, sizes)``: pieces of texts, each with ``REACH`` places more on either side."""
+    count = max(1, -(-known.total // shard))
+    given = docs.sparkSession.sparkContext.broadcast(known.parts())
+    names = ["doc_id", "key", "piece", "line"]
+
+    def cut(rows):
+        tokens, met = Vocabulary.of(given.value), set()
+        for batch in by_bytes(rows, "text", BATCH_BYTES):
+            line, _, _, sizes = lined(as_bytes(batch, "text"), tokens)
+            line = line.astype(np.int16)
+            ends = np.cumsum(sizes + REACH)
+            out = {n: [] for n in names}
+            for doc, key, size, end in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), sizes.tolist(), ends.tolist()):
+                # Rows that repeat are told apart from others here as far as they lie together, and for good in their shard.
+                if not size or (doc, key) in met:
+                    continue
+                if len(met) == HELD_WORDS:
+                    met.clear()
+                met.add((doc, key))
+                for piece, start in enumerate(range(end - size, end, PIECE)):
+                    stop = min(start + PIECE, end)
+                    for n, v in zip(names, (doc, key, piece, line[start - REACH : stop + REACH].tobytes())):
+                        out[n].append(v)
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
+            yield pa.record_batch([pa.array(out[n], k) for n, k in zip(names, kinds)], names)
+
+    def gather(table: pa.Table) -> pa.Table:
+        rows = zip(*(table.column(n).to_pylist() for n in names))
+        distinct = {(doc is None, doc or 0, key, piece): line for doc, key, piece, line in rows}
+        lines = [distinct[name] for name in sorted(distinct)]
+        sizes = np.array([len(x) // 2 for x in lines], np.int64)
+        return pa.table({"shard": table.column("shard")[:1].cast(pa.int64()), "lines": pa.array([b"".join(lines)], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary())})
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key("text").alias("key"))
+    pieces = keyed.mapInArrow(cut, "doc_id long, key binary, piece long, line binary")
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "key", "piece"), F.lit(count)))
+    # As many files as shards, so that a round has work for all cores.
+    dealt = dealt.repartition(min(count, 4096), "shard")
+    return stage(dealt.groupBy("shard").applyInArrow(gather, "shard long, lines binary, sizes binary"), "shards")
+
+
+def train(docs: DataFrame, known: Vocabulary, rounds: int = 2, train_every: int = 1, rate: float = 0.1, step: int = 2048, shard: int = SHARD) -> Network:
+    """Average of networks trained shard by shard."""
     spark = docs.sparkSession
-    network = Network()
-    mine = docs.select("text")
+    network = Network.of_counts(known)
+    mine = docs.select("doc_id", "text")
     if train_every > 1:
         mine = mine.where(F.pmod(F.xxhash64("text"), F.lit(train_every)) == 0)
-    form = "part int, weights binary, seen long"
+    dealt = shards(mine, known, shard)
+    form = "slice int, weights binary, seen long"
+
+    def told(sums: np.ndarray, seen: int, slices=range(SLICES)) -> dict[str, pa.Array]:
+        return {"slice": pa.array(slices, pa.int32()), "weights": pa.array([x.tobytes() for x in sums], pa.binary()), "seen": pa.array([seen] * len(slices), pa.int64())}
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("weights").to_pylist())
+        return pa.table(told([total], sum(table.column("seen").to_pylist()), table.column("slice")[:1].to_pylist()))
+
     for turn in range(rounds):
-        given = spark.sparkContext.broadcast((network.parts(), known.parts()))
+        given = spark.sparkContext.broadcast(network.line())
 
         def run(rows, given=given, turn=turn):
-            parts, tokens = given.value[0], Vocabulary.of(given.value[1])
-            own, seen = Network([p.copy() for p in parts]), 0
-            for batch in by_bytes(rows, "text", BATCH_BYTES):
-                around, token, _, _ = windows(as_bytes(batch, "text"), tokens)
-                shuffled = np.random.default_rng(turn).permutation(len(token))
-                for at in range(0, len(token), step):
-                    pick = shuffled[at : at + step]
-                    own.learn(around[:, pick], token[pick], rate)
-                seen += len(token)
+            sums, seen = 0, 0
+            for batch in rows:
+                for name, lines, sizes in zip(*(batch.column(c).to_pylist() for c in ("shard", "lines", "sizes"))):
+                    line, sizes = np.frombuffer(lines, np.int16).astype(np.int32), np.frombuffer(sizes, np.int64)
+                    inner = np.ones(len(line), bool)
+                    for d in range(REACH):
+                        inner[np.cumsum(sizes) - 1 - d] = inner[np.cumsum(sizes) - sizes + d] = False
+                    at = np.random.default_rng([turn, name]).permutation(np.flatnonzero(inner))
+                    own = Network.of_line(given.value)
+                    for i in range(0, len(at), step):
+                        own.learn(neighbours(line, at[i : i + step]), line[at[i : i + step]], rate)
+                    sums, seen = sums + np.rint(own.line() / GRAIN).astype(np.int64) * len(at), seen + len(at)
             if seen:
-                weights = [(p * np.float32(seen)).tobytes() for p in own.parts()]
-                yield pa.record_batch([pa.array(range(3), pa.int32()), pa.array(weights, pa.binary()), pa.array([seen] * 3, pa.int64())], ["part", "weights", "seen"])
-
-        def add(table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table.column("weights").to_pylist())
-            seen = sum(table.column("seen").to_pylist())
-            mean = (total / seen).astype(np.float32)
-            return pa.table({"part": table.column("part")[:1], "weights": pa.array([mean.tobytes()], pa.binary()), "seen": pa.array([seen], pa.int64())})
-
-        rows = mine.mapInArrow(run, form).groupBy("part").applyInArrow(add, form).collect()
-        shapes = [p.shape for p in network.parts()]
-        for row in rows:
-            network.parts()[row.part][...] = np.frombuffer(row.weights, np.float32).reshape(shapes[row.part])
+                yield pa.record_batch(told(np.array_split(sums, SLICES), seen))
+
+        rows = dealt.mapInArrow(run, form).groupBy("slice").applyInArrow(add, form).collect()
+        if rows:
+            means = [np.frombuffer(r.weights, np.int64) * (GRAIN / r.seen) for r in sorted(rows, key=lambda r: r["slice"])]
+            network = Network.of_line(np.concatenate(means).astype(np.float32))
     return network
 
 

@@ -383,3 +383,41 @@ def test_tree_locates_an_edit(spark):
     assert found == [(0, 0), (1, 1), (2, 20)]
     near = fingerprint.likeness(*(fingerprint.fingerprint("\n".join(x)) for x in (lines, changed)))
     assert 0.8 < near < 1
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    repeated = table.where("doc_id = 3")
+    long = spark.createDataFrame([(-1, prose(4, 70_000)), (None, prose(5, 40))], "doc_id long, text string")
+    table = table.select("doc_id", "text").unionByName(repeated.select("doc_id", "text")).unionByName(long)
+    found = []
+    for n in (1, 4, 64):
+        own = table.repartition(n)
+        known = pseudo.vocabulary(own)
+        told = pseudo.score(own, known, pseudo.train(own, known, rounds=1, shard=1 << 16)).collect()
+        found.append(sorted((str(r.doc_id), r.n_tokens, r.pseudo_log_likelihood) for r in told))
+    for other in found[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in found[0]]
+        assert np.allclose([x[2] for x in other], [x[2] for x in found[0]], rtol=1e-6)
+
+
+def test_score_is_the_plain_sum(spark):
+    texts = [(i, prose(i, 20 + i)) for i in range(6)]
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    known = pseudo.vocabulary(table)
+    network = pseudo.train(table, known, rounds=1)
+    told = {r.doc_id: r.pseudo_log_likelihood for r in pseudo.score(table, known, network).collect()}
+    for i, text in texts:
+        hashes = [word_hashes([w.encode()], lower=True)[0] for w in text.split()]
+        tokens = [int(known.look(h)[0][0]) for h in hashes]
+        padded = [pseudo.VOCABULARY] * pseudo.REACH + tokens + [pseudo.VOCABULARY] * pseudo.REACH
+        total = 0.0
+        for at, (token, h) in enumerate(zip(tokens, hashes)):
+            places = [padded[at + pseudo.REACH + d] for d in range(-pseudo.REACH, pseudo.REACH + 1) if d]
+            hidden = np.tanh(sum(network.inside[p][t].astype(float) for p, t in enumerate(places)))
+            hidden = np.append(hidden, 1.0)
+            c, m = divmod(token, pseudo.VOCABULARY // pseudo.CLASS)
+            for scores, own in ((hidden @ network.upper, c), (hidden @ network.lower[c], m)):
+                total += scores[own] - np.log(np.exp(scores).sum())
+            total += float(known.look(h)[1][0])
+        assert told[i] == pytest.approx(total, rel=1e-4)
