@@ -396,24 +396,46 @@ def contracted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links_between(sets: DataFrame, near: DataFrame, roots: DataFrame, like: Likeness, block: int = 3072) -> DataFrame:
+def cells(known: DataFrame, bands: np.ndarray, block: int) -> DataFrame:
+    """``(node, own, family, i, j)``: the cells, pairs of blocks, that each set of ``known(node, own, family, size)`` goes to.
+
+    Similar sets lie in one band of sizes or in two neighbouring ones.  A band of a family is cut into blocks of
+    about ``block`` members; a block meets those of its own band and of the two beside it.  A family
+    that fits one block is one cell.
+    """
+    tops = F.array(*(F.lit(int(t)) for t in bands))
+    known = known.withColumn("band", F.size(F.filter(tops, lambda t: t < F.col("size"))))
+    members = known.groupBy("family", "band").agg(F.sum("size").alias("members"))
+    whole = members.groupBy("family").agg(F.sum("members").alias("whole"))
+    level = F.when(F.col("whole") <= block, 0).otherwise(F.col("band"))
+    levels = members.join(whole, "family").withColumn("level", level)
+    sizes = levels.groupBy("family", "level").agg(F.ceil(F.sum("members") / block).cast("int").alias("blocks"))
+    beside = sizes.select("family", F.explode(F.array(*(F.col("level") + d for d in (-1, 0, 1)))).alias("level"), F.col("level").alias("other"), F.col("blocks").alias("others"))
+    # A block that meets others is compared with itself there.
+    around = beside.groupBy("family", "level").agg(F.collect_list(F.struct("other", "others")).alias("beside"), F.sum("others").alias("around"))
+    levels = levels.select("family", "band", "level").join(sizes, ["family", "level"]).join(around, ["family", "level"])
+    dealt = known.join(levels, ["family", "band"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.select("*", F.inline("beside"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("next"))
+    name = [F.shiftleft(F.col(of).cast("long"), 32) + F.col(n) for of, n in (("level", "mine"), ("other", "next"))]
+    dealt = dealt.where((name[0] != name[1]) | (F.col("around") == 1))
+    return dealt.select("node", "own", "family", F.least(*name).alias("i"), F.greatest(*name).alias("j"))
+
+
+def links_between(sets: DataFrame, near: DataFrame, roots: DataFrame, like: Likeness, block: int = 3 << 19) -> DataFrame:
     """Links ``(a, b)`` between components, exactly: what one leader each could not tell.
 
     A family is what hangs together by shared keys: components and the ``near`` pairs
-    of them.  Families are compared in full, block by block: a set goes to as
-    many tasks as its family has blocks.  Inside a task sets meet by their rarest members.  Only
+    of them.  Families are compared in full, block by block: a set goes to as many tasks as there are
+    blocks of sets of like size in its family.  Inside a task sets meet by their rarest members.  Only
     links that join components come out, fewer than there are components in the two blocks.
     """
     family = stage(components(near, "families").select(F.col("node").alias("own"), F.col("root").alias("family")), "families")
-    # Places are found from names alone; members move twice, to their places and to their tasks.
-    known = sets.select("node").join(roots.withColumnRenamed("root", "own"), "node", "left")
+    # Places are found from names and sizes alone; members move twice, to their places and to their tasks.
+    known = sets.select("node", "size").join(roots.withColumnRenamed("root", "own"), "node", "left")
     known = known.withColumn("own", F.coalesce("own", "node")).join(family, "own")
-    open_ = known.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = stage(known.join(open_, "family"), "placed")
+    placed = stage(cells(known, like.bands(sets.agg(F.max("size")).first()[0] or 0), block), "placed")
     dealt = sets.select("node", "members").join(placed, "node")
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "own", "members")
 
     def compare(table: pa.Table) -> pa.Table:
         own = table.column("own").to_pylist()

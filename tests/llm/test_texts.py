@@ -421,3 +421,33 @@ def test_score_is_the_plain_sum(spark):
                 total += scores[own] - np.log(np.exp(scores).sum())
             total += float(known.look(h)[1][0])
         assert told[i] == pytest.approx(total, rel=1e-4)
+
+
+def test_families_of_many_blocks_lose_no_link(spark):
+    rng = np.random.default_rng(8)
+    sets = []
+    for size in (1, 2, 3, 5, 8, 13, 21, 34, 55, 60, 69, 86, 100):
+        own = rng.integers(0, 1 << 60, size).astype(np.uint64)
+        for _ in range(12):
+            fresh = rng.integers(0, 1 << 60, size).astype(np.uint64)
+            sets.append(np.unique(np.where(rng.random(size) < rng.choice([0, 0.05, 0.12, 0.4]), fresh, own)))
+            sets.append(np.unique(np.concatenate((own, fresh[: max(1, size // 6)]))))
+    like = jaccard.Likeness()
+    sets = list({x.tobytes(): x for x in sets}.values())
+    names = [jaccard.node_of(x) for x in sets]
+    table = spark.createDataFrame([(bytearray(n), len(x), bytearray(x.tobytes())) for n, x in zip(names, sets)], "node binary, size long, members binary")
+    near = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in zip(names, names[1:])], "a binary, b binary")
+    roots = spark.createDataFrame([], "node binary, root binary")
+    want = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if want[i] != want[j] and like.similar(len(np.intersect1d(x, y)), len(x), len(y)):
+                want = [want[j] if w == want[i] else w for w in want]
+    for block in (40, 400, 1 << 20):
+        got = list(range(len(sets)))
+        place = {n: i for i, n in enumerate(names)}
+        for r in jaccard.links_between(table, near, roots, like, block).collect():
+            i, j = place[bytes(r.a)], place[bytes(r.b)]
+            assert like.similar(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))
+            got = [got[j] if g == got[i] else g for g in got]
+        assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
