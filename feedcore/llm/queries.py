@@ -52,7 +52,7 @@ def held_out():
 
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
-    model = language.train(language.sample(docs, ~held_out() & F.col("doc_id").isNotNull()))
+    model, _ = language.learn(docs, ~held_out() & F.col("doc_id").isNotNull())
     told = language.predict(docs, model, ["doc_id"])
     return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 

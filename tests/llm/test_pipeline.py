@@ -3,8 +3,11 @@
 import collections
 import hashlib
 import random
+import zlib
 
 import corpus_pipeline
+import numpy as np
+from pyspark.sql import functions as F
 from feedcore.llm import language
 from plain_texts import plain_classes, plain_repeats
 
@@ -79,6 +82,40 @@ def test_long_runs_are_read_whole():
     assert runs == ["a" * 40, "a" * 40, "a" * 15, "漢" * 40, "漢", "é", "b"]
 
 
+def letters(i):
+    return "".join("abcdefghij"[int(d)] for d in f"{i:04}")
+
+
+def test_languages_are_learned_from_every_document(spark, monkeypatch):
+    rnd, models = random.Random(3), []
+    common = {"xx": ["kamo", "tilu", "senra"], "yy": ["wimtor", "gelba", "nulfa"]}
+    rows = [(i, " ".join([*rnd.choices(common[k], k=20), k[0] * 3 + letters(i)]), k) for i in range(1200) for k in [("xx", "yy")[i % 2]]]
+    docs = spark.createDataFrame([(*r, "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(language, "predict", lambda d, model, key, f=language.predict: models.append(model) or f(d, model, key))
+    for n in (2, 9):
+        assert corpus_pipeline.language_id(spark, docs.repartition(n), "").count() == len(rows)
+    learned = [t.split()[-1] for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert all(models[0].weights[zlib.crc32(b"w" + w.encode()) % language.BUCKETS].any() for w in learned)
+    # Neither does the model depend on how rows lie.
+    assert (models[0].weights == models[1].weights).all() and (models[0].move == models[1].move).all()
+
+
+def test_features_of_many_words_are_those_of_each():
+    words = ["a", "é", "ab", "abc", "abcd", "漢字", "ñandú", "x" * 40]
+    flat, sizes = language.features_of(words)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [language.features(w) for w in words]
+
+
+def test_bound_of_all_documents_is_that_of_the_halves(spark):
+    docs = spark.createDataFrame([(i, f"some words again and again {letters(i)}", "x") for i in range(60)], "doc_id long, text string, lang string")
+    _, usual = language.learn(docs, F.lit(True))
+    rows = [(r.half, r.text) for r in language.learnable_rows(docs, F.lit(True)).collect()]
+    assert (usual == language.usual_features([("x", t) for half, t in rows if not half])).all()
+    shares = [np.mean([usual[language.features(w)[2:]].mean() for w in t.split()]) for half, t in rows if half]
+    assert abs(language.learned_bound(docs, F.lit(True), usual) - 0.6 * np.median(shares)) < 1e-4
+    assert language.learned_bound(docs.limit(0), F.lit(True), usual) == 0.0
+
+
 def test_bound_follows_the_sample():
     assert language.familiar_bound([]) == 0.0
     assert language.familiar_bound([("x", "one"), ("x", "")]) == 0.0
