@@ -47,7 +47,7 @@ from feedcore.llm.common import Rolling, as_bytes, bucket_bits, by_bytes, compon
 
 _SHINGLES = Rolling(0x9E3779B97F4A7C15)
 _POST = np.dtype([("key", "<u8"), ("node", "S16")])
-BATCH_BYTES = 8 << 20
+BATCH_BYTES, PART_BYTES = 8 << 20, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -210,13 +210,19 @@ def index(docs: DataFrame, like: Likeness, bits: int) -> DataFrame:
 
     def post(rows):
         for turn, batch in enumerate(by_bytes(rows, "text", BATCH_BYTES)):
-            sets = shingle_sets(as_bytes(batch, "text"), like.words)
-            nodes = [node_of(s) for s in sets]
-            distinct = {n: s for n, s in zip(nodes, sets) if len(s)}
-            names = np.array(list(distinct), "S16")
-            which, keys = signatures(list(distinct.values()), like)
-            posts = np.empty(len(keys), _POST)
-            posts["key"], posts["node"] = keys, names[which] if len(keys) else names[:0]
+            nodes, sizes, met, posts = [], [], set(), []
+            # What is worked on is many times a text, so it is a part of the batch.
+            for part in by_bytes([batch], "text", PART_BYTES):
+                sets = shingle_sets(as_bytes(part, "text"), like.words)
+                own = [node_of(s) for s in sets]
+                distinct = {n: s for n, s in zip(own, sets) if len(s) and n not in met}
+                which, keys = signatures(list(distinct.values()), like)
+                posts.append(np.empty(len(keys), _POST))
+                posts[-1]["key"], posts[-1]["node"] = keys, np.array([*distinct, b""], "S16")[which]
+                met.update(distinct)
+                nodes += own
+                sizes += [len(s) for s in sets]
+            posts = np.concatenate(posts)
             least, pairs = stars(posts)
             order = (least["key"] >> np.uint64(64 - bits)).astype(np.int64)
             filled, starts = np.unique(order, return_index=True)
@@ -224,12 +230,13 @@ def index(docs: DataFrame, like: Likeness, bits: int) -> DataFrame:
             blobs = [(b, packed(least[i:j], bits)) for b, i, j in zip(filled.tolist(), starts.tolist(), ends)]
             sink = pa.BufferOutputStream()
             table = pa.record_batch(
-                [batch.column("doc_id").cast(id_type), pa.array([len(s) for s in sets], id_type), pa.array(nodes, pa.binary()), batch.column("key")],
+                [batch.column("doc_id").cast(id_type), pa.array(sizes, id_type), pa.array(nodes, pa.binary()), batch.column("key")],
                 ["doc_id", "n_shingles", "a", "key"],
             )
             with pa.ipc.new_stream(sink, table.schema) as writer:
                 writer.write_batch(table)
-            home = int(names[0][0] if len(names) else turn) % (1 << bits)
+            named = [n for n, size in zip(nodes, sizes) if size]
+            home = (named[0][0] if named else turn) % (1 << bits)
             blobs.append((home, b""))
             n = len(blobs)
             yield pa.record_batch(

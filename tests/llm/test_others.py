@@ -105,3 +105,18 @@ def test_pipeline_stages(spark):
     empty = given.limit(0)
     for _, step in corpus_pipeline.STAGES:
         assert step(spark, empty, SMALL).count() == 0
+
+
+def test_a_batch_is_indexed_part_by_part(spark, monkeypatch):
+    from feedcore.llm import jaccard
+
+    rows = [(i, f"{'one two three four five six seven eight ' * 6}{i % 7} nine ten {i % 5}", None) for i in range(60)]
+    rows += [(60, None, None), (61, "", None), (62, "alone", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x string").coalesce(1)
+
+    def told():
+        return sorted(map(repr, jaccard.index(docs, jaccard.Likeness(), 4).collect()))
+
+    want = told()
+    monkeypatch.setattr(jaccard, "PART_BYTES", 700)
+    assert told() == want and sum("kind='doc'" in r for r in want) == 63
