@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 
 SPLIT = 64 << 20
 PIECE = 4 << 20
+AHEAD = 1 << 14
+#: Bytes read in a task at least, if there are tasks for all cores.
+TASK_BYTES = 32 << 20
 _EFFECT_SQL = "file string, start long, quotes int, change array<long>, opens array<array<array<long>>>, array boolean"
 _LONGS = pa.list_(pa.int64())
 _EFFECT = pa.schema(
@@ -43,17 +46,22 @@ def opened(path: str):
     return system.open_input_file(name)
 
 
-def pieces(source, start: int, stop: int, size: int = PIECE) -> Iterator[tuple[int, bytes, bytes]]:
+def pieces(source, start: int, stop: int, size: int = PIECE, *, border: int | None = None) -> Iterator[tuple[int, bytes, bytes]]:
     """``(offset, bytes, the same with escapes blanked)`` from ``start`` on.
 
-    Whether the first byte is escaped follows from the backslashes before it.
+    Beyond ``border`` pieces begin small, as mostly the end of one record is looked for.  Whether the first byte is escaped follows from the backslashes before it.
     """
     at, escaped = start, False
     while at > 0 and source.read_at(1, at - 1) == b"\\":
         escaped, at = not escaped, at - 1
-    at = start
+    at, ahead = start, AHEAD
+    border = stop if border is None else border
     while at < stop:
-        data = source.read_at(min(size, stop - at), at)
+        if at < border:
+            wanted = border - at
+        else:
+            wanted, ahead = ahead, 2 * ahead
+        data = source.read_at(min(size, wanted, stop - at), at)
         if not data:
             return
         plain = b"_" + data[1:] if escaped else data
@@ -84,7 +92,7 @@ def effect(source, start: int, stop: int) -> tuple[int, list[int], list[dict[int
 def records(source, start: int, stop: int, size: int, within: int, depth: int) -> Iterator[tuple[int, bytes]]:
     """``(offset, text)`` of the records at depth one that start in the range."""
     held, first = [], -1
-    for at, data, plain in pieces(source, start, size):
+    for at, data, plain in pieces(source, start, size, border=stop):
         codes = np.frombuffer(plain, np.uint8)
         inside = (np.cumsum(codes == 34) + within) & 1
         step = np.where(inside == 0, _STEP[codes], 0)
@@ -121,7 +129,12 @@ def array_records(spark: SparkSession, path: str, split: int = SPLIT) -> tuple[D
     listed = spark.read.format("binaryFile").load(path).select("path", "length").collect()
     ranges = [(r.path, a, min(r.length, a + split), r.length) for r in listed for a in range(0, max(1, r.length), split)]
     form = "file string, start long, stop long, size long"
-    tasks = max(1, min(100_000, len(ranges)))
+    # A task reads many short ranges, or starting tasks would cost more than reading.
+    wanted = max(4 * spark.sparkContext.defaultParallelism, sum(r.length for r in listed) // TASK_BYTES)
+    tasks = max(1, min(100_000, len(ranges), wanted))
+    by_file: dict[str, list[tuple]] = {}
+    for r in ranges:
+        by_file.setdefault(r[0], []).append(r)
 
     def effects(batches):
         for batch in batches:
@@ -139,7 +152,7 @@ def array_records(spark: SparkSession, path: str, split: int = SPLIT) -> tuple[D
     known, broken = [], []
     for row in listed:
         own, within, depth, base = [], 0, 0, 0
-        for file, start, stop, size in (r for r in ranges if r[0] == row.path):
+        for file, start, stop, size in by_file[row.path]:
             own.append((file, start, stop, size, within, depth, base))
             here = by_place[file, start]
             base += sum(n for level, n in here.opens[within] if depth + level == 2)

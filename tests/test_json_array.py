@@ -71,3 +71,26 @@ def test_a_job_begins_with_an_item_list(spark, tmp_path):
     for run in (1, 2):
         merge.run_job(spark, raw(spark).limit(0), path, SHIPPED, AS_OF, run, first_load=str(tmp_path / "items.json"))
         assert [r.title for r in store.read_store(spark, path).collect()] == [f"하나 {title}"]
+
+
+def test_a_range_reads_little_beyond_its_border(spark, tmp_path):
+    item = json.dumps({"title": "t" * 900, "url": "u"}).encode()
+    data = b"[" + b",".join([item] * 4000) + b"]"
+
+    class Source:
+        read = 0
+
+        def read_at(self, n, at):
+            self.read += min(n, len(data) - at)
+            return data[at : at + n]
+
+    source, split, found = Source(), 1 << 16, 0
+    for start in range(0, len(data), split):
+        before = data[:start]
+        quotes, depth = before.count(b'"') % 2, before.count(b"[") + before.count(b"{") - before.count(b"}")
+        found += len(list(json_array.records(source, start, min(start + split, len(data)), len(data), quotes, depth)))
+    assert found == 4000 and source.read < 1.5 * len(data)
+    (tmp_path / "a.json").write_bytes(data)
+    rows, broken = json_array.array_records(spark, str(tmp_path), 1 << 12)
+    assert rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert not broken and rows.agg(F.countDistinct("pos"), F.max("pos")).first()[:] == (4000, 3999)
