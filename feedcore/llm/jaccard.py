@@ -36,6 +36,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ from feedcore.llm.common import Rolling, as_bytes, bucket_bits, by_bytes, compon
 _SHINGLES = Rolling(0x9E3779B97F4A7C15)
 _POST = np.dtype([("key", "<u8"), ("node", "S16")])
 BATCH_BYTES, PART_BYTES = 8 << 20, 1 << 20
+#: Members that a round of comparisons may move, however few the sets hold.
+ROUND = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -404,7 +407,7 @@ def contracted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def cells(known: DataFrame, bands: np.ndarray, block: int) -> DataFrame:
-    """``(node, own, family, i, j)``: the cells, pairs of blocks, that each set of ``known(node, own, family, size)`` goes to.
+    """``(node, own, size, family, i, j)``: the cells, pairs of blocks, that each set of ``known(node, own, family, size)`` goes to.
 
     Similar sets lie in one band of sizes or in two neighbouring ones.  A band of a family is cut into blocks of
     about ``block`` members; a block meets those of its own band and of the two beside it.  A family
@@ -426,23 +429,30 @@ def cells(known: DataFrame, bands: np.ndarray, block: int) -> DataFrame:
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("next"))
     name = [F.shiftleft(F.col(of).cast("long"), 32) + F.col(n) for of, n in (("level", "mine"), ("other", "next"))]
     dealt = dealt.where((name[0] != name[1]) | (F.col("around") == 1))
-    return dealt.select("node", "own", "family", F.least(*name).alias("i"), F.greatest(*name).alias("j"))
+    return dealt.select("node", "own", "size", "family", F.least(*name).alias("i"), F.greatest(*name).alias("j"))
 
 
-def links_between(sets: DataFrame, near: DataFrame, roots: DataFrame, like: Likeness, block: int = 3 << 19) -> DataFrame:
+def links_between(
+    sets: DataFrame, near: DataFrame, roots: DataFrame, like: Likeness, block: int = 3 << 19, least_round: int = ROUND
+) -> DataFrame:
     """Links ``(a, b)`` between components, exactly: what one leader each could not tell.
 
     A family is what hangs together by shared keys: components and the ``near`` pairs
     of them.  Families are compared in full, block by block: a set goes to as many tasks as there are
     blocks of sets of like size in its family.  Inside a task sets meet by their rarest members.  Only
     links that join components come out, fewer than there are components in the two blocks.
+
+    A set's copies would take many times its own disk, so cells are compared in rounds.  Each moves about as
+    many members as all sets hold (or ``least_round``), and its files go when its links are written.
     """
     family = stage(components(near, "families").select(F.col("node").alias("own"), F.col("root").alias("family")), "families")
-    # Places are found from names and sizes alone; members move twice, to their places and to their tasks.
+    # Places are found from names and sizes alone; members move twice a round, to their places and to their tasks.
     known = sets.select("node", "size").join(roots.withColumnRenamed("root", "own"), "node", "left")
     known = known.withColumn("own", F.coalesce("own", "node")).join(family, "own")
-    placed = stage(cells(known, like.bands(sets.agg(F.max("size")).first()[0] or 0), block), "placed")
-    dealt = sets.select("node", "members").join(placed, "node")
+    largest, held = sets.agg(F.max("size"), F.sum("size")).first()
+    placed = stage(cells(known, like.bands(largest or 0), block), "placed")
+    moved = placed.agg(F.sum("size")).first()[0] or 0
+    rounds = max(1, -(-moved // max(held or 0, least_round)))
 
     def compare(table: pa.Table) -> pa.Table:
         own = table.column("own").to_pylist()
@@ -456,7 +466,12 @@ def links_between(sets: DataFrame, near: DataFrame, roots: DataFrame, like: Like
             found = [(own[x], own[y]) for x, y in cell.links()]
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
-    return dealt.groupBy("family", "i", "j").applyInArrow(compare, "a binary, b binary")
+    def links(turn: int) -> DataFrame:
+        mine = placed.where(F.pmod(F.xxhash64("family", "i", "j"), F.lit(rounds)) == turn).drop("size")
+        dealt = sets.select("node", "members").join(mine, "node")
+        return dealt.groupBy("family", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+    return reduce(DataFrame.unionByName, [stage(links(turn), "round") for turn in range(rounds)])
 
 
 def classes(docs: DataFrame, like: Likeness, keyed: bool = False) -> DataFrame:

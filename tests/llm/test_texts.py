@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from feedcore.llm import byte_bpe, fingerprint, jaccard, language, packing, pseudo, substrings, templates
-from feedcore.llm.common import word_hashes
+from feedcore.llm.common import stage, word_hashes
 from plain_texts import plain_classes, plain_repeats
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -451,3 +451,30 @@ def test_families_of_many_blocks_lose_no_link(spark):
             assert like.similar(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))
             got = [got[j] if g == got[i] else g for g in got]
         assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
+def test_families_are_compared_in_rounds_of_bounded_size(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    own = rng.integers(0, 1 << 60, 60).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < 0.1, rng.integers(0, 1 << 60, 60).astype(np.uint64), own)) for _ in range(60)]
+    names = [jaccard.node_of(x) for x in sets]
+    table = spark.createDataFrame([(bytearray(n), len(x), bytearray(x.tobytes())) for n, x in zip(names, sets)], "node binary, size long, members binary")
+    near = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in zip(names, names[1:])], "a binary, b binary")
+    roots = spark.createDataFrame([], "node binary, root binary")
+    rounds = []
+
+    def counted(df, name):
+        rounds.append(name)
+        return stage(df, name)
+
+    monkeypatch.setattr(jaccard, "stage", counted)
+
+    def found(least_round):
+        rounds.clear()
+        links = jaccard.links_between(table, near, roots, jaccard.Likeness(), 400, least_round).collect()
+        return {(bytes(r.a), bytes(r.b)) for r in links}, rounds.count("round")
+
+    one, many = found(1 << 30), found(1)
+    assert one[0] and many[0] == one[0]
+    # A set goes to about as many cells as there are blocks, nine; no round moves much more than all sets hold.
+    assert one[1] == 1 and many[1] >= 8
