@@ -44,6 +44,8 @@ BATCH_BYTES = 4 << 20
 HELD_WORDS = 1 << 20
 ONCE = 256
 ROWS = 256
+#: From so few on, columns are compared one by one.
+COLUMNS = 8
 #: Tokens scored at once: what is worked on stays in a core's cache.
 SCORED = 8192
 PIECE = 1 << 16
@@ -193,24 +195,28 @@ class Network:
         for place in range(1, 2 * REACH):
             total += self.inside[place].take(around[place], axis=0)
         out = np.ones((len(total), WIDTH + 1), np.float32)
-        np.tanh(total, out=out[:, :WIDTH])
+        out[:, :WIDTH] = np.tanh(total, out=total)
         return out
 
     @staticmethod
     def lowered(scores: np.ndarray) -> np.ndarray:
-        """Scores less the largest of each row; halves are compared, as rows are short."""
+        """Scores less the largest of each row; halves are compared, as rows are short, and then columns."""
         most, width = scores, scores.shape[1]
-        while width > 1:
+        while width > COLUMNS:
             width //= 2
             most = np.maximum(most[:, :width], most[:, width : 2 * width])
-        scores -= most
+        largest = np.maximum(most[:, 0], most[:, 1])
+        for column in range(2, width):
+            np.maximum(largest, most[:, column], out=largest)
+        scores -= largest[:, None]
         return scores
 
     @classmethod
-    def log_softmax(cls, scores: np.ndarray) -> np.ndarray:
+    def log_softmax_of(cls, scores: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The log softmax of each row at one place of it."""
         scores = cls.lowered(scores)
-        scores -= np.log(np.exp(scores).sum(1, keepdims=True))
-        return scores
+        own = scores[np.arange(len(scores)), places]
+        return own - np.log(np.exp(scores, out=scores).sum(1))
 
     @classmethod
     def softmax(cls, scores: np.ndarray) -> np.ndarray:
@@ -223,14 +229,13 @@ class Network:
         """Of every token given both sides; ``around[place]`` are the tokens there."""
         hidden = self.hidden(around)
         group, member = np.divmod(token, VOCABULARY // CLASS)
-        every = np.arange(len(token))
-        out = self.log_softmax(product(hidden, self.upper))[every, group]
+        out = self.log_softmax_of(product(hidden, self.upper), group)
         order = np.argsort(group.astype(np.int16), kind="stable")
         ends = np.searchsorted(group[order], np.arange(CLASS + 1)).tolist()
         hidden, inner = hidden.take(order, axis=0), np.empty((len(token), VOCABULARY // CLASS), np.float32)
         for c, (i, j) in enumerate(zip(ends, ends[1:])):
             product(hidden[i:j], self.lower[c], inner[i:j])
-        out[order] += self.log_softmax(inner)[every, member[order]]
+        out[order] += self.log_softmax_of(inner, member[order])
         return out
 
     def learn(self, around: np.ndarray, token: np.ndarray, rate: float) -> None:
@@ -356,14 +361,15 @@ def train(docs: DataFrame, known: Vocabulary, rounds: int = 2, train_every: int
             sums, seen = 0, 0
             for batch in rows:
                 for name, lines, sizes in zip(*(batch.column(c).to_pylist() for c in ("shard", "lines", "sizes"))):
-                    line, sizes = np.frombuffer(lines, np.int16).astype(np.int64), np.frombuffer(sizes, np.int64)
+                    # Narrow numbers stay in a core's cache, where a step's places lie at random.
+                    line, sizes = np.frombuffer(lines, np.int16), np.frombuffer(sizes, np.int64)
                     inner = np.ones(len(line), bool)
                     for d in range(REACH):
                         inner[np.cumsum(sizes) - 1 - d] = inner[np.cumsum(sizes) - sizes + d] = False
                     at = np.random.default_rng([turn, name]).permutation(np.flatnonzero(inner))
                     own = Network.of_line(given.value)
                     for i in range(0, len(at), step):
-                        own.learn(neighbours(line, at[i : i + step]), line[at[i : i + step]], rate)
+                        own.learn(neighbours(line, at[i : i + step]), line[at[i : i + step]].astype(np.int64), rate)
                     sums, seen = sums + np.rint(own.line() / GRAIN).astype(np.int64) * len(at), seen + len(at)
             if seen:
                 yield pa.record_batch(told(np.array_split(sums, SLICES), seen))

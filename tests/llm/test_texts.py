@@ -478,3 +478,11 @@ def test_families_are_compared_in_rounds_of_bounded_size(spark, monkeypatch):
     assert one[0] and many[0] == one[0]
     # A set goes to about as many cells as there are blocks, nine; no round moves much more than all sets hold.
     assert one[1] == 1 and many[1] >= 8
+
+
+def test_log_softmax_of_one_place():
+    scores = np.random.default_rng(4).standard_normal((700, pseudo.CLASS)).astype(np.float32) * 30
+    places = np.arange(700) % pseudo.CLASS
+    whole = scores - scores.max(1, keepdims=True)
+    want = whole - np.log(np.exp(whole).sum(1, keepdims=True))
+    assert np.array_equal(pseudo.Network.log_softmax_of(scores.copy(), places), want[np.arange(700), places])
