@@ -7,6 +7,8 @@ so the rows that come out can be compared with the rows that went in.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -479,8 +481,11 @@ def nested_rows(spark: SparkSession, folder: str) -> DataFrame:
 _KIND = {"en": "regulator_rss", "fr": "search_news", "de": "portal_news", "es": "regulator_rss"}
 
 
-def attempts(spark: SparkSession, folder: str, answered: bool = False) -> DataFrame:
-    """``answered``: every request has a sound answer, in its first or third attempt; else some are cut or fail."""
+def attempts(spark: SparkSession, folder: str, answered: bool = False, ranks: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """``answered``: every request has a sound answer, in its first or third attempt; else some are cut or fail.
+
+    A document's feed is made once, before its attempts.
+    """
     kind = F.lit(None).cast("string")
     for lang, name in _KIND.items():
         kind = F.when(F.col("lang") == lang, F.lit(name)).otherwise(kind)
@@ -491,15 +496,16 @@ def attempts(spark: SparkSession, folder: str, answered: bool = False) -> DataFr
     body = (
         F.when(attempt == 1, F.lit("<rss>busy</rss>"))
         .when((F.col("doc_id") % 11 == 0) & F.lit(not answered), F.concat(F.lit("<rss><channel><item><title>cut"), F.repeat(F.lit(" "), 100)))
-        .otherwise(feed)
+        .otherwise(F.col("feed"))
     )
     ok = (
         F.when(attempt == 0, F.col("doc_id") % 3 == 0)
         .when(attempt == 1, F.col("doc_id") % 2 == 0)
         .otherwise((F.col("doc_id") % 13 != 1) | F.lit(answered))
     )
-    tried = _documents(spark, folder).withColumn("attempt_rank", F.explode(F.array(*[F.lit(i) for i in range(3)])))
-    # The body uses the document's own source, so it is made before that name is reused.
+    # The feed uses the document's own source, so it is made before that name is reused.
+    fed = _documents(spark, folder).select("doc_id", "lang", (feed if {*ranks} - {1} else F.lit(None).cast("string")).alias("feed"))
+    tried = fed.withColumn("attempt_rank", F.explode(F.array(*[F.lit(i) for i in ranks])))
     return conform(
         tried.withColumn("body", body).select(
             F.concat_ws("-", payload_id(), attempt.cast("string")).alias("payload_id"),
@@ -741,7 +747,7 @@ def stream_merge(spark: SparkSession, folder: str) -> DataFrame:
     """
     base = shared_folder(spark, "stream-merge")
     for attempt in range(3):
-        arrived = attempts(spark, folder, answered=True).where(F.col("attempt_rank") == attempt)
+        arrived = attempts(spark, folder, answered=True, ranks=[attempt])
         arrived.write.mode("append").parquet(f"{base}/raw")
         intake.stream_job(
             intake.raw_stream(spark, f"{base}/raw"),

@@ -8,7 +8,7 @@ operator that cares about order sorts by them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,6 +78,11 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
+def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """An empty table that the optimizer knows to be empty; one made from a list starts Python workers."""
+    return conform(spark.range(1).where("false").drop("id"), schema)
+
+
 def intake_order() -> list[Column]:
     """Order in which rows entered: newest run first, then feed order."""
     return [

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedcore.rules import RuleBook
-from feedcore.schema import STORED
+from feedcore.schema import STORED, no_rows
 
 LAYOUT = ["is_official", "month"]
 _NULL = "__HIVE_DEFAULT_PARTITION__"
@@ -90,7 +90,7 @@ def in_force(spark: SparkSession, store: str) -> tuple[int, list[Folder]]:
 def read_folders(spark: SparkSession, store: str, folders: Iterable[Folder]) -> DataFrame:
     paths = [f"{store}/{f.folder}" for f in folders]
     if not paths:
-        return spark.createDataFrame([], STORED)
+        return no_rows(spark, STORED)
     return spark.read.schema(STORED).parquet(*paths)
 
 

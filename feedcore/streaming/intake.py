@@ -13,12 +13,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from feedcore.operators.lookup import broadcast_if_small
 from feedcore.plans.merge import run_job
 from feedcore.rules import RuleBook
-from feedcore.schema import RAW
+from feedcore.schema import RAW, no_rows
 from feedcore.sources.payload import accepted
 from feedcore.sources.readers import WIRED, Source
 from feedcore.sources.store import exists
@@ -61,7 +62,7 @@ def answered_before(spark: SparkSession, store: str, run: int) -> DataFrame:
     """Ids of the requests answered in runs before this one; a repeated run sees the same."""
     path = f"{store}/_answered"
     if not exists(spark, path):
-        return spark.createDataFrame([], "request_id string")
+        return no_rows(spark, T.StructType([T.StructField("request_id", T.StringType())]))
     seen = spark.read.schema("request_id string, run long").parquet(path)
     return seen.where(F.col("run") < run).select("request_id")
 

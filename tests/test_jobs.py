@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from feedcore.catalog import scans
 from feedcore.functions.text import title_key
 from feedcore.operators import browse, calendar, first, lookup, rank
 from feedcore.plans import merge
@@ -402,3 +403,22 @@ def test_date_range_reaches_the_scan(spark, tmp_path):
     for found in (late, early):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "2026-01-15" in plan.split("PushedFilters: [")[1].split("]")[0]
+
+
+def test_a_document_s_feed_is_made_once_for_all_attempts(spark, tmp_path):
+    docs = [(i, ("en", "fr", "de", "es", None)[i % 5], f"src{i % 3}", None if i == 7 else f"one {i} & <b>\ntwo") for i in range(30)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for answered in (False, True):
+        whole = scans.attempts(spark, str(tmp_path), answered)
+        above = whole._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+        assert "transform" not in above and "split" not in above
+        for rank in range(3):
+            alone = scans.attempts(spark, str(tmp_path), answered, [rank])
+            assert sorted(map(repr, alone.collect())) == sorted(map(repr, whole.where(whole.attempt_rank == rank).collect()))
+
+
+def test_an_absent_store_is_known_to_be_empty(spark, tmp_path):
+    for rows, schema in ((store.read_store(spark, f"{tmp_path}/none"), STORED), (intake.answered_before(spark, f"{tmp_path}/none", 3), None)):
+        plan = rows.join(rows.limit(5), rows.columns[0], "left_anti")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.startswith("LocalRelation <empty>") and rows.collect() == []
+        assert schema is None or rows.schema == schema
