@@ -75,6 +75,13 @@ def in_worker(key: tuple, make):
     return kept[key]
 
 
+def clear_worker() -> None:
+    """What other operators' tasks kept by ``in_worker`` goes: a task with much memory of its own starts without it."""
+    if "_feedcore_worker" in sys.modules:
+        for name in [n for n in sys.modules["_feedcore_worker"].__dict__ if not isinstance(n, str)]:
+            del sys.modules["_feedcore_worker"].__dict__[name]
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

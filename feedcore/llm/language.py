@@ -23,7 +23,9 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from feedcore.llm.common import by_bytes, text_key
+from feedcore.llm.common import by_bytes, clear_worker, text_key
 
 UNKNOWN = "und"
 BATCH_BYTES = 4 << 20
+#: Bytes of a shard's texts that are strings at once.
+READ_BYTES = 1 << 20
 BUCKETS = 1 << 16
 CHAIN = 64
 #: Letters of a word at most: scripts without spaces write sentences as one run.
@@ -262,7 +266,7 @@ def fit(stream: np.ndarray, labels: np.ndarray, flat: np.ndarray, counts: np.nda
     """
     starts = np.cumsum(counts) - counts
     n = -(-len(stream) // CHAIN)
-    ids, truth = np.zeros(n * CHAIN, np.int64), np.zeros(n * CHAIN, np.int64)
+    ids, truth = np.zeros(n * CHAIN, np.int32), np.zeros(n * CHAIN, np.int32)
     ids[: len(stream)], truth[: len(stream)] = stream, labels
     ids, truth = ids.reshape(n, CHAIN), truth.reshape(n, CHAIN)
     sizes = np.full(n, CHAIN)
@@ -308,15 +312,18 @@ def parts_of(line: np.ndarray, size: int) -> list[np.ndarray]:
     return [x.reshape(s) for x, s in zip(np.split(line, ends), shapes)]
 
 
-def shard_line(rows: list[tuple[int, int, str]], size: int, name: int, rate: float = 0.3) -> np.ndarray | None:
-    """All of ``shard_shapes`` in whole numbers, one behind the other, from ``(label, half, text)``; None without words."""
+def shard_line(rows: Iterable[tuple[int, int, str]], size: int, name: int, rate: float = 0.3) -> np.ndarray | None:
+    """All of ``shard_shapes`` in whole numbers, one behind the other, from ``(label, half, text)``; None without words.
+
+    ``rows`` are read once: a text is held as the numbers of its words.
+    """
     known: defaultdict[str, int] = defaultdict()
     known.default_factory = known.__len__
     texts, kept = [], []
     for label, half, text in rows:
         words = words_of(text)
         if words:
-            texts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+            texts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
             kept.append((label, half, -(-len(text) // SLICE)))
     if not texts:
         return None
@@ -325,7 +332,9 @@ def shard_line(rows: list[tuple[int, int, str]], size: int, name: int, rate: flo
         own, sizes = features_of(words[at : at + 20_000])
         flats.append(own.astype(np.int32))
         counts.append(sizes)
+    del known, words
     flat, counts = np.concatenate(flats), np.concatenate(counts)
+    del flats
     starts = np.cumsum(counts) - counts
     holding, slices = np.zeros((2, size, BUCKETS), np.int32), np.zeros((2, size), np.int64)
     for own, (label, half, pieces) in zip(texts, kept):
@@ -339,7 +348,8 @@ def shard_line(rows: list[tuple[int, int, str]], size: int, name: int, rate: flo
                 slices[half, label] += 1
     stream = np.concatenate(texts)
     sizes = np.array([len(t) for t in texts])
-    labels = np.repeat([label for label, _, _ in kept], sizes)
+    del texts
+    labels = np.repeat(np.array([label for label, _, _ in kept], np.int32), sizes)
     rng = np.random.default_rng([1, name])
     # Runs of a text's words are dealt anew, so chains switch languages.
     cuts = np.cumsum(rng.integers(6, 48, len(stream) // 6 + 1))
@@ -349,13 +359,31 @@ def shard_line(rows: list[tuple[int, int, str]], size: int, name: int, rate: flo
     batches = max(1, -(-len(stream) // CHAIN) // 128)
     epochs = max(1, min(EPOCHS, -(-STEPS // batches)))
     weights, moves, begins = fit(stream[at], labels[at], flat, counts, size, epochs, rate, rng, STEPS)
-    met = np.bincount(flat, np.repeat(np.bincount(stream, minlength=len(words)), counts), BUCKETS).astype(np.int64)
+    times, met = np.bincount(stream, minlength=len(counts)), np.zeros(BUCKETS, np.int64)
+    for i in range(0, len(counts), 20_000):
+        own, n = counts[i : i + 20_000], times[i : i + 20_000]
+        met += np.bincount(flat[starts[i] : starts[i] + own.sum()], np.repeat(n, own), BUCKETS).astype(np.int64)
     whole = [np.rint(x / GRAIN).astype(np.int64) for x in (weights, moves, begins)]
     n = len(stream)
     parts = [whole[0] * met[:, None], met, whole[1] * n, whole[2] * n, np.array([n]), holding, slices]
     return np.concatenate([p.ravel() for p in parts])
 
 
+def sum_of_shards(batches: Iterable[pa.RecordBatch], number: dict[str, int]) -> np.ndarray | None:
+    """The sum of all shards' lines, from rows in order of ``shard``; about ``READ_BYTES`` of texts are held at once."""
+
+    def rows():
+        for batch in by_bytes(batches, "text", READ_BYTES):
+            yield from zip(*(batch.column(c).to_pylist() for c in ("shard", "label", "half", "text")))
+
+    total = None
+    for name, own in groupby(rows(), itemgetter(0)):
+        line = shard_line(((number[label], half, text) for _, label, half, text in own), len(number), name)
+        if line is not None:
+            total = line if total is None else np.add(total, line, out=total)
+    return total
+
+
 def learnable_rows(docs: DataFrame, learnable) -> DataFrame:
     """``(label, half, text)`` and ``key`` of what may be learned from; either half holds about as many texts."""
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -383,18 +411,8 @@ def learn(docs: DataFrame, learnable, shard: int = SHARD) -> tuple[Model, np.nda
         return pa.record_batch([pa.array(parts, pa.int32()), pa.array([x.tobytes() for x in lines], pa.binary())], ["part", "sums"])
 
     def run(batches):
-        total, now, held = None, None, []
-
-        def closed():
-            line = shard_line(held, size, now) if held else None
-            return total if line is None else line if total is None else total + line
-
-        for batch in batches:
-            for name, label, half, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "label", "half", "text"))):
-                if name != now:
-                    total, now, held = closed(), name, []
-                held.append((number[label], half, text))
-        total = closed()
+        clear_worker()
+        total = sum_of_shards(batches, number)
         if total is not None:
             yield told(np.array_split(total, GROUPS), range(GROUPS))
 

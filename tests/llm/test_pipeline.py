@@ -3,12 +3,14 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
-from feedcore.llm import language
+from feedcore.llm import common, language
 from plain_texts import plain_classes, plain_repeats
 
 # Names that the operators use for their own columns, one of them not nullable.
@@ -128,3 +130,30 @@ def test_predict_replaces_columns_of_its_names(spark):
     told = language.predict(docs, model, docs.columns)
     assert told.columns == ["doc_id", "text", "lang_pred", "score", "familiar"]
     assert {(r.doc_id, r.lang_pred, r.familiar is None) for r in told.collect()} == {(1, "en", False), (2, "und", True)}
+
+
+def test_texts_of_a_shard_are_not_held():
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghij", k=40)) for _ in range(500)]
+    rows = [(i // 16, "xy"[i % 2], i // 2 % 2, " ".join(rnd.choices(words, k=25_000 if i < 16 else 90))) for i in range(20)]
+    number, held = {"x": 0, "y": 1}, []
+
+    def batches():
+        for row in rows:
+            held.append(tracemalloc.get_traced_memory()[0])
+            yield pa.record_batch([[x] for x in row], ["shard", "label", "half", "text"])
+
+    tracemalloc.start()
+    got = language.sum_of_shards(batches(), number)
+    tracemalloc.stop()
+    # The first 16 rows are a shard of 16 MB; a word's number takes a tenth of the word (what the first row loads is no text).
+    assert max(held[1:16]) - held[1] < 8 << 20
+    lines = [language.shard_line([(number[k], h, t) for s, k, h, t in rows if s == name], 2, name) for name in (0, 1)]
+    assert np.array_equal(got, lines[0] + lines[1]) and language.sum_of_shards([], number) is None
+
+
+def test_words_of_other_operators_go():
+    common.in_worker(("words", "of another"), lambda: [0] * 1000)
+    common.clear_worker()
+    assert common.in_worker(("words", "of another"), list) == []
+    common.clear_worker()
