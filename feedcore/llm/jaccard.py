@@ -20,9 +20,15 @@ set; where no deletion meets the other set's subset they differ by two at least.
 That makes ``(H + 1 - a) + a > H`` differences.  Sets without such a prefix raise
 all segments and are indexed under one key of their own, for pairs of two of them.
 
-Candidates are not listed pairwise.  In a key's list each set meets one leader (first
+A common key says little of long tables: unrelated texts share a common phrase that is alone in its
+segment.  So the members of all sets with a common key are counted.  A set that has a partner has
+``num/den`` of its members in common with it: a set with fewer members that occur twice goes.  The
+others meet by their rarest members: two similar sets share one of the first
+``n - least joint + 1`` members of either, in any order that all sets keep.
+
+Candidates are not listed pairwise.  In a member's list each set meets one leader (first
 within a task, then over all tasks); links are verified and contracted.  Sets that
-hang together by keys but not by links are then compared in full, in blocks, and
+hang together by rare members but not by links are then compared in full, in blocks, and
 only links come out.  Sets that are equal count as one.
 
 Words are runs without ASCII white space, A-Z lower-cased.  Nulls: a null text has no
@@ -49,6 +55,10 @@ from feedcore.llm.common import Rolling, as_bytes, bucket_bits, by_bytes, compon
 _SHINGLES = Rolling(0x9E3779B97F4A7C15)
 _POST = np.dtype([("key", "<u8"), ("node", "S16")])
 BATCH_BYTES, PART_BYTES = 8 << 20, 1 << 20
+#: Text behind the sets that are kept and counted together.
+HELD_BYTES = 2 << 20
+#: Members that are counted in one task.
+COUNTED = 4 << 20
 #: Members that a round of comparisons may move, however few the sets hold.
 ROUND = 1 << 24
 
@@ -227,10 +237,7 @@ def index(docs: DataFrame, like: Likeness, bits: int) -> DataFrame:
                 sizes += [len(s) for s in sets]
             posts = np.concatenate(posts)
             least, pairs = stars(posts)
-            order = (least["key"] >> np.uint64(64 - bits)).astype(np.int64)
-            filled, starts = np.unique(order, return_index=True)
-            ends = [*starts[1:].tolist(), len(order)]
-            blobs = [(b, packed(least[i:j], bits)) for b, i, j in zip(filled.tolist(), starts.tolist(), ends)]
+            blobs = blobs_of(least, bits)
             sink = pa.BufferOutputStream()
             table = pa.record_batch(
                 [batch.column("doc_id").cast(id_type), pa.array(sizes, id_type), pa.array(nodes, pa.binary()), batch.column("key")],
@@ -278,22 +285,129 @@ def index(docs: DataFrame, like: Likeness, bits: int) -> DataFrame:
     return stage(sent.groupBy("bucket").applyInArrow(meet, _ROW), "index")
 
 
+def blobs_of(posts: np.ndarray, bits: int) -> list[tuple[int, bytes]]:
+    """``(bucket, its posts)`` of posts in the order of their keys."""
+    order = (posts["key"] >> np.uint64(64 - bits)).astype(np.int64)
+    filled, starts = np.unique(order, return_index=True)
+    ends = [*starts[1:].tolist(), len(order)]
+    return [(b, packed(posts[i:j], bits)) for b, i, j in zip(filled.tolist(), starts.tolist(), ends)]
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``(node, size, members)`` of the wanted nodes: their texts are read again and shingled."""
+    """``(name, nodes, sizes, members)``: the sets of the wanted nodes, many in a row that its first node names.
+
+    Their texts are read again and shingled.
+    """
 
     def run(rows):
-        for batch in by_bytes(rows, "text", BATCH_BYTES):
-            sets = shingle_sets(as_bytes(batch, "text"), words)
+        for batch in by_bytes(rows, "text", HELD_BYTES):
+            sets, nodes = shingle_sets(as_bytes(batch, "text"), words), batch.column("node").to_pylist()
+            sizes = np.array([len(s) for s in sets], np.int64)
             yield pa.record_batch(
-                [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["node", "size", "members"],
+                [pa.array([x], pa.binary()) for x in (nodes[0], b"".join(nodes), sizes.tobytes(), np.concatenate(sets).tobytes())],
+                ["name", "nodes", "sizes", "members"],
             )
 
     texts = docs.select("doc_id", "text", text_key("text").alias("key"))
-    # One row a node: its least document.  Repeated rows of that document fall to one below.
+    # One row a node: its least document.  Repeated rows of that document fall to one.
     one = texts.join(wanted, [texts.doc_id.eqNullSafe(wanted.of_doc), texts.key == wanted.of_key])
-    found = one.select("node", "text").mapInArrow(run, "node binary, size long, members binary")
-    return found.dropDuplicates(["node"])
+    found = one.select("node", "text").dropDuplicates(["node"])
+    return found.mapInArrow(run, "name binary, nodes binary, sizes binary, members binary")
+
+
+def counts_of(held: DataFrame, bits: int) -> DataFrame:
+    """``(name, bucket, counts)``: in how many sets the members of a row of ``sets_of`` occur, 255 at most.
+
+    Distinct members of a row in ascending order, cut by their first ``bits`` bits, have a byte each.  A member travels
+    as the 40 bits behind these; members that fall together have one count, of both.
+    """
+
+    def send(rows):
+        for batch in rows:
+            for name, data in zip(batch.column("name").to_pylist(), batch.column("members")):
+                values, times = np.unique(np.frombuffer(data.as_buffer(), np.uint64), return_counts=True)
+                ends = np.searchsorted(values >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
+                keys = (values << np.uint64(bits) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                times = np.minimum(times, 255).astype(np.uint8)
+                filled = np.flatnonzero(ends[1:] > ends[:-1]).tolist()
+                yield pa.record_batch(
+                    [
+                        pa.array(filled, pa.int32()),
+                        pa.array([name] * len(filled), pa.binary()),
+                        pa.array([keys[ends[b] : ends[b + 1]].tobytes() for b in filled], pa.binary()),
+                        pa.array([times[ends[b] : ends[b + 1]].tobytes() for b in filled], pa.binary()),
+                    ],
+                    ["bucket", "name", "keys", "times"],
+                )
+
+    def count(table: pa.Table) -> pa.Table:
+        times = [np.frombuffer(x, np.uint8) for x in table.column("times").to_pylist()]
+        ends = np.cumsum([len(x) for x in times]).tolist()
+        keys = np.zeros((ends[-1], 8), np.uint8)
+        for data, own, end in zip(table.column("keys").to_pylist(), times, ends):
+            keys[end - len(own) : end, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+        _, place = np.unique(keys.view("<u8").ravel(), return_inverse=True)
+        total = np.minimum(np.bincount(place, np.concatenate(times)), 255).astype(np.uint8)[place]
+        counts = [total[end - len(own) : end].tobytes() for own, end in zip(times, ends)]
+        return pa.table({"name": table.column("name"), "bucket": table.column("bucket"), "counts": pa.array(counts, pa.binary())})
+
+    sent = held.mapInArrow(send, "bucket int, name binary, keys binary, times binary")
+    return sent.groupBy("bucket").applyInArrow(count, "name binary, bucket int, counts binary")
+
+
+def rarest(flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """``(set, member)`` by which sets meet: members that occur twice or more among the first of each set by count.
+
+    ``flat`` holds the members of all sets one behind the other, ``counts`` in how many sets each occurs.  Sets
+    too few of whose members occur twice have none.
+    """
+    least = -(-like.num * sizes // like.den)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    some = np.bincount(owner[counts > 1], minlength=len(sizes)) >= least
+    flat, counts, owner = flat[some[owner]], counts[some[owner]], owner[some[owner]]
+    order = np.lexsort((flat, counts, owner))
+    held = np.where(some, sizes, 0)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(held) - held, held)
+    first = order[(place < (sizes - least + 1)[owner]) & (counts[order] > 1)]
+    return owner[first], flat[first]
+
+
+def met(held: DataFrame, bits: int, like: Likeness) -> tuple[DataFrame, DataFrame]:
+    """``(node, size, members)`` of sets that may have a partner, and pairs ``(a, b)`` that share a rare member."""
+
+    def choose(_, sets: pa.Table, counted: pa.Table) -> pa.Table:
+        out = []
+        counts = counted.sort_by("bucket").column("counts").to_pylist()
+        for nodes, sizes, data in zip(*(sets.column(c).to_pylist() for c in ("nodes", "sizes", "members"))):
+            nodes, sizes, flat = np.frombuffer(nodes, "S16"), np.frombuffer(sizes, np.int64), np.frombuffer(data, np.uint64)
+            place = np.unique(flat, return_inverse=True)[1]
+            which, keys = rarest(flat, sizes, np.frombuffer(b"".join(counts), np.uint8)[place], like)
+            posts = np.empty(len(keys), _POST)
+            posts["key"], posts["node"] = keys, nodes[which]
+            least, pairs = stars(posts)
+            ends = np.cumsum(sizes)
+            for w in np.unique(which).tolist():
+                own = flat[ends[w] - sizes[w] : ends[w]]
+                out.append({"node": nodes[w], "size": len(own), "members": own.tobytes()})
+            for turn, (b, blob) in enumerate(blobs_of(least, bits)):
+                out.append({"bucket": b, "posts": blob, "pairs": b"" if turn else pairs.tobytes()})
+        return pa.Table.from_pylist(out, schema)
+
+    def meet(table: pa.Table) -> pa.Table:
+        posts = np.concatenate([unpacked(x) for x in table.column("posts").to_pylist()])
+        pairs = [stars(posts)[1], *(np.frombuffer(x, "S16").reshape(-1, 2) for x in table.column("pairs").to_pylist())]
+        pairs = np.unique(np.concatenate(pairs).view("S32")).view("S16").reshape(-1, 2)
+        return pa.table({"a": _nodes(pairs[:, 0]), "b": _nodes(pairs[:, 1])})
+
+    schema = pa.schema(
+        [("node", pa.binary()), ("size", pa.int64()), ("members", pa.binary()), ("bucket", pa.int32()), ("posts", pa.binary()), ("pairs", pa.binary())]
+    )
+    both = held.groupBy("name").cogroup(counts_of(held, bits).groupBy("name"))
+    row = "node binary, size long, members binary, bucket int, posts binary, pairs binary"
+    chosen = stage(both.applyInArrow(choose, row), "sets")
+    sent = chosen.where("node is null").select("bucket", "posts", "pairs")
+    pairs = stage(sent.groupBy("bucket").applyInArrow(meet, "a binary, b binary").distinct(), "pairs")
+    return chosen.where("node is not null").select("node", "size", "members"), pairs
 
 
 def verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -483,11 +597,14 @@ def classes(docs: DataFrame, like: Likeness, keyed: bool = False) -> DataFrame:
     bits = bucket_bits(docs, "text")
     indexed = index(docs, like, bits)
     of_docs = indexed.where("kind = 'doc'").select("doc_id", "n_shingles", "a", "key")
-    pairs = stage(indexed.where("kind = 'pair'").select("a", "b").distinct(), "pairs")
+    pairs = indexed.where("kind = 'pair'").select("a", "b")
     ends = pairs.select("a").union(pairs.select("b")).distinct()
-    one = of_docs.join(ends, "a", "left_semi").groupBy("a").agg(F.min(F.struct("doc_id", "key")).alias("least"))
+    one = of_docs.join(ends, "a", "left_semi").groupBy("a").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.first("n_shingles").alias("size"))
+    one = stage(one, "wanted")
     wanted = one.select(F.col("a").alias("node"), F.col("least.doc_id").alias("of_doc"), F.col("least.key").alias("of_key"))
-    sets = stage(sets_of(docs, wanted, like.words), "sets")
+    members = one.agg(F.sum("size")).first()[0] or 0
+    held = stage(sets_of(docs, wanted, like.words), "held")
+    sets, pairs = met(held, max(4, (members // COUNTED).bit_length()), like)
     links = stage(verified(pairs, sets, like), "links")
     roots = stage(components(links, "components"), "roots")
     near = stage(contracted(pairs, roots), "near")
