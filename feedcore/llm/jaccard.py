@@ -58,7 +58,7 @@ BATCH_BYTES, PART_BYTES = 8 << 20, 1 << 20
 #: Text behind the sets that are kept and counted together.
 HELD_BYTES = 2 << 20
 #: Members that are counted in one task.
-COUNTED = 4 << 20
+COUNTED = 2 << 20
 #: Members that a round of comparisons may move, however few the sets hold.
 ROUND = 1 << 24
 
@@ -346,8 +346,13 @@ def counts_of(held: DataFrame, bits: int) -> DataFrame:
         keys = np.zeros((ends[-1], 8), np.uint8)
         for data, own, end in zip(table.column("keys").to_pylist(), times, ends):
             keys[end - len(own) : end, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-        _, place = np.unique(keys.view("<u8").ravel(), return_inverse=True)
-        total = np.minimum(np.bincount(place, np.concatenate(times)), 255).astype(np.uint8)[place]
+        keys = keys.view("<u8").ravel()
+        order = np.argsort(keys)
+        keys = keys[order]
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        sums = np.minimum(np.add.reduceat(np.concatenate(times)[order], starts, dtype=np.int64), 255).astype(np.uint8)
+        total = np.empty(len(order), np.uint8)
+        total[order] = np.repeat(sums, np.diff(starts, append=len(order)))
         counts = [total[end - len(own) : end].tobytes() for own, end in zip(times, ends)]
         return pa.table({"name": table.column("name"), "bucket": table.column("bucket"), "counts": pa.array(counts, pa.binary())})
 
