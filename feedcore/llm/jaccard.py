@@ -604,11 +604,10 @@ def classes(docs: DataFrame, like: Likeness, keyed: bool = False) -> DataFrame:
     of_docs = indexed.where("kind = 'doc'").select("doc_id", "n_shingles", "a", "key")
     pairs = indexed.where("kind = 'pair'").select("a", "b")
     ends = pairs.select("a").union(pairs.select("b")).distinct()
-    one = of_docs.join(ends, "a", "left_semi").groupBy("a").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.first("n_shingles").alias("size"))
-    one = stage(one, "wanted")
+    one = of_docs.join(ends, "a", "left_semi").groupBy("a").agg(F.min(F.struct("doc_id", "key")).alias("least"))
     wanted = one.select(F.col("a").alias("node"), F.col("least.doc_id").alias("of_doc"), F.col("least.key").alias("of_key"))
-    members = one.agg(F.sum("size")).first()[0] or 0
     held = stage(sets_of(docs, wanted, like.words), "held")
+    members = (held.agg(F.sum(F.octet_length("members"))).first()[0] or 0) // 8
     sets, pairs = met(held, max(4, (members // COUNTED).bit_length()), like)
     links = stage(verified(pairs, sets, like), "links")
     roots = stage(components(links, "components"), "roots")
